@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.llm.common import documents
 
@@ -15,5 +16,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts,)}
+def op6_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.packing import pack_documents
+
+    packed = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1)
+    return packed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.bpe import encode_texts
+
+    coded = encode_texts(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op6_minimum_bin_slack, op9_bpe)}
 ORACLES: dict[str, str] = {}
