@@ -16,6 +16,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.quality_rules import STATS, quality_rules
+
+    return quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).select("doc_id", *STATS, "base_failed", "kept")
+
+
 def op6_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.packing import pack_documents
 
@@ -31,5 +37,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_minimum_bin_slack, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_robust_outliers, op6_minimum_bin_slack, op9_bpe)}
 ORACLES: dict[str, str] = {}
