@@ -22,6 +22,14 @@ def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).select("doc_id", *STATS, "base_failed", "kept")
 
 
+def op5_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.secret_scan import BASE, listed, scan
+
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == F.lit(kind))).cast("long").alias(f"n_{kind}")
+    scanned = scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return scanned.select("doc_id", *(count(b.kind) for b in BASE), F.sha2(listed(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op6_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.packing import pack_documents
 
@@ -37,5 +45,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_robust_outliers, op6_minimum_bin_slack, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_robust_outliers, op5_entropy_secrets, op6_minimum_bin_slack, op9_bpe)}
 ORACLES: dict[str, str] = {}
