@@ -22,6 +22,13 @@ def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).select("doc_id", *STATS, "base_failed", "kept")
 
 
+def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.sharding import shard_documents
+
+    dealt = shard_documents(documents(spark, sf_dir).select("doc_id", "text"), shards=40)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.secret_scan import BASE, listed, scan
 
@@ -37,6 +44,13 @@ def op6_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.simhash import near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.bpe import encode_texts
 
@@ -45,5 +59,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_robust_outliers, op5_entropy_secrets, op6_minimum_bin_slack, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_robust_outliers, op4_sampled_splitters, op5_entropy_secrets, op6_minimum_bin_slack, op7_simhash_ball, op9_bpe)}
 ORACLES: dict[str, str] = {}
