@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm import maxscore
 from tideline.llm.common import documents
 
 
@@ -22,6 +23,12 @@ def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).select("doc_id", *STATS, "base_failed", "kept")
 
 
+def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.maxscore import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.sharding import shard_documents
 
@@ -51,6 +58,14 @@ def op7_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.line_crf import fit, score_documents
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.bpe import encode_texts
 
@@ -59,5 +74,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_robust_outliers, op4_sampled_splitters, op5_entropy_secrets, op6_minimum_bin_slack, op7_simhash_ball, op9_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_robust_outliers, op3_maxscore, op4_sampled_splitters, op5_entropy_secrets, op6_minimum_bin_slack, op7_simhash_ball, op8_line_crf, op9_bpe)}
+ORACLES: dict[str, str] = {"op3_maxscore": maxscore.ORACLE}
