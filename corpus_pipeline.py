@@ -1,4 +1,62 @@
-STAGES = []
+"""The corpus pipeline: quality rules, near-duplicate removal, repeated-passage removal, secret redaction, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept, written as Parquet and read again.
+All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tideline.llm.common import documents, written
+from tideline.llm.packing import pack_documents
+from tideline.llm.quality_rules import reject_outliers
+from tideline.llm.secret_scan import redact
+from tideline.llm.simhash import keep_one
+from tideline.llm.suffix_dedup import without_repeats
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or are outliers of their language and source go."""
+    return reject_outliers(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest doc_id stays."""
+    return keep_one(docs)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that occur earlier are cut out of the texts."""
+    return without_repeats(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the token sequences and where they lie in sequences of 2048."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("suffix_array_dedup", repeats_stage),
+    ("secret_scans", secrets_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL can't express tokenization, fingerprints or the packing program; the stages are tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

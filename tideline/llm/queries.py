@@ -74,5 +74,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_robust_outliers, op3_maxscore, op4_sampled_splitters, op5_entropy_secrets, op6_minimum_bin_slack, op7_simhash_ball, op8_line_crf, op9_bpe)}
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.suffix_dedup import remove_repeats
+
+    found = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_robust_outliers, op3_maxscore, op4_sampled_splitters, op5_entropy_secrets, op6_minimum_bin_slack, op7_simhash_ball, op8_line_crf, op9_bpe, op10_suffix_array)}
 ORACLES: dict[str, str] = {"op3_maxscore": maxscore.ORACLE}

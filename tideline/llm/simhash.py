@@ -160,9 +160,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, distance:
     keep = [c for c in kept.columns if c != "text"]
     schema = T.StructType([kept.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
     marked = written(kept.mapInArrow(lambda batches: fingerprint_batches(batches, keep, shingle, seed), schema), "fingerprints")
+    return marked.join(by_fingerprint(marked, distance), "fp").select(*keep, "fp", "component_id")
+
+
+def by_fingerprint(marked: DataFrame, distance: int) -> DataFrame:
+    """For each fingerprint of marked (doc_id, fp): the least fingerprint it reaches and that component's least doc_id."""
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     found = components(link_fingerprints(distinct.select("fp"), distance))
     rooted = written(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    by_fp = written(rooted.join(least, "root").select("fp", "component_id"), "fingerprint-components")
-    return marked.join(by_fp, "fp").select(*keep, "fp", "component_id")
+    return written(rooted.join(least, "root").select("fp", "root", "component_id"), "fingerprint-components")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
+    """Of each component of near duplicates the row with the smallest doc_id (a null one is the largest; of repeated rows
+    any one), with docs' columns."""
+    keep = [c for c in docs.columns if c != "fp"]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
+    marked = written(docs.select(keep).mapInArrow(lambda batches: fingerprint_batches(batches, keep, shingle, seed), schema).withColumn("_row", F.monotonically_increasing_id()), "marked-documents", compression="zstd")
+    ids = marked.select("doc_id", "fp", "_row")
+    of_root = ids.join(by_fingerprint(ids, distance), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best"))
+    kept = written(of_root.select("best._row"), "kept-rows")
+    return marked.join(kept, "_row", "left_semi").select(docs.columns)
