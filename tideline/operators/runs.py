@@ -64,9 +64,10 @@ def sort_columns(spec: str, look=V.field) -> list[Column]:
         v = look(re.sub(r":(desc|asc)$", "", f.lstrip("-+")))
         n, text = V.as_number(v), V.text_of(v)
         missing = v.isNull() | F.coalesce(F.isnan(n), F.lit(False))
+        there = lambda c, missing=missing: F.when(~missing, c)
         kind = F.when(n.isNull(), 1).otherwise(0)
         turn = (lambda c: c.desc_nulls_last()) if down else (lambda c: c.asc_nulls_last())
-        out += [missing.asc(), turn(kind), turn(n), turn(F.when(n.isNull(), text))]
+        out += [missing.asc(), turn(there(kind)), turn(there(n)), turn(there(F.when(n.isNull(), text)))]
     return out
 
 

@@ -757,3 +757,207 @@ def S19_delta(spark, d):
     r = p.select("run_id").distinct().withColumns({"uid": n, "rebuilt": F.lit(0)})
     held = r.where(n % 4 != 0).select("run_id", F.when(n % 4 == 1, -1).otherwise(n).alias("uid"), "rebuilt", F.lit(5).alias("compiled"))
     return T.delta_for(blocks, held, r).select("run_id", "key", "level", "block", "replace")
+
+
+# ---- more of the pyramid, records, sinks ----
+
+
+@query(f"WITH {M.POINTS}, b AS ({bucket_sql('16')}), z AS (SELECT *, CASE WHEN f > 0 THEN ss / f ELSE si / (a + b) END AS ms FROM b) SELECT run_id, key, CAST(floor(ms / 4096) AS BIGINT) AS bucket, CASE WHEN f > 0 THEN f ELSE a + b END AS n FROM z")
+def B4_refine(spark, d):
+    return B.finished(B.refine(B.bucketize(M.points(spark, d), 16), 12)).select("run_id", "key", "bucket", "n")
+
+
+@query(f"WITH {M.POINTS} SELECT run_id, seq, CAST(run_id AS INT) % 3 = 0 AS anew FROM p WHERE CAST(run_id AS INT) % 3 = 0 OR seq >= 5000")
+def B8_compile_due(spark, d):
+    p = M.points(spark, d)
+    compiled = p.select("run_id").distinct().select("run_id", F.when(F.col("run_id").cast("int") % 3 == 0, 100).otherwise(5000).alias("compiled"))
+    anew, grows = B.compile_due(p, compiled)
+    return anew.withColumn("anew", F.lit(True)).unionByName(grows.withColumn("anew", F.lit(False))).select("run_id", "seq", "anew")
+
+
+@query(f"WITH {M.POINTS}, b AS ({bucket_sql('14')}) SELECT run_id, key, bucket, CASE WHEN f > 0 THEN f ELSE a + b END AS n FROM b WHERE CAST(run_id AS INT) % 2 = 0 UNION ALL SELECT run_id, key, bucket, CASE WHEN f > 0 THEN f ELSE a + b END FROM b WHERE CAST(run_id AS INT) % 2 = 1")
+def U4_bucket_union(spark, d):
+    p = M.points(spark, d)
+    half = lambda k: B.bucketize(p.where(F.col("run_id").cast("int") % 2 == k), 14)
+    return B.finished(half(0).unionByName(half(1))).select("run_id", "key", "bucket", "n")
+
+
+@query()
+def B12_view_buckets(spark, d):
+    """Two layers of a chart 800 wide, 4 pixels a bucket, zoomed to a tenth: buckets of the whole span, finer ones inside."""
+    p = M.points(spark, d).where("key = 'click'")
+    known = B.spans(p)
+    pyramid = B.build_pyramid(p, known)
+    found = B.layers(known, 800, 4, (1.0e6, 1.25e6))
+    rows = ", ".join(f"('click', {level}, {block}L)" for level, (lo, hi) in found for block in range(int(lo // (256 * 2.0**level)), int(hi // (256 * 2.0**level)) + 1))
+    asks = spark.sql(f"SELECT * FROM VALUES {rows} AS k(key, level, block)")
+    read = B.read_blocks(pyramid, known, asks)
+    return buckets_out(B.overlay(read.drop("block"), asks.select("level", "block")))
+
+
+@query(f"WITH {M.LINES} SELECT run_id, seq, key, value FROM l")
+def S3_reshape(spark, d):
+    return T.rows_to_points(T.points_to_rows(M.lines(spark, d))).select("run_id", "seq", "key", "value")
+
+
+@query(f"WITH {M.RUNS} SELECT run_id, created, CASE WHEN id % 2 = 0 THEN 'again' ELSE name END AS name, CASE WHEN id % 2 = 0 AND id % 4 = 0 THEN 'new' WHEN id % 5 = 1 THEN CASE WHEN id % 2 = 0 THEN '' END WHEN id % 5 = 0 THEN '' ELSE 'v' || id % 5 || ',' || segment END AS tags, n_name AS a, CASE WHEN id % 2 = 0 THEN 'x' END AS b FROM r")
+def S7_upsert(spark, d):
+    r = M.runs(spark, d)
+    base = r.select("run_id", "created", "name", "state", "heartbeat", "tags", F.create_map(F.lit("k"), F.lit("old")).alias("config"), F.create_map(F.lit("a"), V.leaf("parent")).alias("info"))
+    new = r.where("id % 2 = 0").select("run_id", (F.col("created") + 1).alias("created"), F.lit("again").alias("name"), F.lit("running").alias("state"), F.lit(9.0).alias("heartbeat"), F.when(F.col("id") % 4 == 0, F.array(F.lit("new"))).otherwise(F.array().cast("array<string>")).alias("tags"), F.lit(None).cast("map<string,string>").alias("config"), F.create_map(F.lit("b"), F.lit("x")).alias("info"))
+    out = T.upsert_runs(base, new)
+    return out.select("run_id", "created", "name", F.array_join("tags", ",").alias("tags"), F.col("info")["a"].alias("a"), F.col("info")["b"].alias("b"))
+
+
+@query(f"WITH {M.LINES}, g AS (SELECT run_id, max(seq) AS n, count(*) AS c FROM w GROUP BY run_id) SELECT run_id, seq - 1 AS seq, quantity FROM w JOIN g USING (run_id) WHERE n = c")
+def S18_compact(spark, d):
+    from tideline.plans.shared import shared_dir
+
+    import uuid
+
+    rows = T.points_to_rows(M.lines(spark, d)).withColumn("seq", F.col("seq") - 1)
+    whole = rows.groupBy("run_id").agg(F.max("seq").alias("_n"), F.count(F.lit(1)).alias("_c")).where("_n = _c - 1")
+    fine = rows.join(whole.select("run_id"), "run_id", "left_semi")
+    out = T.compact(fine, f"{shared_dir(spark)}/compact-{uuid.uuid4().hex}")
+    return out.select("run_id", "seq", F.col("values.quantity").alias("quantity"))
+
+
+@query(f"WITH {PYRAMID} SELECT DISTINCT run_id, key, CAST(level AS INT) AS level, CAST(floor(bucket / 256) AS BIGINT) AS block, CAST(9 AS INT) AS since FROM b JOIN s USING (run_id, key) WHERE level >= top - 2")
+def S20_apply_delta(spark, d):
+    p = M.points(spark, d)
+    known = B.spans(p)
+    blocks = B.by_block(B.build_pyramid(p, known)).join(known.select("run_id", "key", "top"), ["run_id", "key"]).select("run_id", "key", "level", "top", "block", F.lit(9).alias("since")).distinct()
+    n = F.col("run_id").cast("int")
+    replica = blocks.where(n % 2 == 0).withColumn("since", F.lit(1))
+    delta = blocks.where("level >= top - 2").withColumn("replace", n % 3 == 0)
+    return T.apply_delta(replica, delta).select("run_id", "key", "level", "block", "since")
+
+
+@query(f"WITH {M.RUNS}, {M.MEDIA} SELECT r.run_id, r_name || '/' || n_name AS parent, step, CASE WHEN acctbal = 'inf'::DOUBLE OR isnan(acctbal) THEN NULL ELSE acctbal END AS acctbal, CASE WHEN id < 7 THEN (SELECT count(*) FROM m WHERE m.run_id = CAST(id AS VARCHAR)) ELSE 0 END AS media FROM r")
+def R1_run_records(spark, d):
+    r = M.runs(spark, d)
+    ids = r.select("run_id", F.col("id").cast("string").alias("_id"))
+    media = M.media(spark, d).withColumnRenamed("run_id", "_id").join(ids, "_id").drop("_id")
+    summary = r.select("run_id", F.col("step").alias("_step"), F.col("heartbeat").alias("_runtime"), "summary")
+    out = R.run_records(r.drop("step"), summary, media)
+    return out.select("run_id", "parent", "step", F.when(V.finite(V.as_number(V.field("acctbal"))), V.as_number(V.field("acctbal"))).alias("acctbal"), "media")
+
+
+@query(f"WITH {M.MEDIA} SELECT run_id, key, ord AS seq FROM m WHERE key IN ('page/1', 'page/2')")
+def R6_media_report(spark, d):
+    return R.media_report(M.media(spark, d).withColumnRenamed("order", "seq"), "[12]$", "html").select("run_id", "key", "seq")
+
+
+@query(f"WITH {M.MEDIA}, q AS (SELECT * FROM m WHERE run_id IN ('0', '1', '2')) SELECT run_id, key, coalesce(max(ord) FILTER (WHERE step <= 60), min(ord)) AS seq FROM q GROUP BY run_id, key")
+def O6_media_panel(spark, d):
+    m = M.media(spark, d).withColumnRenamed("order", "seq")
+    return R.media_panel(m, m.select("run_id").distinct(), 60.0, most=3).select("run_id", "key", "seq")
+
+
+@query(f"WITH {M.RUNS}, w AS (SELECT DISTINCT r_name AS path FROM r UNION SELECT r_name || '/' || n_name FROM r WHERE r_name LIKE 'A%') SELECT path FROM w WHERE path = 'ASIA' OR starts_with(path, 'ASIA/')")
+def S10_folder_notes(spark, d):
+    docs = folders(spark, d).select("path", F.when(F.col("path").startswith("ASIA"), F.lit('{"question": 1}')).otherwise("{broken").alias("text"))
+    return R.related_folders(T.parse_notes(docs), "ASIA").select("path")
+
+
+# ---- streaming ----
+
+
+def staged(spark: SparkSession, df: DataFrame, parts: int = 3) -> tuple[str, DataFrame]:
+    """df written as several files in the shared folder, for a file stream to take up."""
+    import uuid
+
+    from tideline.plans.shared import shared_dir
+
+    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df.repartition(parts).write.parquet(path)
+    return path, df
+
+
+def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that is there now, from a table in the shared folder."""
+    import uuid
+
+    from tideline.plans.shared import shared_dir
+
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        out.format("parquet").option("path", f"{at}/out").start().awaitTermination()
+    else:
+        out.outputMode(mode).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{at}/out")).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+@query(f"WITH {M.POINTS} SELECT run_id, seq FROM p WHERE seq > 100")
+def T1_tail_stream(spark, d):
+    from tideline.streaming import live
+
+    path, p = staged(spark, M.points(spark, d))
+    return drained(spark, live.tail_stream(spark, path, p.schema, after=100)).select("run_id", "seq")
+
+
+@query(f"WITH {PYRAMID} SELECT {BUCKET_OUT} FROM b")
+def T3_stream_pyramid(spark, d):
+    import uuid
+
+    from tideline.plans.shared import shared_dir
+    from tideline.streaming import live
+
+    path, p = staged(spark, M.points(spark, d))
+    at = f"{shared_dir(spark)}/pyramid-{uuid.uuid4().hex}"
+    store = live.PyramidStore(spark, f"{at}/store")
+    live.stream_pyramid(spark.readStream.schema(p.schema).parquet(path), store, f"{at}/checkpoint").awaitTermination()
+    return buckets_out(store.at(store.version)[0])
+
+
+@query(f"{SNAPSHOT}, {CHANGES}, e AS (SELECT c.run_id, change, CASE WHEN change IN ('new', 'rewritten') THEN coalesce(l.rows, 0) > 0 ELSE coalesce(l.rows, 0) > coalesce(h.rows, 0) END AS more FROM c LEFT JOIN h ON c.run_id = h.run_id LEFT JOIN l ON c.run_id = l.run_id WHERE change IN ('new', 'changed', 'rewritten')) SELECT run_id, unnest(list_filter([CASE WHEN change = 'rewritten' THEN 'delete' END, CASE WHEN change <> 'changed' THEN 'run' END, CASE WHEN more THEN 'rows' END, CASE WHEN change = 'changed' THEN 'run' END], lambda x: x IS NOT NULL)) AS event FROM e")
+def T6_change_feed(spark, d):
+    from tideline.streaming import live
+
+    held, listed = snapshots(spark, d)
+    return live.events_of(held.join(listed.select("run_id"), "run_id", "left_semi"), listed, 1).select("run_id", "event")
+
+
+@query(f"{SNAPSHOT}, {CHANGES} SELECT c.run_id, change FROM c WHERE starts_with(c.run_id, 'ASIA/') AND change <> 'unchanged'")
+def T7_subscribe(spark, d):
+    from tideline.streaming import live
+
+    return live.subscribe(R.diff_snapshots(*snapshots(spark, d)).where("change <> 'unchanged'"), "ASIA")
+
+
+@query(f"WITH {M.POINTS} SELECT run_id, max(seq) + 1 AS rows FROM p GROUP BY run_id")
+def T8_live_seqs(spark, d):
+    from tideline.streaming import live
+
+    path, p = staged(spark, M.points(spark, d))
+    return drained(spark, live.live_seqs(spark.readStream.schema(p.schema).parquet(path)), "complete")
+
+
+@query(f"{SNAPSHOT}, {CHANGES} SELECT run_id, CASE WHEN change = 'rewritten' THEN 1 ELSE 0 END AS value FROM c WHERE change IN ('rewritten', 'changed', 'unchanged')")
+def T9_rewrites(spark, d):
+    from tideline.streaming import live
+
+    held, listed = snapshots(spark, d)
+    changes = R.diff_snapshots(held, listed)
+    return live.handle_rewrites(held.select("run_id", F.lit(0).alias("value")), changes, listed.select("run_id", F.lit(1).alias("value")))
+
+
+@query(f"WITH {M.POINTS} SELECT CASE WHEN seq % 2 = 0 THEN 'a/' ELSE 'b/' END || run_id AS run_id, seq FROM p")
+def T10_merge_streams(spark, d):
+    from tideline.streaming import live
+
+    p = M.points(spark, d).select("run_id", "seq")
+    streams = []
+    for name, k in (("a", 0), ("b", 1)):
+        path, part = staged(spark, p.where(F.col("seq") % 2 == k))
+        streams.append((name, spark.readStream.schema(part.schema).parquet(path)))
+    return drained(spark, live.merge_streams(streams)).select("run_id", "seq")
+
+
+@query(f"WITH {M.POINTS} SELECT run_id, key, max(seq) AS seq, {mark('value', 'arg_max(value, seq)')} FROM p GROUP BY run_id, key")
+def T11_stream_summary(spark, d):
+    from tideline.streaming import live
+
+    path, p = staged(spark, M.points(spark, d))
+    return shown(drained(spark, live.stream_summary(spark.readStream.schema(p.schema).parquet(path)), "complete"), "run_id", "key", "seq", value="value")
