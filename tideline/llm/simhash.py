@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import chunks, flat, ragged, written
+from tideline.llm.common import chunks, flat, ragged, text_or_empty, written
 from tideline.llm.components import components, roots
 from tideline.llm.text_stats import word_bounds
 
@@ -173,12 +173,14 @@ def by_fingerprint(marked: DataFrame, distance: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
-    """Of each component of near duplicates the row with the smallest doc_id (a null one is the largest; of repeated rows
-    any one), with docs' columns."""
-    keep = [c for c in docs.columns if c != "fp"]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
-    marked = written(docs.select(keep).mapInArrow(lambda batches: fingerprint_batches(batches, keep, shingle, seed), schema).withColumn("_row", F.monotonically_increasing_id()), "marked-documents", compression="zstd")
-    ids = marked.select("doc_id", "fp", "_row")
-    of_root = ids.join(by_fingerprint(ids, distance), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best"))
-    kept = written(of_root.select("best._row"), "kept-rows")
-    return marked.join(kept, "_row", "left_semi").select(docs.columns)
+    """Of each component of near duplicates the row with the smallest doc_id (a null one is the largest; of rows that share
+    it that of the least hash, of repeated rows one), with docs' columns. Texts are shuffled once, by a hash of doc_id and
+    text; what is kept grows with the input, so it is never broadcast."""
+    key = F.xxhash64("doc_id", text_or_empty(), F.col("doc_id").isNull())
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("_key", T.LongType()), T.StructField("fp", T.LongType())])
+    keyed = docs.select("doc_id", key.alias("_key"), "text")
+    ids = written(keyed.mapInArrow(lambda batches: fingerprint_batches(batches, ["doc_id", "_key"], shingle, seed), schema), "fingerprints")
+    of_root = ids.join(by_fingerprint(ids, distance), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("best"))
+    kept = written(of_root.select("best._key"), "kept-rows")
+    met = docs.withColumn("_key", key).join(kept.hint("shuffle_hash"), "_key", "left_semi")
+    return met.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_nth = 1").select(docs.columns)
