@@ -37,10 +37,11 @@ def test_pyramid_grows_over_batches(spark, tmp_path):
     buckets, spans = store.at(store.version)
     assert store.version == 2
     whole = B.build_pyramid(p, spans)
-    assert buckets.count() == whole.count() and buckets.agg(F.sum("n_fin")).first() == whole.agg(F.sum("n_fin")).first()
+    n = whole.count()
+    assert buckets.count() == n and buckets.agg(F.sum("n_fin")).first() == whole.agg(F.sum("n_fin")).first()
     # A batch that is run again gives the same version.
     store.take(p.where("seq >= 100 AND seq < 200"), 2)
-    assert store.at(2)[0].count() == whole.count()
+    assert store.at(2)[0].count() == n
 
 
 def test_change_feed(spark, tmp_path):
@@ -56,7 +57,10 @@ def test_change_feed(spark, tmp_path):
 def test_liveness(spark, tmp_path):
     spark.createDataFrame([("a", 1.0), ("b", 1.0)], "run_id string, at double").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("run_id string, at double").parquet(f"{tmp_path}/in")
-    drain(live.crash_stream(stream), tmp_path, "update")
+    out = live.crash_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/c")
+    query = out.foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{tmp_path}/o")).trigger(processingTime="1 second").start()
+    query.processAllAvailable()
+    query.stop()
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/o").collect())) == [("a", "running"), ("b", "running")]
 
 
