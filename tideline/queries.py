@@ -889,6 +889,36 @@ def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> Dat
     return spark.read.parquet(f"{at}/out")
 
 
+@query(f"WITH {M.POINTS}, b AS ({bucket_sql('14')}) SELECT run_id, key, bucket, CASE WHEN f > 0 THEN f ELSE a + b END AS n FROM b WHERE CAST(run_id AS INT) % 3 <> 0")
+def B16_cache_levels(spark, d):
+    import uuid
+
+    from tideline.plans.shared import shared_dir
+
+    p = M.points(spark, d)
+    n = F.col("run_id").cast("int")
+    runs = p.select("run_id").distinct().withColumns({"state": F.when(n % 3 == 0, "running").otherwise("finished"), "rows": n, "version": F.lit(1)})
+    path = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
+    buckets = B.bucketize(p, 14)
+    T.cache_levels(buckets.where(n % 2 == 0), runs, path)
+    kept = T.cache_levels(buckets, runs.withColumn("version", F.when(n % 5 == 0, 2).otherwise(1)), path)
+    return B.finished(kept).select("run_id", "key", "bucket", "n")
+
+
+@query("WITH o AS (SELECT CAST(user_id AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events) SELECT run_id, seq FROM o WHERE seq < 49")
+def T2_contiguous_stream(spark, d):
+    from pyspark.sql import Window
+
+    from tideline.streaming import live
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKS)
+    p = M.points(spark, d, odd=False).withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("seq")).cast("long") - 1)
+    rows = p.select("run_id", "seq", "step", "value").where("seq % 50 <> 49")
+    path, staged_rows = staged(spark, rows.unionByName(rows.where("seq % 3 = 0")))
+    found = drained(spark, live.contiguous_stream(spark.readStream.schema(staged_rows.schema).parquet(path)))
+    return found.where("NOT gap").select("run_id", "seq")
+
+
 @query(f"WITH {M.POINTS} SELECT run_id, seq FROM p WHERE seq > 100")
 def T1_tail_stream(spark, d):
     from tideline.streaming import live

@@ -6,9 +6,11 @@ import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from tideline.functions.values import to_marker
 from tideline.operators.runs import assert_same
+from tideline.plans.shared import written
 
 
 
@@ -180,6 +182,25 @@ def compact(rows: DataFrame, out: str, most: int = 65535) -> DataFrame:
     return new
 
 
+def cache_levels(pyramid: DataFrame, runs: DataFrame, path: str) -> DataFrame:
+    """The buckets of finished runs kept by (key, level), each with a digest of its run's path, rows and version. Only
+    partitions that hold a run whose digest changed are written again. runs: run_id, state, rows, version."""
+    spark = pyramid.sparkSession
+    done = runs.where("state <> 'running'").select("run_id", F.sha2(F.concat_ws("|", "run_id", "rows", "version"), 256).alias("digest"))
+    now = pyramid.join(done, "run_id")
+    try:
+        held = spark.read.parquet(path).select(now.columns)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        held = now.limit(0)
+    on = ["run_id", "key", "level", "digest"]
+    stale = now.select(*on).distinct().join(held.select(*on).distinct(), on, "left_anti").unionByName(held.select(*on).distinct().join(now.select(*on).distinct(), on, "left_anti")).select("key", "level").distinct()
+    again = written(now.join(stale, ["key", "level"], "left_semi"), "levels")
+    again.repartition("key", "level").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key", "level").parquet(path)
+    return spark.read.parquet(path).select(now.columns)
+
+
 def delta_for(blocks: DataFrame, held: DataFrame, runs: DataFrame) -> DataFrame:
     """Blocks that a replica lacks: all of a run it doesn't hold or holds under another uid or rebuild, else those changed
     since, of the top levels. blocks: run_id, key, level, top, block, since; held: run_id, uid, rebuilt, compiled."""
