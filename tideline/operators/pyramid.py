@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.values import BLOCK, bucket_of, finite, level_for
 from tideline.operators.stats import robust_stats
+from tideline.plans.shared import in_order, previous
 
 STATE = ["n_fin", "sum_v", "sum_s", "sum_t", "n_pos", "n_neg", "sum_s_inf", "sum_t_inf"]
 SERIES = ["run_id", "key"]
@@ -78,9 +79,20 @@ def combine(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def finest(points: DataFrame) -> DataFrame:
-    """Per series the level of the median gap between its distinct steps, -20 at least; null for a single step."""
-    gaps = points.select(*SERIES, "step").distinct().withColumn("gap", F.col("step") - F.lag("step").over(Window.partitionBy(*SERIES).orderBy("step"))).where("gap IS NOT NULL")
-    return gaps.groupBy(*SERIES).agg(F.greatest(F.lit(-20), F.floor(F.log2(F.percentile("gap", F.lit(0.5)))).cast("int")).alias("fine"))
+    """Per series the level of the median gap between its distinct steps, -20 at least; null for a single step.
+
+    Gaps are counted by their own level. The two middle gaps are of the same level, or the greatest of one level and the
+    least of the next, so counts, least and greatest gaps by level give the median's level."""
+    steps = previous(in_order(points.select(*SERIES, "step").distinct(), SERIES, "step"), SERIES, "step")
+    gaps = steps.withColumn("gap", F.col("step") - F.col("_prev.step")).where("gap IS NOT NULL")
+    level = lambda c: F.floor(F.log2(c)).cast("int")
+    levels = gaps.groupBy(*SERIES, level(F.col("gap")).alias("_level")).agg(F.count(F.lit(1)).alias("_c"), F.min("gap").alias("_lo"), F.max("gap").alias("_hi"))
+    w = Window.partitionBy(*SERIES)  # a row a level, about 2,000 at most
+    seen = levels.withColumns({"_to": F.sum("_c").over(w.orderBy("_level")), "_n": F.sum("_c").over(w)}).withColumn("_from", F.col("_to") - F.col("_c") + 1)
+    holds = lambda rank: F.floor(rank).between(F.col("_from"), F.col("_to"))
+    low, high = (F.col("_n") + 1) / 2, F.col("_n") / 2 + 1  # ranks of the middle gaps, one if _n is odd
+    middle = seen.groupBy(*SERIES).agg(F.max(F.when(holds(low), F.col("_level"))).alias("_a"), F.max(F.when(holds(high), F.col("_level"))).alias("_b"), F.max(F.when(holds(low), F.col("_hi"))).alias("_l"), F.max(F.when(holds(high), F.col("_lo"))).alias("_h"))
+    return middle.select(*SERIES, F.greatest(F.lit(-20), F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(level(F.col("_l") * 0.5 + F.col("_h") * 0.5))).alias("fine"))
 
 
 def spans(points: DataFrame) -> DataFrame:
@@ -195,7 +207,8 @@ def bin_rows(points: DataFrame, x0: float, x1: float, bins: int, x: str = "step"
 
 
 def fill_gaps(bins: DataFrame) -> DataFrame:
-    """Straight lines across the empty bins between a series' full ones; nothing beyond its ends."""
+    """Straight lines across the empty bins between a series' full ones; nothing beyond its ends. A series has a row a
+    bin here, as many as the grid's."""
     w = Window.partitionBy(*SERIES).orderBy("bin")
     ends = bins.withColumns({"_b": F.lead("bin").over(w), "_v": F.lead("value").over(w)})
     spread = ends.withColumn("_k", F.explode(F.sequence(F.col("bin"), F.coalesce(F.col("_b") - 1, F.col("bin")))))

@@ -218,9 +218,9 @@ def config_spread(flat: DataFrame, runs: DataFrame, shown: int = 8) -> DataFrame
     absent = counted.groupBy("key").agg(F.sum("runs").alias("_have")).join(F.broadcast(total)).where("_have < _all").select("key", F.lit("null").alias("json"), (F.col("_all") - F.col("_have")).alias("runs"))
     both = counted.unionByName(absent).groupBy("key", "json").agg(F.sum("runs").alias("runs"))
     number = F.col("json").try_cast("double")
-    w = Window.partitionBy("key")
-    ranked = both.withColumns({"varies": F.count(F.lit(1)).over(w) > 1, "rn": F.row_number().over(w.orderBy(number.isNull(), number, "json"))})
-    return ranked.where(F.col("rn") <= shown)
+    first = both.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(number.isNull(), number, "json"))).where(F.col("rn") <= shown)
+    varies = both.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("varies"))
+    return first.join(varies, "key").select(*both.columns, "varies", "rn")
 
 
 def group_candidates(records: DataFrame, fields: list[str], look=V.field) -> DataFrame:

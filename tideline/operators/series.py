@@ -4,19 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.values import finite, log_x, smooth_scale
-from tideline.plans.shared import ranks, written
+from tideline.plans.shared import in_order, join_groups, latest, previous, ranks, running, written
 
 SERIES = ["run_id", "key"]
 
 
-def by_seq():
-    return Window.partitionBy(*SERIES).orderBy("seq")
-
-
 def last_values(points: DataFrame) -> DataFrame:
     """Each metric's value in the last row that has it, finite or not."""
     return points.groupBy(*SERIES).agg(F.max_by("value", "seq").alias("value"))
@@ -49,7 +45,7 @@ def reduce_series(points: DataFrame, how: str = "last", at: float | None = None,
 
 def extents(points: DataFrame, x: str = "step") -> DataFrame:
     """Per series: min, max and smallest positive x, and whether x never falls in row order."""
-    step = points.withColumn("_p", F.lag(x).over(by_seq()))
+    step = previous(in_order(points.select(*SERIES, "seq", x), SERIES, "seq"), SERIES, x).withColumn("_p", F.col(f"_prev.{x}"))
     return step.groupBy(*SERIES).agg(F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.min(F.when(F.col(x) > 0, F.col(x))).alias("x_positive"), F.every(F.col("_p").isNull() | (F.col(x) >= F.col("_p"))).alias("rises"))
 
 
@@ -142,22 +138,23 @@ def decimate(points: DataFrame, x0: float, x1: float, width: int, x: str = "step
     value for each island of points that can't be drawn. In row order; points that can't be drawn split a column."""
     px = log_x(x) if log_axis else F.col(x)
     ok = F.coalesce(finite("value") & (F.col("value") > 0 if log_y else F.lit(True)) & finite(px), F.lit(False))
-    marked = points.withColumns({"_ok": ok, "_px": F.when(ok, F.floor((px - x0) * (width / (x1 - x0))))})
-    marked = marked.withColumn("_new", (F.col("_ok") != F.coalesce(F.lag("_ok").over(by_seq()), F.lit(False))) | ~F.col("_px").eqNullSafe(F.lag("_px").over(by_seq())))
-    piece = F.sum(F.col("_new").cast("long")).over(by_seq().rowsBetween(Window.unboundedPreceding, 0))
+    marked = points.select(*SERIES, "seq", x, "value", ok.alias("_ok"), F.when(ok, F.floor((px - x0) * (width / (x1 - x0)))).alias("_px"))
+    marked = previous(in_order(marked, SERIES, "seq"), SERIES, "_ok", "_px")
+    new = (F.col("_ok") != F.coalesce("_prev._ok", F.lit(False))) | ~F.col("_px").eqNullSafe(F.col("_prev._px"))
     v = F.struct("seq", F.col(x).alias("x"), "value")
-    per = marked.withColumn("_piece", piece).groupBy(*SERIES, "_piece", "_ok").agg(F.min_by(v, "seq").alias("f"), F.min_by(v, F.struct("value", "seq")).alias("lo"), F.min_by(v, F.struct(-F.col("value"), "seq")).alias("hi"), F.max_by(v, "seq").alias("l"))
+    per = running(marked, SERIES, new.cast("long")).withColumnRenamed("_sum", "_piece").groupBy(*SERIES, "_piece", "_ok").agg(F.min_by(v, "seq").alias("f"), F.min_by(v, F.struct("value", "seq")).alias("lo"), F.min_by(v, F.struct(-F.col("value"), "seq")).alias("hi"), F.max_by(v, "seq").alias("l"))
     gap = F.struct(F.col("f.seq").alias("seq"), F.col("f.x").alias("x"), F.lit(float("nan")).alias("value"))
     drawn = per.where(F.col("_ok") | (F.col("_piece") > 0)).select(*SERIES, F.explode(F.array_distinct(F.when(F.col("_ok"), F.array("f", "lo", "hi", "l")).otherwise(F.array(gap)))).alias("p"))
     return drawn.select(*SERIES, "p.*")
 
 
 def visible(points: DataFrame, x0: float, x1: float, x: str = "step") -> DataFrame:
-    """Points in [x0, x1] and one neighbour on either side; x must not fall in row order."""
-    inside = lambda c: c.between(x0, x1)
-    before, after = F.lag(x).over(by_seq()), F.lead(x).over(by_seq())
-    crosses = ((F.col(x) < x0) & (after >= x0)) | ((F.col(x) > x1) & (before <= x1))
-    return points.withColumn("_keep", inside(F.col(x)) | F.coalesce(crosses, F.lit(False))).where("_keep").drop("_keep")
+    """Points in [x0, x1] and one neighbour on either side; x must not fall in row order. A neighbour is the last point
+    before x0 of a series that goes on to it, and the first one after x1 of a series that begins by it."""
+    c = F.col(x)
+    edges = points.groupBy(*SERIES).agg(F.max(F.when(c < x0, F.col("seq"))).alias("_before"), F.min(F.when(c > x1, F.col("seq"))).alias("_after"), (F.max(x) >= x0).alias("_reaches"), (F.min(x) <= x1).alias("_begins"))
+    crosses = ((F.col("seq") == F.col("_before")) & F.col("_reaches")) | ((F.col("seq") == F.col("_after")) & F.col("_begins"))
+    return points.join(edges, SERIES).where(c.between(x0, x1) | F.coalesce(crosses, F.lit(False))).select(points.columns)
 
 
 def tail(rows: DataFrame, n: int) -> DataFrame:
@@ -170,11 +167,15 @@ def tail(rows: DataFrame, n: int) -> DataFrame:
 
 
 def asof_join(probes: DataFrame, points: DataFrame, x: str = "step") -> DataFrame:
-    """For each probe (run_id, x) the value of the last finite point at or before it: one pass over the union of both."""
-    p = points.where(finite("value")).select("run_id", F.col(x).alias("x"), "seq", F.struct(F.col(x).alias("at"), "value").alias("_v"), F.lit(0).alias("_probe"))
-    q = probes.select("run_id", "x", F.lit(None).cast("long").alias("seq"), F.lit(None).cast(p.schema["_v"].dataType).alias("_v"), F.lit(1).alias("_probe"))
-    w = Window.partitionBy("run_id").orderBy("x", "_probe", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return p.unionByName(q).withColumn("_l", F.last("_v", ignorenulls=True).over(w)).where("_probe = 1").select("run_id", "x", F.col("_l.at").alias("at"), F.col("_l.value").alias("value"))
+    """For each probe (run_id, x) the value of the last finite point at or before it, null where there is none.
+
+    Points and distinct probes are sorted together over all tasks, and each task hands on its last point. Points without
+    an x are left out; equal probes get equal rows."""
+    p = points.where(finite("value") & F.col(x).isNotNull()).select("run_id", F.col(x).alias("x"), "seq", F.struct(F.col(x).alias("at"), "value").alias("_v"), F.lit(0).alias("_probe"))
+    asked = probes.select("run_id", "x")
+    q = asked.distinct().select("run_id", "x", F.lit(None).cast("long").alias("seq"), F.lit(None).cast(p.schema["_v"].dataType).alias("_v"), F.lit(1).alias("_probe"))
+    found = latest(in_order(p.unionByName(q), ["run_id"], "x", "_probe", "seq"), ["run_id"], F.col("_v")).where("_probe = 1")
+    return join_groups(asked, found.select("run_id", "x", F.col("_latest.at").alias("at"), F.col("_latest.value").alias("value")), ["run_id", "x"])
 
 
 def nearest(points: DataFrame, x0: float, x: str = "step") -> DataFrame:

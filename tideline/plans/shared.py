@@ -1,4 +1,4 @@
-"""Written tables that cut lineage, and ranks that no single task has to hold."""
+"""Written tables that cut lineage; ranks and scans in row order that no single task has to hold."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import functools
 import operator
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -35,6 +36,50 @@ def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "in
     return left.join(named, same, how).drop(*(f"_by{i}" for i in range(len(by))))
 
 
+def in_order(df: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
+    """df sorted by group and order over all tasks, written, with each row's task `_part` and place in it `_at`.
+
+    A group of any size is spread over as many tasks as it fills. Only the first group of a task can begin in an earlier
+    one, so what a scan carries from task to task is one row a task at most."""
+    keys = [*(F.col(f"`{c}`") for c in by), *order]
+    placed = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    return placed.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+
+
+def carried(placed: DataFrame, by: list[str], end: Column, fold: Callable[[str], Column]) -> DataFrame:
+    """Adds `_carried`: `end`, an aggregate of a group's rows in one task, folded over the group's earlier tasks."""
+    quoted = [F.col(f"`{c}`") for c in by]
+    tasks = Window.partitionBy(*quoted).orderBy("_part")
+    parts = placed.groupBy("_part", *quoted).agg(end.alias("_end"))
+    parts = parts.select("_part", *quoted, fold("_end").over(tasks.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"), F.row_number().over(tasks).alias("_nth")).where("_nth > 1").drop("_nth")
+    return join_groups(placed, F.broadcast(parts), ["_part", *by], "left")  # one row a task at most
+
+
+def within(by: list[str]) -> WindowSpec:
+    return Window.partitionBy("_part", *(F.col(f"`{c}`") for c in by)).orderBy("_at")
+
+
+def previous(placed: DataFrame, by: list[str], *columns: str) -> DataFrame:
+    """Adds `_prev`: these columns of the row before in the group, null for its first row."""
+    row = F.struct(*columns)
+    return carried(placed, by, F.max_by(row, "_at"), F.last).withColumn("_prev", F.coalesce(F.lag(row).over(within(by)), "_carried")).drop("_carried")
+
+
+def latest(placed: DataFrame, by: list[str], value: Column) -> DataFrame:
+    """Adds `_latest`: the last value that isn't null in the group's rows up to and with this one."""
+    last = functools.partial(F.last, ignorenulls=True)
+    seen = placed.withColumn("_value", value)
+    out = carried(seen, by, F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_at"))), last)
+    return out.withColumn("_latest", F.coalesce(last("_value").over(within(by).rowsBetween(Window.unboundedPreceding, 0)), "_carried")).drop("_value", "_carried")
+
+
+def running(placed: DataFrame, by: list[str], value: Column) -> DataFrame:
+    """Adds `_sum`: the sum of a number that is never null over the group's rows up to and with this one."""
+    seen = placed.withColumn("_value", value)
+    here = F.sum("_value").over(within(by).rowsBetween(Window.unboundedPreceding, 0))
+    return carried(seen, by, F.sum("_value"), F.sum).withColumn("_sum", here + F.coalesce("_carried", F.lit(0))).drop("_value", "_carried")
+
+
 def ranks(df: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
     """df with `rn`, the row's number from 1 within its group in that order, and the group's size `n`.
 
@@ -42,12 +87,10 @@ def ranks(df: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
     plus what lies before that task, less what lies before its group."""
     by = list(by)
     quoted = [F.col(f"`{c}`") for c in by]
-    ordered = df.repartitionByRange(*quoted, *order).sortWithinPartitions(*quoted, *order)
-    placed = written(ordered.withColumn("_id", F.monotonically_increasing_id()), "sorted")
-    placed = placed.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = in_order(df, by, *order)
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # one row a task
-    placed = placed.join(F.broadcast(before), "_part").withColumn("_row", F.col("_before") + F.col("_at")).drop("_part", "_at", "_id", "_before")
+    placed = placed.join(F.broadcast(before), "_part").withColumn("_row", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
     if not by:
         return placed.withColumn("rn", F.col("_row") + 1).crossJoin(F.broadcast(sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")))).drop("_row")  # one row
     groups = placed.groupBy(*quoted).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("n"))

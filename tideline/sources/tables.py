@@ -4,18 +4,13 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tideline.functions.values import to_marker
 from tideline.operators.runs import assert_same
-from tideline.plans.shared import written
-
-
-
-def of_run():
-    return Window.partitionBy("run_id")
+from tideline.plans.shared import in_order, latest, ranks, running, written
 
 
 def read_rows(rows: DataFrame, keys: list[str] | None = None, start: int = 0, stop: int | None = None) -> DataFrame:
@@ -41,8 +36,7 @@ def points(rows: DataFrame, keys: list[str], start: int = 0, stop: int | None =
 
 def contiguous_rows(rows: DataFrame) -> DataFrame:
     """Each run's rows up to the first gap in seq, which begins at 0."""
-    w = of_run().orderBy("seq")
-    first = rows.withColumn("_rn", F.row_number().over(w) - 1).where("_rn <> seq").groupBy("run_id").agg(F.min("seq").alias("_bad"))
+    first = ranks(rows.select("run_id", "seq"), ["run_id"], "seq").where("rn - 1 <> seq").groupBy("run_id").agg(F.min("seq").alias("_bad"))
     return rows.join(first, "run_id", "left").where(F.col("_bad").isNull() | (F.col("seq") < F.col("_bad"))).drop("_bad")
 
 
@@ -66,13 +60,10 @@ def ingest_log(logs: DataFrame, column: str = "json", depth: int = 4) -> DataFra
 def assign_steps(logged: DataFrame, before: Column | float = -1.0) -> DataFrame:
     """A row without a step takes the one before it plus 1; `before` is the step that the run ended on. logged: run_id,
     order, step."""
-    w = of_run().orderBy("order")
-    island = F.count("step").over(w)
-    placed = logged.withColumn("_i", island)
-    of_island = Window.partitionBy("run_id", "_i").orderBy("order")
-    base = F.coalesce(F.first("step", ignorenulls=True).over(of_island), before if isinstance(before, Column) else F.lit(before))
-    since = F.row_number().over(of_island) - F.when(F.col("_i") > 0, 1).otherwise(0)
-    return placed.withColumn("step", base + since).drop("_i")
+    placed = running(in_order(logged, ["run_id"], "order"), ["run_id"], F.lit(1)).withColumnRenamed("_sum", "_rn")
+    known = latest(placed, ["run_id"], F.when(F.col("step").isNotNull(), F.struct("step", "_rn")))
+    base = F.coalesce("_latest.step", before if isinstance(before, Column) else F.lit(before))
+    return known.withColumn("step", base + F.col("_rn") - F.coalesce("_latest._rn", F.lit(0))).drop("_latest", "_rn", "_part", "_at")
 
 
 def upsert_runs(base: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -142,14 +133,15 @@ def catalog_media(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Media numbered per run, named by the digest of their content, and the distinct contents. items: run_id, order, step,
     t, key, kind, ext, content."""
     named = items.withColumn("file", F.concat(F.sha2("content", 256), F.lit("."), "ext"))
-    catalog = named.select("run_id", (F.row_number().over(of_run().orderBy("order")) - 1).alias("seq"), "step", "t", "key", "kind", "file", F.octet_length("content").cast("long").alias("size"))
+    listed = named.select("run_id", "order", "step", "t", "key", "kind", "file", F.octet_length("content").cast("long").alias("size"))
+    catalog = ranks(listed, ["run_id"], "order").select("run_id", (F.col("rn") - 1).cast("int").alias("seq"), "step", "t", "key", "kind", "file", "size")
     return catalog, named.groupBy("file").agg(F.first("content").alias("content"))
 
 
 def visible_media(media: DataFrame, files: DataFrame) -> DataFrame:
     """Each run's items up to the first gap in seq or missing file."""
     there = media.join(files.select("file").distinct().withColumn("_there", F.lit(True)), "file", "left")
-    bad = there.withColumn("_rn", F.row_number().over(of_run().orderBy("seq")) - 1).where("_rn <> seq OR _there IS NULL").groupBy("run_id").agg(F.min("seq").alias("_bad"))
+    bad = ranks(there.select("run_id", "seq", "_there"), ["run_id"], "seq").where("rn - 1 <> seq OR _there IS NULL").groupBy("run_id").agg(F.min("seq").alias("_bad"))
     return there.join(bad, "run_id", "left").where(F.col("_bad").isNull() | (F.col("seq") < F.col("_bad"))).select(media.columns)
 
 
