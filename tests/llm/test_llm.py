@@ -335,3 +335,13 @@ def test_pipeline(spark, docs):
     assert now.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(pipeline.STAGES[-1][1](spark, now, "").columns)
 
 
+
+
+def test_long_candidates(spark):
+    """Candidates of tens of thousands of characters: allowed ones give no span, others the same spans in any text."""
+    from tideline.llm.secret_scan import listed, scan
+
+    core = "A1b2C3d4E5f6G7h8I9j0K1"
+    texts = ["ab-" * 30_000, "12-" * 30_000, "ab-" * 30_000 + "1", core, "zz " * 30_000 + core]
+    found = [r["s"] for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").select(listed(F.col("spans")).alias("s")).collect()]
+    assert found[:3] == ["", "", ""] and found[3] == f"entropy_base64:0:{len(core)}" and found[4] == f"entropy_base64:90000:{90000 + len(core)}"

@@ -51,10 +51,11 @@ CLASSES = (
     CharClass("entropy_hex", _DIGITS + "abcdefABCDEF", 20, 3.0),
     CharClass("entropy_base64", _DIGITS + _LOWER + _LOWER.upper() + "+/_=-", 20, 3.8),
 )
-#: Candidates that are no secrets: words, words joined by signs, numbers, UUIDs, marked examples.
+#: Candidates that are no secrets: words, words joined by signs, numbers, UUIDs, marked examples. No repeated group may
+#: backtrack, as the JVM's stack would not hold that on long candidates.
 ALLOWED = (
-    r"^[+/_=-]*[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)*[+/_=-]*$",
-    r"^[0-9]+(?:[-/_][0-9]+)*$",
+    r"^[A-Za-z+/_=-]*[A-Za-z][+/_=-]*$",
+    r"^[0-9]++(?:[-/_][0-9]++)*+$",
     r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
     r"EXAMPLE|example",
 )
@@ -87,10 +88,10 @@ def surprising(s: Column, c: CharClass) -> Column:
     f is the sum of n * log2(n) over the characters' counts n in the window; the entropy is log2(w) - f / w."""
     w, size = c.window, len(c.alphabet)
     term = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(0.0)
-    code = lambda i: F.instr(F.lit(c.alphabet), F.substring(s, i, 1)) - 1
+    codes = F.transform(F.split(s, ""), lambda x: F.instr(F.lit(c.alphabet), x) - 1)  # one pass over the characters
     none = F.expr("CAST(array() AS array<struct<begin:int,end:int>>)")
 
-    def step(acc: Column, i: Column) -> Column:
+    def step(codes: Column, acc: Column, i: Column) -> Column:
         def moved(move: Column) -> Column:
             into, out = move["into"], move["out"]
             n_in, n_out = F.get(acc["counts"], into), F.coalesce(F.get(acc["counts"], out), F.lit(0))
@@ -111,11 +112,11 @@ def surprising(s: Column, c: CharClass) -> Column:
 
             return let(acc["f"] + change, with_sum)
 
-        return let(F.struct(code(i).alias("into"), F.when(i > w, code(i - w)).otherwise(-1).alias("out")), moved)
+        return let(F.struct(F.get(codes, i - 1).alias("into"), F.when(i > w, F.get(codes, i - w - 1)).otherwise(-1).alias("out")), moved)
 
     zero = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("f"), F.lit(0).alias("begin"), F.lit(-1).alias("end"), none.alias("done"))
     last = lambda acc: F.when(acc["end"] > 0, F.concat(acc["done"], F.array(F.struct(acc["begin"].alias("begin"), acc["end"].alias("end"))))).otherwise(acc["done"])
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, step, last)
+    return let(codes, lambda known: F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, lambda acc, i: step(known, acc, i), last))
 
 
 def scan(docs: DataFrame, base: tuple[Base, ...] = BASE, classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
