@@ -100,9 +100,10 @@ def twema(points: DataFrame, alpha: float, scale: Column | str | float | None =
             a, d, last = a * first * alpha ** r.span + r.a, d * first * alpha ** r.span + r.d, r.x1
         return pd.DataFrame(rows, columns=["run_id", "key", "_block", "_ca", "_cd"])
 
-    carried = ends.groupBy(*SERIES).applyInPandas(carry, f"{ids}, _block long, _ca double, _cd double")
+    several = ends.where("block > 0").select(*SERIES).distinct()  # a series of one block has nothing to carry
+    carried = ends.join(several, SERIES, "left_semi").groupBy(*SERIES).applyInPandas(carry, f"{ids}, _block long, _ca double, _cd double")
     w = F.pow(F.lit(alpha), F.col("_span"))
-    smooth = folded.join(carried, [*SERIES, "_block"]).select(*SERIES, "seq", ((F.col("_a") + F.col("_ca") * w) / (F.col("_d") + F.col("_cd") * w)).alias("_s"))
+    smooth = folded.join(carried, [*SERIES, "_block"], "left").na.fill(0.0, ["_ca", "_cd"]).select(*SERIES, "seq", ((F.col("_a") + F.col("_ca") * w) / (F.col("_d") + F.col("_cd") * w)).alias("_s"))
     return points.join(smooth, [*SERIES, "seq"], "left").withColumn("smoothed", F.coalesce("_s", "value")).drop("_s")
 
 
