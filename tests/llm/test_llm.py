@@ -98,6 +98,18 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert quality_rules.consistency(0.75) > 1 and quality_rules.chi_square(quality_rules.chi_quantile(0.975, 4), 4) == pytest.approx(0.975)
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_junk_of_a_third_of_a_source_goes(spark, same):
+    random.seed(8)
+    words = [a + b for a in ("sta", "mer", "lo", "fin", "tra") for b in ("ne", "dow", "ly", "ger", "s", "tion")]
+    clean = lambda: " ".join(random.choice(words) for _ in range(120)).capitalize() + "."
+    junk = lambda: " ".join(random.choice(words) + random.choice(["***", "###", "|", "$$"]) for _ in range(random.randint(80, 160)))
+    one = junk()
+    data = [(i, clean() if i % 3 else one if same else junk(), "en", "s0", 0) for i in range(600)] + [(600 + i, clean(), "en", "s1", 0) for i in range(100)]
+    got = quality_rules.quality_rules(spark.createDataFrame(data, DOCS)).collect()
+    assert not any(r["base_failed"] for r in got) and all(r["kept"] == (r["doc_id"] % 3 != 0 or r["doc_id"] >= 600) for r in got)
+
+
 def test_maxscore(spark):
     random.seed(5)
     data = [(i, [random.gauss(0, 0.2) + (i % 3) * 0.1 for _ in range(8)]) for i in range(130)]

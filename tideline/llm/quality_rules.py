@@ -1,19 +1,21 @@
 """Quality rules: base rules and robust multivariate outliers.
 
 Every text becomes a vector of four transformed statistics. For each language and source, a minimum-covariance-
-determinant estimate (the mean and covariance of the tightest `support` of its rows, found by concentration steps from
-coordinate-wise medians) says what is usual there; rows at a large Mahalanobis distance are rejected.
+determinant estimate (the mean and covariance of the tightest half of its rows, found by concentration steps from
+coordinate-wise medians) says what is usual there; rows at a large Mahalanobis distance are rejected. The half is the
+usual (rows + components + 1) / 2, so junk of any shape must be nearly half of a group before it can be taken for usual.
 
 The vectors are whole numbers on a grid, so medians come from exact histograms, and sums are exact whatever the order
 of partitions. A concentration step is one aggregation by group and distance bin: the bins that hold the closest part
-are summed, so no group is ever gathered, however many rows it has.
+are summed, so no group is ever gathered, however many rows it has. Of the bin at the edge only the share still wanted
+counts, so copies of one vector can't enter together beyond it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -78,14 +80,17 @@ def chi_quantile(q: float, dof: int) -> float:
     return high
 
 
+@lru_cache(maxsize=65536)
 def consistency(share: float) -> float:
     """What the covariance of the closest `share` of a normal sample is multiplied with to estimate the whole one's."""
     return share / chi_square(chi_quantile(share, P), P + 2)
 
 
-def shape(frames: Iterator[pd.DataFrame], factor: float) -> Iterator[pd.DataFrame]:
-    """From sums to centre and inverse covariance, for a batch of groups."""
+def shape(frames: Iterator[pd.DataFrame], share: float | None = None) -> Iterator[pd.DataFrame]:
+    """From sums to centre and inverse covariance, for a batch of groups; `share` is that of the rows summed, if it isn't
+    to be the one found."""
     for f in frames:
+        factor = np.array([consistency(share or n / rows) for n, rows in zip(f["n"], f["rows"], strict=True)])
         n = np.maximum(f["n"].to_numpy(float), 1)
         mean = np.stack([f[f"s{i}"].to_numpy(float) / n for i in range(P)], 1)
         cov = np.zeros((len(f), P, P))
@@ -114,7 +119,7 @@ def bounded(estimates: DataFrame, groups: int) -> DataFrame:
     return F.broadcast(estimates) if groups <= BROADCAST_GROUPS else estimates
 
 
-def fit(stats: DataFrame, support: float = 0.75, steps: int = 4, least: int = 60) -> tuple[DataFrame, int]:
+def fit(stats: DataFrame, steps: int = 4, least: int = 60) -> tuple[DataFrame, int]:
     """Estimates by language and source from all rows that pass the base rules, and how many there are.
 
     A source with fewer than `least` rows takes its language's estimate, a language with fewer that of all rows."""
@@ -144,11 +149,14 @@ def fit(stats: DataFrame, support: float = 0.75, steps: int = 4, least: int = 60
         measured = points.join(bounded(found, groups), GROUP).withColumn("_bin", F.floor(32 * F.log2(1 + distance())))
         bins = measured.groupBy(*GROUP, "_bin", "rows").agg(*moments)
         before = F.coalesce(F.sum("n").over(Window.partitionBy(*GROUP).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        closest = bins.withColumn("_before", before).where(F.col("_before") < F.ceil(support * F.col("rows")))
-        summed = closest.groupBy(*GROUP, "rows").agg(*(F.sum(c).alias(c) for c in names))
-        found = written(summed.mapInPandas(lambda f: shape(f, consistency(support)), ESTIMATE), "estimates")
+        wanted = F.least("rows", F.floor((F.col("rows") + P + 1) / 2)) - F.col("_before")
+        closest = bins.withColumn("_before", before).withColumn("_wanted", wanted).where("_wanted > 0")
+        edge = F.col("n") > F.col("_wanted")  # one bin a group at most; the others' sums stay exact
+        part = lambda c: F.coalesce(F.sum(F.when(~edge, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(edge, F.col(c) * (F.col("_wanted") / F.col("n")))), F.lit(0.0))
+        summed = closest.groupBy(*GROUP, "rows").agg(F.sum(F.least("n", "_wanted")).alias("n"), *(part(c).alias(c) for c in names[1:]))
+        found = written(summed.mapInPandas(shape, ESTIMATE), "estimates")
     near = points.join(bounded(found, groups), GROUP).where(distance() <= chi_quantile(0.975, P))
-    found = written(near.groupBy(*GROUP, "rows").agg(*moments).mapInPandas(lambda f: shape(f, consistency(0.975)), ESTIMATE), "estimates")
+    found = written(near.groupBy(*GROUP, "rows").agg(*moments).mapInPandas(lambda f: shape(f, 0.975), ESTIMATE), "estimates")
     keys = stats.select("_lang", "_source").distinct()
     values = [c for c in found.columns if c not in GROUP]
     usable = found.where((F.col("rows") >= least) | (F.col("_level") == 0)).select(*GROUP, F.struct(*values).alias("e"))
