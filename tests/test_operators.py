@@ -113,6 +113,15 @@ def test_contiguous_and_steps(spark):
     assert [r["step"] for r in T.assign_steps(logged).orderBy("order").collect()] == [0, 10, 11, 5, 6]
 
 
+def test_nesting_of_any_depth(spark):
+    deep = lambda n, leaf: f'{{"k{n}": {deep(n - 1, leaf)}}}' if n else leaf
+    texts = [deep(6, "1"), deep(9, "true"), '{"a": 2, "b": {"c": 3, "d": [{"e": 4}]}}', deep(6, '"text"'), "{}", None]
+    logs = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "run_id string, order long, json string")
+    assert {r["order"]: r["values"] for r in T.ingest_log(logs).collect()} == {0: {"k6/k5/k4/k3/k2/k1": 1}, 1: {"k9/k8/k7/k6/k5/k4/k3/k2/k1": 1}, 2: {"a": 2, "b/c": 3}}
+    flat = R.flatten_fields(logs.where("order <> 1").select(F.col("order").cast("string").alias("run_id"), F.try_parse_json("json").alias("config")))
+    assert {(r["run_id"], r["key"], r["json"]) for r in flat.collect()} == {("0", "k6.k5.k4.k3.k2.k1", "1"), ("2", "a", "2"), ("2", "b.c", "3"), ("2", "b.d", '[{"e":4}]'), ("3", "k6.k5.k4.k3.k2.k1", '"text"')}
+
+
 def test_compact_refuses_gaps(spark, tmp_path):
     rows = T.points_to_rows(points(spark, [1.0, 2.0, 3.0]))
     assert T.compact(rows, f"{tmp_path}/out").count() == 3

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tideline.functions import values as V
 from tideline.operators.series import reduce_series
 from tideline.operators.stats import robust_stats
-from tideline.plans.shared import join_groups
+from tideline.plans.shared import join_groups, written
 
 EMPTY = "∅"
 PRIORITY = ["running", "crashed", "failed", "finished"]
@@ -187,17 +187,18 @@ def scope_keys(points: DataFrame, runs: DataFrame | None = None) -> DataFrame:
 # ---- configs ----
 
 
-def flatten_fields(df: DataFrame, column: str = "config", depth: int = 4) -> DataFrame:
-    """(run_id, key, json) of every leaf of a variant object, keys joined by dots; only objects are descended."""
+def flatten_fields(df: DataFrame, column: str = "config") -> DataFrame:
+    """(run_id, key, json) of every leaf of a variant object, keys joined by dots; only objects are descended, to any depth.
+    The objects of each level are written and counted, until none is left."""
     spark, level = df.sparkSession, df.select("run_id", F.lit(None).cast("string").alias("key"), F.col(column).alias("v"))
     done = []
-    for k in range(depth):
-        name = f"_flat_{k}"
+    while not done or level.count():
+        name = f"_flat_{len(done)}"
         level.createOrReplaceTempView(name)
         level = spark.sql(f"SELECT run_id, concat_ws('.', {name}.key, e.key) AS key, e.value AS v FROM {name}, LATERAL variant_explode({name}.v) AS e")
         inner = F.schema_of_variant("v").startswith("OBJECT")
-        done.append(level.where(~F.coalesce(inner, F.lit(False))) if k < depth - 1 else level)
-        level = level.where(inner)
+        done.append(level.where(~F.coalesce(inner, F.lit(False))))
+        level = written(level.where(inner), "flat-level")
     return functools.reduce(DataFrame.unionByName, done).select("run_id", "key", F.to_json("v").alias("json"))
 
 

@@ -40,19 +40,20 @@ def contiguous_rows(rows: DataFrame) -> DataFrame:
     return rows.join(first, "run_id", "left").where(F.col("_bad").isNull() | (F.col("seq") < F.col("_bad"))).drop("_bad")
 
 
-def ingest_log(logs: DataFrame, column: str = "json", depth: int = 4) -> DataFrame:
-    """Values of logged JSON objects: nested keys joined by `/`, booleans as 0 and 1, numbers kept, anything else and
-    rows without a number dropped. logs: run_id, order and the JSON text."""
+def ingest_log(logs: DataFrame, column: str = "json") -> DataFrame:
+    """Values of logged JSON objects: nested keys joined by `/` to any depth, booleans as 0 and 1, numbers kept, anything
+    else and rows without a number dropped. logs: run_id, order and the JSON text. The objects of each level are written
+    and counted, until none is left."""
     spark = logs.sparkSession
     level, done = logs.select("run_id", "order", F.lit(None).cast("string").alias("key"), F.try_parse_json(column).alias("v")), []
-    for k in range(depth):
-        name = f"_log_{k}"
+    while not done or level.count():
+        name = f"_log_{len(done)}"
         level.createOrReplaceTempView(name)
         level = spark.sql(f"SELECT run_id, order, concat_ws('/', {name}.key, e.key) AS key, e.value AS v FROM {name}, LATERAL variant_explode({name}.v) AS e")
         kind = F.schema_of_variant("v")
         value = F.when(kind == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("double")).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get("v", "$", "double"))
         done.append(level.withColumn("value", value).where("value IS NOT NULL").drop("v"))
-        level = level.where(kind.startswith("OBJECT"))
+        level = written(level.where(kind.startswith("OBJECT")), "log-level")
     leaves = functools.reduce(DataFrame.unionByName, done)
     return leaves.groupBy("run_id", "order").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("values"))
 
