@@ -33,6 +33,29 @@ def test_query(spark, name):
     assert sorted(str([plain(r[c]) for c in columns]) for r in df.collect()) == sorted(str([plain(r[i]) for i in at]) for r in want.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["O1_sort_all_runs", "O2_sort_ui_all", "S12_replay_ops"])
+def test_query_whole(spark, name):
+    test_query(spark, name)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_sorts_place_every_run(spark):
+    runs = spark.read.parquet(f"{DATA}/customer.parquet").count()
+    for name in ("O1_sort_all_runs", "O2_sort_ui_all"):
+        assert sorted(r["place"] for r in entry.queries()[name](spark, DATA).collect()) == list(range(1, runs + 1))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_replay_gets_the_whole_log(spark, monkeypatch):
+    from tideline.sources import tables
+
+    seen = []
+    monkeypatch.setattr(tables, "replay_ops", lambda ops: seen.append(ops.count()) or ops)
+    entry.queries()["S12_replay_ops"](spark, DATA)
+    assert seen == [spark.read.parquet(f"{DATA}/events.parquet").count()]
+
+
 def test_registry():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 100

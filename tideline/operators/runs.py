@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tideline.functions import values as V
 from tideline.operators.series import reduce_series
 from tideline.operators.stats import robust_stats
-from tideline.plans.shared import join_groups, written
+from tideline.plans.shared import join_groups, ranks, written
 
 EMPTY = "∅"
 PRIORITY = ["running", "crashed", "failed", "finished"]
@@ -75,10 +75,19 @@ def sort_runs(records: DataFrame, spec: str, look=V.field) -> DataFrame:
     return records.orderBy(*sort_columns(spec, look), "run_id")
 
 
-def sort_runs_ui(records: DataFrame, by: str, down: bool = False) -> DataFrame:
-    """By a field with missing values last, names in natural order, then the newest first."""
+def sort_columns_ui(by: str, down: bool = False) -> list[Column]:
+    """Order by a field with missing values last, names in natural order, then the newest first."""
     c = V.natural_key(by) if by in ("name", "path") else F.col(by)
-    return records.orderBy(c.desc_nulls_last() if down else c.asc_nulls_last(), F.desc("created"), "run_id")
+    return [c.desc_nulls_last() if down else c.asc_nulls_last(), F.desc("created"), F.col("run_id").asc()]
+
+
+def sort_runs_ui(records: DataFrame, by: str, down: bool = False) -> DataFrame:
+    return records.orderBy(*sort_columns_ui(by, down))
+
+
+def placed_runs(records: DataFrame, *order: Column) -> DataFrame:
+    """All runs with their `place` from 1 in an order; no task holds them all."""
+    return ranks(records, [], *order).withColumnRenamed("rn", "place").drop("n")
 
 
 def list_runs(records: DataFrame, *tests: Column, sort: str = "", limit: int | None = None, columns: list[str] | None = None, look=V.field) -> DataFrame:

@@ -536,6 +536,19 @@ def O2_sort_ui(spark, d):
     return R.sort_runs_ui(M.runs(spark, d), "name").limit(25).select("id")
 
 
+@query(f"WITH {M.RUNS} SELECT id, row_number() OVER (ORDER BY isnan(acctbal), acctbal DESC, run_id) AS place FROM r")
+def O1_sort_all_runs(spark, d):
+    """O1 over every run: infinities, numbers, NaN last."""
+    order = R.sort_columns("acctbal:desc", lambda f: V.value(F.col("summary")[f]))
+    return R.placed_runs(M.runs(spark, d).select("id", "run_id", "summary"), *order, F.col("run_id").asc()).select("id", "place")
+
+
+@query(f"WITH {M.RUNS} SELECT id, row_number() OVER (ORDER BY name, created DESC, run_id) AS place FROM r")
+def O2_sort_ui_all(spark, d):
+    """O2 over every run."""
+    return R.placed_runs(M.runs(spark, d).select("id", "run_id", "name", "created"), *R.sort_columns_ui("name")).select("id", "place")
+
+
 @query(f"WITH {M.POINTS} SELECT key, seq, rn FROM (SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM p) WHERE rn <= 3")
 def O4_smallest(spark, d):
     return R.smallest(M.points(spark, d), ["key"], "seq", 3).select("key", "seq", F.col("rn").cast("long").alias("rn"))
@@ -712,8 +725,7 @@ def S12_replay_ops(spark, d):
     e = M.table(spark, d, "events")
     value = F.when(F.col("event_id") % 5 != 0, F.col("event_id").cast("string"))
     ops = e.select(F.col("event_type").alias("table"), F.col("user_id").cast("string").alias("pk"), value.alias("value"), F.col("event_id").alias("offset"))
-    last = ops.groupBy("table", "pk").agg(F.max("offset").alias("offset"))
-    return T.replay_ops(ops.join(last, ["table", "pk", "offset"]))
+    return T.replay_ops(ops)
 
 
 @query("WITH b AS (SELECT event_type AS log, min(event_id) FILTER (WHERE event_id % 701 = 700) AS bad FROM events GROUP BY log) SELECT log, event_id AS \"offset\" FROM events JOIN b ON event_type = log WHERE bad IS NULL OR event_id < bad")
