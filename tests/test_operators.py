@@ -122,6 +122,12 @@ def test_nesting_of_any_depth(spark):
     assert {(r["run_id"], r["key"], r["json"]) for r in flat.collect()} == {("0", "k6.k5.k4.k3.k2.k1", "1"), ("2", "a", "2"), ("2", "b.c", "3"), ("2", "b.d", '[{"e":4}]'), ("3", "k6.k5.k4.k3.k2.k1", '"text"')}
 
 
+def test_sniff(spark):
+    texts = {b'<?xml version="1.0"?><!--' + b"x" * 300 + b"--><svg>": "svg", b"\n" * 300 + b"<svg>": "svg", b" \t\r\x0b\x0c<?xml": "svg", b"<!DOCTYPE html><body><svg>": None, b"<SVG>": None, b"x\n<svg>": None, b"\xff\xfe\xe2<svg": None, b"\xe2": None, b"": None, b"\x89PNG\r\n\x1a\n<svg": "png", None: None}
+    df = spark.createDataFrame([(b, k) for b, k in texts.items()], "content binary, want string")
+    assert df.where(~T.sniff("content").eqNullSafe(F.col("want")) | ~T.sniff(F.col("content")).eqNullSafe(F.col("want"))).count() == 0
+
+
 def test_compact_refuses_gaps(spark, tmp_path):
     rows = T.points_to_rows(points(spark, [1.0, 2.0, 3.0]))
     assert T.compact(rows, f"{tmp_path}/out").count() == 3

@@ -747,6 +747,17 @@ def S15_sniff(spark, d):
     return M.table(spark, d, "pages").select("page_id", T.sniff(F.concat(head, F.unhex(F.lit("0000")))).alias("kind"))
 
 
+PAGE_HEADS = ["", " \n\t" * 200, '<?xml version="1.0"?><!--' + "x" * 300 + "--><svg>", "\n<svg>", "<p><svg>"]
+
+
+@query("SELECT page_id, CAST(k AS INT) AS k, CASE WHEN k IN (2, 3) OR regexp_matches(html, '^\\s*<(svg|\\?xml)') AND k < 2 THEN 'svg' END AS kind FROM pages, range(5) r(k)")
+def S15_sniff_pages(spark, d):
+    """Each page's whole content as it is, after white space, after an SVG's beginnings, and after a tag with an inline <svg."""
+    heads = F.posexplode(F.array(*map(F.lit, PAGE_HEADS))).alias("k", "head")
+    pages = M.table(spark, d, "pages").select("page_id", "html", heads)
+    return pages.select("page_id", "k", T.sniff(F.concat("head", "html").cast("binary")).alias("kind"))
+
+
 @query(f"WITH {M.MEDIA}, c AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ord) - 1 AS seq, ord, html FROM m), f AS (SELECT DISTINCT html FROM m WHERE ord % 23 <> 0), x AS (SELECT run_id, min(seq) AS bad FROM c WHERE html NOT IN (SELECT html FROM f) GROUP BY run_id) SELECT run_id, seq FROM c LEFT JOIN x USING (run_id) WHERE bad IS NULL OR seq < bad")
 def S16_visible_media(spark, d):
     m = M.media(spark, d)

@@ -124,10 +124,11 @@ def valid_prefix(records: DataFrame) -> DataFrame:
 
 
 def sniff(content: Column | str) -> Column:
-    """The image type that leading bytes show, null for none. The signatures are fixed values."""
+    """The image type that leading bytes show, null for none. The signatures are fixed values; an SVG begins, after white
+    space of any length, with `<svg` or `<?xml`."""
     head = F.hex(F.substring(content, 1, 12)) if isinstance(content, str) else F.hex(F.substr(content, F.lit(1), F.lit(12)))
-    text = F.lower(F.substring(content, 1, 256).cast("string"))
-    return F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpg").when(head.startswith("474946383761") | head.startswith("474946383961"), "gif").when(head.startswith("52494646") & head.endswith("57454250"), "webp").when(text.contains("<svg"), "svg")
+    text = (F.col(content) if isinstance(content, str) else content).cast("string")
+    return F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpg").when(head.startswith("474946383761") | head.startswith("474946383961"), "gif").when(head.startswith("52494646") & head.endswith("57454250"), "webp").when(text.rlike(r"\A[ \t\n\r\x0B\f]*+<(svg|\?xml)"), "svg")
 
 
 def catalog_media(items: DataFrame) -> tuple[DataFrame, DataFrame]:
