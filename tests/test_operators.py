@@ -128,6 +128,17 @@ def test_sniff(spark):
     assert df.where(~T.sniff("content").eqNullSafe(F.col("want")) | ~T.sniff(F.col("content")).eqNullSafe(F.col("want"))).count() == 0
 
 
+def test_medians_gather_no_group(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("a", 9), ("a", None), (None, 5), ("n", None)], "g string, v int")
+    found = R.group_sort_value(df, ["g"], "v")
+    assert {r["g"]: r["sort_value"] for r in found.collect()} == {"a": 2, None: 5, "n": None}
+    last = spark.createDataFrame([(f"r{i}", "k", x) for i, x in enumerate([4.0, 1.0, math.nan, 2.0, 9.0])] + [("r0", "o", 7.0), ("r0", "none", math.inf)], "run_id string, key string, value double")
+    media = spark.createDataFrame([], "run_id string, key string")
+    report = R.keys_report(last.select("run_id").distinct(), last, media)
+    assert {r["key"]: (r["runs"], r["min"], r["median"], r["max"]) for r in report.collect()} == {"k": (5, 1, 3, 9), "o": (1, 7, 7, 7), "none": (1, None, None, None)}
+    assert not any("percentile" in d._jdf.queryExecution().toString() for d in (found, report))
+
+
 def test_compact_refuses_gaps(spark, tmp_path):
     rows = T.points_to_rows(points(spark, [1.0, 2.0, 3.0]))
     assert T.compact(rows, f"{tmp_path}/out").count() == 3

@@ -34,7 +34,7 @@ def test_query(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["O1_sort_all_runs", "O2_sort_ui_all", "S12_replay_ops", "S15_sniff_pages", "S15_sniff", "P7_flatten", "J13_diff_fields"])
+@pytest.mark.parametrize("name", ["O1_sort_all_runs", "O2_sort_ui_all", "S12_replay_ops", "S15_sniff_pages", "S15_sniff", "P7_flatten", "J13_diff_fields", "P10_natural_order", "A16_group_sort_value", "A12_keys_report"])
 def test_query_whole(spark, name):
     test_query(spark, name)
 

@@ -143,7 +143,11 @@ def keys_report(runs: DataFrame, last: DataFrame, media: DataFrame, regex: str =
     """Per metric key: runs that hold it and min, median, max of their last finite values; per media key: runs, items."""
     shown = last.join(runs.select("run_id"), "run_id", "left_semi").where(F.col("key").rlike(regex))
     v = F.when(V.finite("value"), F.col("value"))
-    metrics = shown.groupBy("key").agg(F.lit("metric").alias("kind"), F.count_distinct("run_id").alias("runs"), F.lit(None).cast("long").alias("items"), F.min(v).alias("min"), F.percentile(v, F.lit(0.5)).alias("median"), F.max(v).alias("max"))
+    placed = ranks(shown.where(V.finite("value")).select("key", F.col("value").cast("double").alias("value")), ["key"], "value")
+    middle = lambda place: F.max(F.when(F.col("rn") == place, F.col("value")))
+    medians = placed.groupBy("key").agg((0.5 * middle(F.expr("(n + 1) div 2")) + 0.5 * middle(F.expr("n div 2 + 1"))).alias("median"))
+    metrics = shown.groupBy("key").agg(F.lit("metric").alias("kind"), F.count_distinct("run_id").alias("runs"), F.lit(None).cast("long").alias("items"), F.min(v).alias("min"), F.max(v).alias("max"))
+    metrics = metrics.join(medians, "key", "left").select("key", "kind", "runs", "items", "min", "median", "max")
     items = media.join(runs.select("run_id"), "run_id", "left_semi").where(F.col("key").rlike(regex)).groupBy("key").agg(F.lit("media").alias("kind"), F.count_distinct("run_id").alias("runs"), F.count(F.lit(1)).alias("items"), *(F.lit(None).cast("double").alias(c) for c in ("min", "median", "max")))
     return metrics.unionByName(items)
 
@@ -175,7 +179,9 @@ def group_tree(records: DataFrame, levels: list[str], look=V.field) -> DataFrame
 
 def group_sort_value(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The lower median of the members' keys."""
-    return df.groupBy(*by).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("sort_value"))
+    keyed = df.select(*(F.col(f"`{c}`") for c in by), F.expr(value).alias("_value"))
+    middle = ranks(keyed.where("_value IS NOT NULL"), by, "_value").where("rn = (n + 1) div 2").withColumnRenamed("_value", "sort_value").drop("rn", "n")
+    return join_groups(keyed.select(*(F.col(f"`{c}`") for c in by)).distinct(), middle, by, "left")
 
 
 def group_state(df: DataFrame, by: list[str]) -> DataFrame:

@@ -503,10 +503,8 @@ def P9_run_labels(spark, d):
 
 @query("SELECT page_id, row_number() OVER (ORDER BY page_id) AS place FROM pages")
 def P10_natural_order(spark, d):
-    from pyspark.sql import Window
-
     named = M.table(spark, d, "pages").select("page_id", F.concat(F.lit("Page"), F.col("page_id")).alias("name"))
-    return named.select("page_id", F.row_number().over(Window.orderBy(V.natural_key("name"))).cast("long").alias("place"))
+    return R.placed_runs(named, V.natural_key("name").asc()).select("page_id", "place")
 
 
 @query(f"WITH {M.POINTS} SELECT seq, CASE WHEN value > 0 AND isfinite(value) THEN round(log10(value), 6) END AS x FROM p")
