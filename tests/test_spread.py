@@ -119,3 +119,34 @@ def test_steps_and_contiguity(tasks):
     assert rows_of(T.assign_steps(tasks.createDataFrame(logged, "run_id string, order int, step double")), "run_id", "order", "step") == sorted(want)
     rows = tasks.createDataFrame([("r", i) for i in range(200) if i != 150] + [("z", 1)], "run_id string, seq long")
     assert rows_of(T.contiguous_rows(rows), "run_id", "seq") == [("r", i) for i in range(150)]
+
+
+@pytest.mark.parametrize("block", [1, 7, 65536])
+def test_smoothing_over_tasks(tasks, block):
+    pts = walk(6) + walk(7, 40, "s") + [("t", "k", i, float(i), 0.0, math.nan if i < 50 else 2.0) for i in range(90)] + [("u", "k", 0, 1.0, 0.0, 5.0), (None, "k", 0, None, 0.0, 4.0), (None, "k", 1, 3.0, 0.0, 4.0)]
+    placed = tasks.createDataFrame(pts, POINTS).repartition(3).withColumn("extra", F.lit("x"))
+    got = {(r["run_id"], r["seq"]): r["smoothed"] for r in S.twema(placed, 0.7, 3.0, block=block).collect()}
+    assert len(got) == len(pts)
+    state = {}
+    for run, _, seq, x, _, y in pts:
+        want = y
+        if x is not None and math.isfinite(y):
+            a, d, last = state.get(run, (0.0, 0.0, x))
+            w = 0.7 ** (max(x - last, 0.0) / 3.0)
+            state[run] = a, d, last = a * w + y, d * w + 1, x
+            want = a / d
+        assert got[run, seq] == pytest.approx(want, rel=1e-9, nan_ok=True), (run, seq)
+
+
+def test_thinning_ranks_once(tasks):
+    pts = walk(8, 120) + walk(9, 11, "s")
+    df = tasks.createDataFrame(pts, POINTS)
+    for last, every, n in [(None, None, None), (50, None, None), (None, 7, None), (50, 7, None), (50, 7, 4), (None, 3, 9), (200, None, 1), (3, 100, 2)]:
+        want = set()
+        for run in ("r", "s"):
+            own = [p[2] for p in pts if p[0] == run][-(last or 1000) :]
+            own = [p for i, p in enumerate(own) if not every or i % every == 0 or i == len(own) - 1]
+            if n and len(own) > n:
+                own = [own[round(j * ((len(own) - 1) / (n - 1) if n > 1 else len(own)))] for j in range(n)]
+            want |= {(run, p) for p in own}
+        assert set(rows_of(S.thin(df, last, every, n), "run_id", "seq")) == want, (last, every, n)

@@ -47,9 +47,9 @@ def bucketize(points: DataFrame, level: Column | int) -> DataFrame:
 def merge(buckets: DataFrame, up: Column | int) -> DataFrame:
     """Buckets `up` levels coarser; a negative number is an error. Arithmetic shifts round down, as floor does."""
     if isinstance(up, int) and up < 0:
-        raise ValueError("a merge cannot make buckets finer")
+        raise ValueError("buckets can only be merged upwards; use refine for a finer level")
     up = F.lit(up) if isinstance(up, int) else up
-    checked = F.when(up < 0, F.raise_error(F.lit("a merge cannot make buckets finer")).cast("int")).otherwise(up.cast("int"))
+    checked = F.when(up < 0, F.raise_error(F.lit("buckets can only be merged upwards; use refine for a finer level")).cast("int")).otherwise(up.cast("int"))
     lifted = buckets.withColumn("_up", checked).withColumns({"level": F.col("level") + F.col("_up"), "bucket": F.call_function("shiftright", F.col("bucket"), F.col("_up"))})
     return lifted.groupBy(*SERIES, "level", "bucket").agg(*summed())
 

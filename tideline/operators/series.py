@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from tideline.functions.values import finite, log_x, smooth_scale
 from tideline.plans.shared import in_order, join_groups, latest, previous, ranks, running, written
@@ -49,79 +54,139 @@ def extents(points: DataFrame, x: str = "step") -> DataFrame:
     return step.groupBy(*SERIES).agg(F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.min(F.when(F.col(x) > 0, F.col(x))).alias("x_positive"), F.every(F.col("_p").isNull() | (F.col(x) >= F.col("_p"))).alias("rises"))
 
 
-# ---- smoothing: an associative scan over blocks ----
+# ---- smoothing: an associative scan in row order ----
 
 
-def fold(x: np.ndarray, y: np.ndarray, alpha: float, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Running sums and weights of finite points, and each point's distance from the first, all in units of scale.
+def fold(x: np.ndarray, y: np.ndarray, first: np.ndarray, alpha: float, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Running sums and weights of finite points of many series, one after the other, and each point's distance from the
+    first of its series, all in units of scale. first: where a series begins.
 
     A point's state (a, d, D) is put after another's as (a1 * alpha^D2 + a2, d1 * alpha^D2 + d2, D1 + D2); doubling
-    steps give all prefixes."""
-    gap = np.append(0.0, np.maximum(np.diff(x), 0) / scale)
-    a, d, span = y.astype(float).copy(), np.ones(len(y)), gap.copy()
-    k = 1
-    while k < len(a):
-        w = alpha ** span[k:]
-        a[k:], d[k:], span[k:] = a[:-k] * w + a[k:], d[:-k] * w + d[k:], span[:-k] + span[k:]
+    steps, each of them for the points that still have others that far before them in their series, give all prefixes."""
+    step = np.where(first, 0.0, np.maximum(x - np.roll(x, 1), 0.0))
+    span = np.divide(step, scale, out=np.zeros(len(x)), where=step > 0)
+    place = np.arange(len(x))
+    place -= np.maximum.accumulate(np.where(first, place, 0))
+    a, d, k = y.astype(float), np.ones(len(y)), 1
+    while len(at := np.flatnonzero(place >= k)):
+        w = alpha ** span[at]
+        a[at], d[at], span[at] = a[at - k] * w + a[at], d[at - k] * w + d[at], span[at - k] + span[at]
         k *= 2
     return a, d, span
 
 
-def twema(points: DataFrame, alpha: float, scale: Column | str | float | None = None, x: str = "step", block: int = 4096) -> DataFrame:
-    """Adds `smoothed`: the time-weighted, debiased moving average of each series in row order. Non-finite values pass
-    through and don't move x. scale: one for each row's series; by default that of its whole span.
-
-    Series are cut into blocks of `block` points. Blocks are folded side by side, a short scan over the blocks of a
-    series carries their sums on, and each point adds what came before its block."""
-    span = F.max(F.col(x)) - F.min(F.col(x))
-    scales = points.groupBy(*SERIES).agg((smooth_scale(span) if scale is None else F.lit(float(scale))).alias("_scale")) if scale is None or isinstance(scale, (int, float)) else points.groupBy(*SERIES).agg(F.max(scale).alias("_scale"))
-    ok = finite("value")
-    numbered = ranks(points.where(ok).select(*SERIES, "seq", F.col(x).alias("_x"), F.col("value").alias("_y")), SERIES, "seq").drop("n")
-    numbered = numbered.withColumn("_block", F.floor((F.col("rn") - 1) / block)).drop("rn").join(scales, SERIES)
-
-    def blocks(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("seq")
-        a, d, span = fold(f["_x"].to_numpy(), f["_y"].to_numpy(), alpha, f["_scale"].iloc[0])
-        return f.assign(_a=a, _d=d, _span=span)
-
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    ids = f"run_id {kinds['run_id']}, key {kinds['key']}"
-    folded = written(numbered.groupBy(*SERIES, "_block").applyInPandas(blocks, f"{ids}, seq {kinds['seq']}, _x double, _y double, _block long, _scale double, _a double, _d double, _span double"), "folded")
-    edge = F.struct("_x", "_a", "_d", "_span")
-    ends = folded.groupBy(*SERIES, "_block").agg(F.min_by("_x", "seq").alias("x0"), F.max_by(edge, "seq").alias("e"), F.first("_scale").alias("_scale")).select(*SERIES, F.col("_block").alias("block"), "x0", F.col("e._x").alias("x1"), F.col("e._a").alias("a"), F.col("e._d").alias("d"), F.col("e._span").alias("span"), F.col("_scale").alias("scale"))
-
-    def carry(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("block")
-        a = d = 0.0
-        last, rows = None, []
+def folded_batches(batches: Iterator[pa.RecordBatch], alpha: float, x: str, block: int) -> Iterator[pa.RecordBatch]:
+    """The sorted rows of one task with the states of their series so far in it, `block` rows at a time: sum _a and weight
+    _d up to each finite point, its distance _span from the task's first one of that series at _x0; `_last` marks the
+    task's last row, which gets the state of its series' last finite point (at _x1). Rows without a finite point get no
+    sum."""
+    part, held, before = TaskContext.get().partitionId(), None, None  # before: key, a, d, span, x0, x1
+    for whole in batches:
+        for at in range(0, whole.num_rows, block):
+            b = whole.slice(at, block)
+            n = b.num_rows
+            code = [c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in (b.column("run_id"), b.column("key"))]
+            new = np.append(True, (code[0][1:] != code[0][:-1]) | (code[1][1:] != code[1][:-1]))
+            key = lambda i, b=b: (b.column("run_id")[i].as_py(), b.column("key")[i].as_py())
+            series = np.cumsum(new) - 1
+            xs, ys, scale = (b.column(c).cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False) for c in (x, "value", "_scale"))
+            ok = np.flatnonzero(np.isfinite(xs) & np.isfinite(ys))
+            own = series[ok]
+            first = np.append(True, own[1:] != own[:-1])[: len(ok)]
+            a, d, span = fold(xs[ok], ys[ok], first, alpha, scale[ok])
+            x0 = xs[ok][np.flatnonzero(first)[np.cumsum(first) - 1]] if len(ok) else np.zeros(0)
+            if before is not None and before[0] == key(0):
+                if len(more := np.flatnonzero(own == 0)):
+                    gap = max(xs[ok[0]] - before[5], 0.0)
+                    span[more] += before[3] + (gap / scale[ok[0]] if gap > 0 else 0.0)
+                    w = alpha ** (span[more] - before[3])
+                    a[more], d[more], x0[more] = a[more] + before[1] * w, d[more] + before[2] * w, before[4]
+            else:
+                before = None
+            if len(ok) and own[-1] == series[-1]:
+                before = (key(n - 1), a[-1], d[-1], span[-1], x0[-1], xs[ok[-1]])
+            elif series[-1] > 0:
+                before = None
+            made = {c: np.full(n, np.nan) for c in ("_a", "_d", "_span", "_x0", "_x1")}
+            for c, v in zip(made, (a, d, span, x0, xs[ok]), strict=True):
+                made[c][ok] = v
+            if held is not None:
+                yield held
+            last = np.zeros(n, bool)
+            held = pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, part, np.int32)), *(pa.array(v) for v in made.values()), pa.array(last)], [*b.schema.names, "_part", *made, "_last"])
+    if held is not None:
+        n = held.num_rows
+        end = dict(zip(("_a", "_d", "_span", "_x0", "_x1"), before[1:] if before else [float("nan")] * 5, strict=True))
+        yield held
+        # One more row a task tells the next ones where its last series stands.
+        tail = [held.column(c).slice(n - 1, 1) if c not in end and c != "_last" else pa.array([end.get(c, True)]) for c in held.schema.names]
+        yield pa.RecordBatch.from_arrays(tail, held.schema.names)
+
+
+def carry(frames: Iterator[pd.DataFrame], alpha: float) -> Iterator[pd.DataFrame]:
+    """For each task in order, the state that the series it may go on with has reached before it. A row a task."""
+    rows, state = [], None  # state: run_id, key, a, d, x1
+    for f in frames:
         for r in f.itertuples(index=False):
-            first = 0.0 if last is None else alpha ** (max(r.x0 - last, 0.0) / r.scale)
-            rows.append((r.run_id, r.key, r.block, a * first, d * first))
-            a, d, last = a * first * alpha ** r.span + r.a, d * first * alpha ** r.span + r.d, r.x1
-        return pd.DataFrame(rows, columns=["run_id", "key", "_block", "_ca", "_cd"])
-
-    several = ends.where("block > 0").select(*SERIES).distinct()  # a series of one block has nothing to carry
-    carried = ends.join(several, SERIES, "left_semi").groupBy(*SERIES).applyInPandas(carry, f"{ids}, _block long, _ca double, _cd double")
-    w = F.pow(F.lit(alpha), F.col("_span"))
-    smooth = folded.join(carried, [*SERIES, "_block"], "left").na.fill(0.0, ["_ca", "_cd"]).select(*SERIES, "seq", ((F.col("_a") + F.col("_ca") * w) / (F.col("_d") + F.col("_cd") * w)).alias("_s"))
-    return points.join(smooth, [*SERIES, "seq"], "left").withColumn("smoothed", F.coalesce("_s", "value")).drop("_s")
+            run, key, scale, part, a, d, span, x0, x1 = r
+            if state is not None and state[2] is not None:
+                rows.append((part, *state))
+            if state is None or (run, key) != state[:2]:
+                state = (run, key, None, None, None)
+            if a == a:
+                if state[2] is not None:
+                    w = alpha ** (span + (max(x0 - state[4], 0.0) / scale if x0 > state[4] else 0.0))
+                    a, d = a + state[2] * w, d + state[3] * w
+                state = (run, key, a, d, x1)
+    yield pd.DataFrame(rows, columns=["_part", "run_id", "key", "_ca", "_cd", "_cx"])
+
+
+def twema(points: DataFrame, alpha: float, scale: Column | str | float | None = None, x: str = "step", block: int = 65536) -> DataFrame:
+    """Adds `smoothed`: the time-weighted, debiased moving average of each series in row order. Non-finite values, and
+    points without an x, pass through and don't move x. scale: one for each row's series; by default that of its whole
+    span.
+
+    Rows are sorted by series and order over all tasks, each task folds its rows `block` at a time, however many series
+    they are of, and one row a task tells how far its last series has come; so a series of any length is spread."""
+    if scale is None:
+        scales = points.groupBy(*SERIES).agg(smooth_scale(F.max(x) - F.min(x)).alias("_scale"))
+        scaled = join_groups(points, scales, SERIES)
+    else:
+        scaled = points.withColumn("_scale", F.lit(float(scale)) if isinstance(scale, (int, float)) else F.col(scale) if isinstance(scale, str) else scale)
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    state = ["_a", "_d", "_span", "_x0", "_x1"]
+    schema = StructType([*scaled.schema.fields, StructField("_part", IntegerType()), *(StructField(c, DoubleType()) for c in state), StructField("_last", BooleanType())])
+    keys = [*SERIES, "seq"]
+    placed = scaled.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    folded = written(placed.mapInArrow(lambda batches: folded_batches(batches, alpha, x, block), schema), "folded")
+    ends = folded.where("_last").select(*SERIES, "_scale", "_part", *state).repartition(1).sortWithinPartitions("_part")  # a row a task
+    carried = ends.mapInPandas(lambda frames: carry(frames, alpha), f"_part int, run_id {kinds['run_id']}, key {kinds['key']}, _ca double, _cd double, _cx double")
+    met = join_groups(folded.where("NOT _last"), F.broadcast(carried), ["_part", *SERIES], "left")
+    gap = F.greatest(F.col("_x0") - F.col("_cx"), F.lit(0.0))
+    w = F.pow(F.lit(alpha), F.col("_span") + F.when(gap > 0, gap / F.col("_scale")).otherwise(0.0))
+    mean = F.when(F.col("_ca").isNull(), F.col("_a") / F.col("_d")).otherwise((F.col("_a") + F.col("_ca") * w) / (F.col("_d") + F.col("_cd") * w))
+    return met.withColumn("smoothed", F.when(F.isnan("_a"), F.col("value")).otherwise(mean)).select(*points.columns, "smoothed")
 
 
 def thin(points: DataFrame, last: int | None = None, every: int | None = None, n: int | None = None) -> DataFrame:
-    """The last `last` points of each series, of these every `every`-th and the final one, of these n evenly spaced."""
-    out = points
+    """The last `last` points of each series, of these every `every`-th and the final one, of these n evenly spaced.
+    A point's place after each step follows from the one before, so rows are ranked once."""
+    if not (last or n or every and every > 1):
+        return points
+    out = ranks(points, SERIES, "seq").withColumnsRenamed({"rn": "_rn", "n": "_n"})
     if last:
-        out = ranks(out, SERIES, "seq").where(F.col("rn") > F.col("n") - last).drop("rn", "n")
+        out = out.where(F.col("_rn") > F.col("_n") - last)
+        out = out.withColumns({"_rn": F.col("_rn") - F.greatest(F.col("_n") - last, F.lit(0)), "_n": F.least("_n", F.lit(last))})
     if every and every > 1:
-        out = ranks(out, SERIES, "seq").where(((F.col("rn") - 1) % every == 0) | (F.col("rn") == F.col("n"))).drop("rn", "n")
+        out = out.where(((F.col("_rn") - 1) % every == 0) | (F.col("_rn") == F.col("_n")))
+        out = out.withColumns({c: F.ceil((F.col(c) - 1) / every) + 1 for c in ("_rn", "_n")})
     if n:
-        ranked = ranks(out, SERIES, "seq")
-        step = (F.col("n") - 1) / (n - 1) if n > 1 else F.col("n").cast("double")
-        i = F.rint((F.col("rn") - 1) / step)  # the only index that can round to this place
+        step = (F.col("_n") - 1) / (n - 1) if n > 1 else F.col("_n").cast("double")
+        i = F.rint((F.col("_rn") - 1) / step)  # the only index that can round to this place
         near = F.array(*(F.greatest(F.least(i + k, F.lit(n - 1)), F.lit(0)) for k in (-1, 0, 1)))
-        hit = F.exists(near, lambda j: F.rint(j * step) == F.col("rn") - 1)
-        out = ranked.where((F.col("n") <= n) | hit).drop("rn", "n")
-    return out
+        hit = F.exists(near, lambda j: F.rint(j * step) == F.col("_rn") - 1)
+        out = out.where((F.col("_n") <= n) | hit)
+    return out.drop("_rn", "_n")
 
 
 def series_report(points: DataFrame, keys: Column, x: str = "step", since: float | None = None, until: float | None = None, last: int | None = None, every: int | None = None, n: int | None = None, smooth: float | None = None) -> DataFrame:

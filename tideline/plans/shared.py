@@ -80,8 +80,9 @@ def running(placed: DataFrame, by: list[str], value: Column) -> DataFrame:
     return carried(seen, by, F.sum("_value"), F.sum).withColumn("_sum", here + F.coalesce("_carried", F.lit(0))).drop("_value", "_carried")
 
 
-def ranks(df: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
-    """df with `rn`, the row's number from 1 within its group in that order, and the group's size `n`.
+def ranks(df: DataFrame, by: list[str], *order: Column | str, of_groups: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """df with `rn`, the row's number from 1 within its group in that order, and the group's size `n`. `of_groups` may add
+    columns to the table of groups (by, n), which the rows then get too.
 
     Rows are sorted by range over all tasks, so a group of any size is spread; a row's number is its place in its task
     plus what lies before that task, less what lies before its group."""
@@ -91,7 +92,9 @@ def ranks(df: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # one row a task
     placed = placed.join(F.broadcast(before), "_part").withColumn("_row", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    of_groups = of_groups or (lambda groups: groups)
     if not by:
-        return placed.withColumn("rn", F.col("_row") + 1).crossJoin(F.broadcast(sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")))).drop("_row")  # one row
+        whole = of_groups(sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")))  # one row
+        return placed.withColumn("rn", F.col("_row") + 1).crossJoin(F.broadcast(whole)).drop("_row")
     groups = placed.groupBy(*quoted).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("n"))
-    return join_groups(placed, groups, by).withColumn("rn", F.col("_row") - F.col("_first") + 1).drop("_row", "_first")
+    return join_groups(placed, of_groups(groups), by).withColumn("rn", F.col("_row") - F.col("_first") + 1).drop("_row", "_first")

@@ -252,7 +252,7 @@ o AS (SELECT run_id, key, seq, step, value, scale FROM f WHERE isfinite(value))"
 
 @query(f"WITH {SMOOTH}, z AS (SELECT a.run_id, a.key, a.seq, sum(b.value * pow(0.6, (a.step - b.step) / a.scale)) / sum(pow(0.6, (a.step - b.step) / a.scale)) AS s FROM o a JOIN o b ON a.run_id = b.run_id AND a.key = b.key AND b.seq <= a.seq GROUP BY ALL) SELECT p.run_id, p.key, p.seq, {mark('smoothed', 'coalesce(s, value)')} FROM p LEFT JOIN z USING (run_id, key, seq)")
 def W1_twema(spark, d):
-    return shown(S.twema(M.points(spark, d), 0.6, block=4), "run_id", "key", "seq", smoothed="smoothed")
+    return shown(S.twema(M.points(spark, d), 0.6), "run_id", "key", "seq", smoothed="smoothed")
 
 
 THIN = "SELECT run_id, key, seq FROM o WHERE {0}"
