@@ -357,3 +357,68 @@ def test_long_candidates(spark):
     texts = ["ab-" * 30_000, "12-" * 30_000, "ab-" * 30_000 + "1", core, "zz " * 30_000 + core]
     found = [r["s"] for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").select(listed(F.col("spans")).alias("s")).collect()]
     assert found[:3] == ["", "", ""] and found[3] == f"entropy_base64:0:{len(core)}" and found[4] == f"entropy_base64:90000:{90000 + len(core)}"
+
+
+def local_ranges(rows, length, hot, batch=7):
+    """The stages of the suffix sort on rows (rank, doc, text) without Spark; the ranges found for each document."""
+    full = pa.table({"rank": pa.array([r[0] for r in rows], pa.int64()), "doc": pa.array([r[1] for r in rows], pa.int64()), "text": [r[2] for r in rows]})
+    sort = lambda t: t.take(pa.array(np.argsort(t["h"].to_numpy(), kind="stable"))).combine_chunks().to_batches(max_chunksize=50)
+    keys = sort(pa.Table.from_batches(suffix_dedup.key_batches(iter(full.to_batches(max_chunksize=batch)), length, hot)))
+    places = defaultdict(list)
+    for b in suffix_dedup.repeated_keys(iter(keys)):
+        for r, d, at in zip(*(b.column(c).to_pylist() for c in ("rank", "doc", "at")), strict=True):
+            places[r, d].append(at)
+    some = full.append_column("places", pa.array([places.get((r[0], r[1])) for r in rows], pa.list_(pa.int64())))
+    sent = list(suffix_dedup.surroundings(iter(some.to_batches(max_chunksize=batch)), length, hot))
+    out = defaultdict(set)
+    for b in suffix_dedup.repeats(iter(sort(pa.Table.from_batches(sent))), length):
+        for r, d, s, e in zip(*(b.column(c).to_pylist() for c in ("rank", "doc", "begin", "end")), strict=True):
+            out[r, d] |= set(range(s, e))
+    return out, sent
+
+
+@pytest.mark.parametrize("longest", [150, 1 << 20])
+@pytest.mark.parametrize("often", [False, True])
+def test_suffix_sort_in_pieces(monkeypatch, longest, often):
+    monkeypatch.setattr(suffix_dedup, "LONGEST", longest)
+    random.seed(12)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(random.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(60)
+    rows = [(i, i * 7, text(random.randint(0, 60)) + (passage if i % 2 else passage[40:200]) + text(random.randint(0, 60)) + (passage if i % 5 == 0 else "")) for i in range(30)]
+    rows += [(30, 1, "x" * 700), (31, 1, ""), (31, 2, passage)]
+    hot = suffix_dedup.Strings(suffix_dedup.gram_hashes(np.frombuffer(passage.encode(), np.uint8)) if often else np.zeros(0, np.uint64))
+    got, _ = local_ranges(rows, 100, hot)
+    seen = set()
+    for rank, doc, t in sorted(rows):
+        want = set()
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                want |= set(range(s, s + 100))
+            seen.add(t[s : s + 100])
+        assert got.get((rank, doc), set()) == want, (rank, doc)
+
+
+def test_frequent_passages_send_few_rows():
+    """A passage in every document: with its strings known to be frequent, a task sends each of its surroundings once; what is left
+    are strings of the passage and a letter more, each in a seventeenth of the documents."""
+    random.seed(13)
+    text = lambda n: "".join(random.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = text(400)
+    rows = [(i, i, text(300) + passage + text(300)) for i in range(200)]
+    hot = suffix_dedup.Strings(suffix_dedup.gram_hashes(np.frombuffer(passage.encode(), np.uint8)))
+    got, sent = local_ranges(rows, 100, hot)
+    table = pa.Table.from_batches(sent).to_pandas()
+    with_bytes = table[table["bytes"].notna()]
+    assert with_bytes.groupby("h").size().max() <= 25 and all(len(got[i, i]) == (400 if i else 0) for i in range(200))
+
+
+def test_characters_survive(spark):
+    """Only what a cut has split goes from a text; marks of broken characters in the source stay."""
+    shared = "日本語の長い文章です。" * 12
+    data = [(1, "a � " + shared + "é", 3), (2, "bad � char stays " + shared[1:] + " � end", 3), (3, "� only", 7), (4, None, None), (5, "ü" + shared, 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, n_chars long").withColumns({c: F.lit(9) for c in ("row", "rank", "doc", "places", "copy", "ranges")})
+    got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(df).collect()}
+    assert got[1]["text"] == data[0][1] and got[3]["text"] == "� only" and got[3]["n_chars"] == 7 and got[4]["text"] is None
+    assert got[2]["text"] == "bad � char stays  � end" and got[2]["n_chars"] == len(got[2]["text"])
+    assert got[5]["text"] == "ü" and got[5].asDict().keys() == set(df.columns) and got[5]["places"] == 9

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,14 +10,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: `spark.checkpoint.dir`, or one of our own where it is unset."""
+    """The folder that the driver and all executors see: `spark.checkpoint.dir`. Where that is unset, a local session gets
+    one of its own; on a cluster it is an error, as no machine's own folder would do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tideline-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -43,6 +47,31 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def aside(docs: DataFrame, *own: str) -> DataFrame:
+    """docs as `row`, a struct of all columns but `own`, and these beside it: no working column's name can clash with one
+    of docs'. `back` takes it apart."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(F.struct(*rest or [F.lit(None).alias("none")]).alias("row"), *own)
+
+
+def back(df: DataFrame, columns: list[str], *own: str) -> list[Column]:
+    """These columns of the table that `aside(table, *own)` was made of, to be selected from df."""
+    return [F.col(c) if c in own else F.col("row").getField(c).alias(c) for c in columns]
+
+
+def join_spread(rows: DataFrame, known: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with known (key, rows: how many rows have that key, and more) on a key that a large part of all rows may
+    share. A key of over a thousandth of all rows is dealt over tasks of about a thousandth: its row in known is repeated
+    for them. There can be a thousand such keys at most, so they are broadcast, and two thousand repeated rows."""
+    total = known.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    least = max(1, -(-total // 1000))
+    parts = F.ceil(F.col("rows") / least).cast("int")
+    hot = known.where(F.col("rows") >= least).select(key, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64("row" if "row" in rows.columns else "doc_id", F.spark_partition_id()), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("rows") >= least, parts - 1).otherwise(0)))).drop("rows")
+    return dealt.join(spread, [key, "_salt"], how).drop("_salt")
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text, one row at least; a long text is never cut."""
     if not batch.num_rows:
