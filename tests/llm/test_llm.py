@@ -422,3 +422,22 @@ def test_characters_survive(spark):
     assert got[1]["text"] == data[0][1] and got[3]["text"] == "� only" and got[3]["n_chars"] == 7 and got[4]["text"] is None
     assert got[2]["text"] == "bad � char stays  � end" and got[2]["n_chars"] == len(got[2]["text"])
     assert got[5]["text"] == "ü" and got[5].asDict().keys() == set(df.columns) and got[5]["places"] == 9
+
+
+def test_bpe_of_long_words():
+    """Words of any length are merged by the recursion itself."""
+    tiktoken = pytest.importorskip("tiktoken")
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    words = bpe.MergedWords(path)
+    library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=words.ranks, special_tokens={})
+    random.seed(6)
+    tokens = [t.decode() for t in words.ranks if t.isalpha() and t.isascii()]
+    some = lambda letters, n: "".join(random.choice(letters) for _ in range(n))
+    texts = [some("ab", n) for n in (1, 599, 600, 601, 3000)] + ["a" * n for n in (601, 3000, 100_000)] + [some("abcdefghijklmnopqrstuvwxyz", n) for n in (601, 3000)]
+    texts += ["".join(random.choice(tokens) for _ in range(900)), "日本語の長い文章です" * 90, "a" * 700 + "-" * 700 + "aa" * 300]
+    for n in (7, 5000):  # few and many rows a recursion
+        words.clear()
+        words.ROWS = n * 1000
+        place = words.take([t.encode() for t in texts])
+        for t, k in zip(texts, place, strict=True):
+            assert words.ids[words.begin[k] : words.begin[k] + words.size[k]].tolist() == library.encode_ordinary(t), (n, len(t))

@@ -2,7 +2,12 @@
 
 Each task cuts its texts into words, and its own DuckDB merges the distinct ones: rows (word, position, token) join the
 table of merges, each word's leftmost pair of minimum rank is contracted, and the recursion goes on with the words that
-still changed. Aggregation ordered by position gives each word's ids and the bytes they stand for.
+still changed. Aggregation ordered by position gives each word's ids, and the bytes that a text's ids stand for.
+
+A word that is longer than any token has stretches that don't touch each other: whatever is merged lies in one token in the
+end, so a pair can only be kept from merging by pairs of lower rank within a token's length of it. In long words every
+pair that has the least rank within that distance is therefore contracted in the same step, of overlapping equal ones
+every other from the left, and a word of any length takes about as many steps as one of a few hundred bytes.
 """
 
 from __future__ import annotations
@@ -33,12 +38,33 @@ WITH RECURSIVE step AS (
         CASE WHEN pos = (best & 4294967295) THEN CAST(best >> 32 AS INTEGER) ELSE id END, best IS NULL
     FROM live LEFT JOIN least USING (word)
     WHERE pos IS DISTINCT FROM (best & 4294967295) + 1))
-SELECT word, list(id ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS bytes
-FROM step JOIN vocabulary USING (id) WHERE final GROUP BY word ORDER BY word
+SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE final GROUP BY word ORDER BY word
+"""
+#: Here a position is that of a token's first byte. `run` numbers overlapping pairs of equal rank; `clear` says that all
+#: of them up to this one have the least rank near them.
+MERGE_LONG = """
+WITH RECURSIVE step AS (
+    SELECT word, pos, id, size, 0 AS n FROM start
+    UNION ALL
+    (WITH live AS (SELECT * FROM step WHERE n < {steps}),
+    pairs AS (
+        SELECT l.word, l.pos, r.pos AS next, r.size, m.rank
+        FROM live l JOIN live r ON r.word = l.word AND r.pos = l.pos + l.size JOIN merges m ON m.a = l.id AND m.b = r.id),
+    near AS (
+        SELECT *, rank = min(rank) OVER (PARTITION BY word ORDER BY pos RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS least,
+            lag(rank) OVER w IS NOT DISTINCT FROM rank AND lag(next) OVER w = pos AS goes_on
+        FROM pairs WINDOW w AS (PARTITION BY word ORDER BY pos)),
+    runs AS (SELECT *, count_if(NOT goes_on) OVER (PARTITION BY word ORDER BY pos) AS run FROM near),
+    turns AS (SELECT *, row_number() OVER w % 2 = 1 AND count_if(NOT least) OVER w = 0 AS chosen FROM runs WINDOW w AS (PARTITION BY word, run ORDER BY pos)),
+    chosen AS (SELECT word, pos, next, size, rank FROM turns WHERE chosen)
+    SELECT l.word, l.pos, coalesce(c.rank, l.id), l.size + coalesce(c.size, 0), l.n + 1
+    FROM live l LEFT JOIN chosen c ON c.word = l.word AND c.pos = l.pos
+    WHERE l.word IN (SELECT word FROM chosen) AND NOT EXISTS (SELECT 1 FROM chosen d WHERE d.word = l.word AND d.next = l.pos)))
+SELECT word, pos, id, size, n FROM step JOIN (SELECT word, max(n) AS n FROM step GROUP BY word) USING (word, n) ORDER BY word, pos
 """
 DECODE = """
-SELECT n, string_agg(hex, '' ORDER BY pos) AS bytes
-FROM (SELECT n, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM lists) LEFT JOIN vocabulary USING (id) GROUP BY n ORDER BY n
+SELECT n, list(data ORDER BY pos) AS parts
+FROM (SELECT n, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM lists) JOIN vocabulary USING (id) GROUP BY n ORDER BY n
 """
 
 
@@ -55,100 +81,112 @@ def tables(path: str):
 
     ranks = read_ranks(path)
     pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})  # nothing is spilled to a machine's own folder
     a, b, rank = np.array(pairs, np.int64).T
     con.register("pairs", pa.table({"a": a.astype(np.int32), "b": b.astype(np.int32), "rank": rank}))
     con.execute("CREATE TABLE merges AS SELECT * FROM pairs")
-    con.register("tokens", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
+    con.register("tokens", pa.table({"id": pa.array(ranks.values(), pa.int32()), "data": pa.array(ranks, pa.binary())}))
     con.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens")
     return con
 
 
 class MergedWords:
-    """Ids and decoded bytes of the distinct words of a task, each merged once."""
+    """Ids of the distinct words of a task, each merged once."""
 
-    #: Words for one recursive query, and the longest word it takes: a step contracts one pair of each word, so a word of
-    #: n bytes may need n steps. Longer words are merged by tiktoken's engine over the same ranks.
-    GROUP, LONGEST, KEPT = 50_000, 600, 600_000
+    #: Rows that one recursion may make: a word of n bytes makes about n * n / 2 if it loses a pair a step.
+    ROWS, KEPT = 8_000_000, 600_000
+    #: From this size on a word loses pairs all along it in each step.
+    LONG = 600
 
     def __init__(self, path: str):
-        self.path, self.ranks, self.con = path, read_ranks(path), tables(path)
+        self.ranks, self.con = read_ranks(path), tables(path)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.reach = max(map(len, self.ranks))
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.ids, self.data = np.zeros(0, np.int32), np.zeros(0, np.uint8)
-        self.begin, self.size, self.data_begin, self.data_size = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids = np.zeros(0, np.int32)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def take(self, words: list[bytes]) -> np.ndarray:
         if len(self.index) > self.KEPT:
             self.clear()
         new = [w for w in words if w not in self.index]
-        short, long = [w for w in new if len(w) <= self.LONGEST], [w for w in new if len(w) > self.LONGEST]
-        for i in range(0, len(short), self.GROUP):
-            group = short[i : i + self.GROUP]
-            self.add(group, *self.merge(group))
-        if long:
-            import tiktoken
-
-            engine = tiktoken.Encoding("long", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})._core_bpe
-            ids = [engine.encode_single_piece(w) for w in long]
-            self.add(long, pa.array(ids, pa.list_(pa.int32())), decode_lists(self.con, pa.array(ids, pa.list_(pa.int32()))))
+        short, long = [w for w in new if len(w) < self.LONG], [w for w in new if len(w) >= self.LONG]
+        rows = np.cumsum([len(w) ** 2 // 2 + 1 for w in short])
+        cuts = np.flatnonzero(np.diff(rows // self.ROWS)) + 1 if short else []
+        for i, j in zip([0, *cuts], [*cuts, len(short)], strict=True):
+            if i < j:
+                self.add(short[i:j], self.merge(short[i:j]))
+        for w in long:
+            self.add([w], self.merge_long(w))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
-    def merge(self, words: list[bytes]) -> tuple[pa.Array, list[bytes]]:
+    def merge(self, words: list[bytes]) -> pa.Array:
         whole = [self.ranks.get(w) for w in words]  # a word that is a token is that token
         pieces = [w if k is None else b"\0" for w, k in zip(words, whole, strict=True)]
         buf, size = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
         ids, known = self.byte[buf], np.array([k is not None for k in whole], bool)
         ids[(np.cumsum(size) - size)[known]] = [k for k in whole if k is not None]
         start = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": ragged(np.zeros(len(words), np.int64), size).astype(np.int32), "id": ids, "whole": np.repeat(known, size)})
+        return self.run(MERGE, start)["ids"].combine_chunks()
+
+    def merge_long(self, word: bytes) -> pa.Array:
+        """A recursion keeps the rows of all its steps, so it stops after as many as ROWS allows and another goes on."""
+        n = len(word)
+        found = pa.table({"word": np.zeros(n, np.int32), "pos": np.arange(n, dtype=np.int32), "id": self.byte[np.frombuffer(word, np.uint8)], "size": np.ones(n, np.int32)})
+        while True:
+            found = self.run(MERGE_LONG.format(reach=self.reach, steps=max(1, self.ROWS // found.num_rows)), found)
+            if not found["n"][0].as_py():
+                return pa.ListArray.from_arrays(pa.array([0, found.num_rows], pa.int32()), found["id"].combine_chunks())
+            found = found.drop_columns(["n"])
+
+    def run(self, sql: str, start: pa.Table) -> pa.Table:
         self.con.register("start", start)
-        made = self.con.sql(MERGE).to_arrow_table().combine_chunks()
+        made = self.con.sql(sql).to_arrow_table()
         self.con.unregister("start")
-        return made["ids"].combine_chunks() if isinstance(made["ids"], pa.ChunkedArray) else made["ids"], list(map(bytes.fromhex, made["bytes"].to_pylist()))
+        return made
 
-    def add(self, words: list[bytes], ids: pa.Array, data: list[bytes]) -> None:
+    def add(self, words: list[bytes], ids: pa.Array) -> None:
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        flat_ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
         size = np.asarray(ids.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-        data_size = np.fromiter(map(len, data), np.int64, len(data))
         self.begin, self.size = np.append(self.begin, len(self.ids) + np.cumsum(size) - size), np.append(self.size, size)
-        self.data_begin, self.data_size = np.append(self.data_begin, len(self.data) + np.cumsum(data_size) - data_size), np.append(self.data_size, data_size)
-        self.ids, self.data = np.append(self.ids, flat_ids), np.append(self.data, np.frombuffer(b"".join(data), np.uint8))
+        self.ids = np.append(self.ids, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
 
 
-def decode_lists(con, lists: pa.Array) -> list[bytes]:
+def decode_lists(con, lists: pa.Array) -> pa.Array:
+    """The bytes of each list of ids, by an aggregation ordered by their places; none for a null list or id."""
     con.register("lists", pa.table({"n": pa.array(np.arange(len(lists))), "ids": lists}))
-    found = dict(con.sql(DECODE).fetchall())
+    made = con.sql(DECODE).to_arrow_table().combine_chunks()
     con.unregister("lists")
-    return [bytes.fromhex(found.get(i) or "") for i in range(len(lists))]
+    parts = made["parts"].combine_chunks() if isinstance(made["parts"], pa.ChunkedArray) else made["parts"]
+    flat_parts, sizes = parts.flatten(), np.zeros(len(lists), np.int64)
+    buf, inner = flat(flat_parts)
+    ends = np.concatenate(([0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
+    sizes[made["n"].to_numpy()] = np.diff(inner[ends])
+    return binary_array(buf, np.concatenate(([0], np.cumsum(sizes))))
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     words = MergedWords(path)
     for whole in batches:
-        for b in chunks(whole, "text", 8 << 20):
+        for b in chunks(whole, "text", 4 << 20):
             buf, offsets = flat(b.column("text"))
             starts = word_starts(buf, offsets)
             coded = binary_array(buf, np.append(starts, len(buf))).dictionary_encode()
             place = words.take(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(starts) else np.zeros(0, np.int64)
-            at = np.searchsorted(starts, offsets)
-            ends = np.concatenate(([0], np.cumsum(words.size[place])))[at]
-            ids = words.ids[ragged(words.begin[place], words.size[place])]
-            data = words.data[ragged(words.data_begin[place], words.data_size[place])]
-            data_ends = np.concatenate(([0], np.cumsum(words.data_size[place])))[at]
+            ends = np.concatenate(([0], np.cumsum(words.size[place])))[np.searchsorted(starts, offsets)]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words.ids[ragged(words.begin[place], words.size[place])]))
             keep = [i for i, x in enumerate(b.schema.names) if x != "text"]
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + [lists, binary_array(data, data_ends)], [b.schema.names[i] for i in keep] + ["ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + [lists, decode_lists(words.con, lists)], [b.schema.names[i] for i in keep] + ["ids", "decoded"])
 
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     """Each row of docs with `ids` (array<int>) and `decoded` (the bytes of those ids) instead of its text.
 
-    A null text is empty: no ids, no bytes. Repeated rows are encoded alike, an empty table gives an empty one, long
-    texts are taken whole. Other columns stay; one named ids or decoded is replaced. No shuffle: every row stays in its
+    A null text is empty: no ids, no bytes. Repeated rows are encoded alike, of equal ranks the leftmost pair is merged
+    first, an empty table gives an empty one; texts and words of any length are taken whole. Other columns stay; one named ids or decoded is replaced. No shuffle: every row stays in its
     partition.
     """
     kept = docs.drop("ids", "decoded")
@@ -160,7 +198,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
 def decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         made = decode_lists(tables(path), b.column("ids").cast(pa.list_(pa.int32())))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], [*b.schema.names, "decoded"])
+        yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, "decoded"])
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
