@@ -146,6 +146,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     seg = segments(plan(counts, capacity), capacity)
     earlier = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select("block", "length", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
-    numbered = pieces.join(before, ["block", "length"]).select(*(c for c in pieces.columns if c not in ("block", "nth")), (F.col("_before") + F.col("nth")).alias("number"))
+    # Counts by block grow with the number of tasks, so they are never broadcast; a key's pieces are those of one task.
+    numbered = pieces.join(before.hint("merge"), ["block", "length"]).select(*(c for c in pieces.columns if c not in ("block", "nth")), (F.col("_before") + F.col("nth")).alias("number"))
     out = T.StructType([f for f in numbered.schema.fields if f.name != "number"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return numbered.mapInArrow(lambda batches: place(batches, seg), out)
