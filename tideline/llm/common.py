@@ -59,17 +59,20 @@ def back(df: DataFrame, columns: list[str], *own: str) -> list[Column]:
     return [F.col(c) if c in own else F.col("row").getField(c).alias(c) for c in columns]
 
 
-def join_spread(rows: DataFrame, known: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined with known (key, rows: how many rows have that key, and more) on a key that a large part of all rows may
-    share. A key of over a thousandth of all rows is dealt over tasks of about a thousandth: its row in known is repeated
-    for them. There can be a thousand such keys at most, so they are broadcast, and two thousand repeated rows."""
+def join_spread(rows: DataFrame, known: DataFrame, keys: str | list[str], vary: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with known (keys, `rows`: how many rows have those, and more) on keys that a large part of all rows may
+    share. Keys of over a thousandth of all rows are dealt over tasks of about a thousandth, by a hash of the columns
+    `vary`; their row in known is repeated for each. There can be a thousand such keys at most, so they are broadcast, and
+    two thousand repeated rows. known's column `rows` is left out; null keys meet nothing."""
+    keys = [keys] if isinstance(keys, str) else keys
     total = known.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     least = max(1, -(-total // 1000))
     parts = F.ceil(F.col("rows") / least).cast("int")
-    hot = known.where(F.col("rows") >= least).select(key, parts.alias("_parts"))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64("row" if "row" in rows.columns else "doc_id", F.spark_partition_id()), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    hot = known.where(F.col("rows") >= least).select(*keys, parts.alias("_parts"))
+    salt = F.pmod(F.xxhash64(*vary, F.spark_partition_id()), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")
     spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("rows") >= least, parts - 1).otherwise(0)))).drop("rows")
-    return dealt.join(spread, [key, "_salt"], how).drop("_salt")
+    return dealt.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import written
+from tideline.llm.common import join_spread, written
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,12 +28,12 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(links: DataFrame) -> DataFrame:
     """From links (a, b) between longs to (node, root): the smallest node that each linked node reaches, for nodes that
     are not that root themselves. Every round is written to the shared folder; a node's links are only ever reduced to
-    their minimum and joined back to it, so a node with very many links is an aggregate, not a group in one task."""
+    their minimum and joined back to it over several tasks, so a node with very many links is never a group in one task."""
 
     def joined(pairs: DataFrame) -> DataFrame:
         """pairs (u, v) with the least v of each u, and u itself, as m."""
-        least = written(pairs.groupBy("u").agg(F.min("v").alias("m")), "star")
-        return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
+        least = written(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows")), "star")
+        return join_spread(pairs, least, "u", ["v"]).withColumn("m", F.least("u", "m"))
 
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while True:

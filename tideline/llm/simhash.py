@@ -3,10 +3,11 @@
 Two fingerprints that differ in at most 2r bits have a variant in common that is within r bits of both. Every distinct
 fingerprint emits all its variants within r bits; fingerprints that meet at a variant are linked.
 
-The variants are dealt out by the values of a few chosen bits. A fingerprint is sent once to each value that a variant
-of it can have there, and its variants with that value are made where they are needed, so about a hundred rows are
-shuffled for its two thousand variants. Those that meet at one variant are all within 2r bits of each other, so each is
-linked to the least of them only, and no pairs within a group are spelled out.
+The shuffle is on variants, but doesn't send each of them: they are dealt out by the values of a few chosen bits, a cell,
+so a variant's cell is a function of the variant and all equal variants meet in it. A fingerprint is sent once to each
+cell that one of its variants lies in, and its variants there are made by the receiver, so about a hundred rows are
+shuffled for two thousand variants. Fingerprints that collide at one variant are linked to the least of them only, so no
+pairs within a group are spelled out; each such pair is verified by its distance.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import chunks, flat, ragged, text_or_empty, written
+from tideline.llm.common import aside, back, chunks, flat, join_spread, ragged, text_or_empty, written
 from tideline.llm.components import components, roots
 from tideline.llm.text_stats import word_bounds
 
@@ -72,7 +73,7 @@ def flips(places: tuple[int, ...], most: int) -> np.ndarray:
     return np.array([sum(1 << p for p in c) for k in range(most + 1) for c in itertools.combinations(places, k)], np.uint64)
 
 
-def meet(fps: np.ndarray, left: np.ndarray, free: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meet(fps: np.ndarray, left: np.ndarray, free: tuple[int, ...], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links among fingerprints whose other bits are set to the variants' already, with `left` flips left over the bits
     `free`. Too many variants at once are halved by the value of one more bit."""
     masks = [flips(free, k) for k in range(int(left.max(initial=0)) + 1)]
@@ -83,7 +84,7 @@ def meet(fps: np.ndarray, left: np.ndarray, free: tuple[int, ...]) -> Iterator[t
         for want in (np.uint64(0), bit):
             rest = left - ((value & bit) != want)
             own = rest >= 0
-            yield from meet(np.stack(((value[own] & ~bit) | want, source[own])), rest[own], free[1:])
+            yield from meet(np.stack(((value[own] & ~bit) | want, source[own])), rest[own], free[1:], distance)
         return
     value = np.concatenate([(fps[0][left == k][:, None] ^ m).ravel() for k, m in enumerate(masks)])
     source = np.concatenate([np.repeat(fps[1][left == k], len(m)) for k, m in enumerate(masks)])
@@ -94,8 +95,8 @@ def meet(fps: np.ndarray, left: np.ndarray, free: tuple[int, ...]) -> Iterator[t
         run = np.concatenate(([0], np.cumsum(~same)))
         begin = np.flatnonzero(np.concatenate(([True], ~same)))
         least = np.minimum.reduceat(source, begin)[run]
-        other = source != least
-        yield source[other], least[other]
+        near = (source != least) & (np.bitwise_count(source ^ least) <= distance)
+        yield source[near], least[near]
 
 
 def linked(batches: Iterator[pa.RecordBatch], places: tuple[int, ...], radius: int) -> Iterator[pa.RecordBatch]:
@@ -109,7 +110,7 @@ def linked(batches: Iterator[pa.RecordBatch], places: tuple[int, ...], radius: i
         for k, p in enumerate(places):
             spread |= (cell.astype(np.uint64) >> np.uint64(k) & np.uint64(1)) << np.uint64(p)
         left = radius - np.bitwise_count((fp & np.uint64(bits)) ^ spread).astype(np.int64)
-        found = list(meet(np.stack(((fp & np.uint64(~bits & (1 << 64) - 1)) | spread, fp)), left, free))
+        found = list(meet(np.stack(((fp & np.uint64(~bits & (1 << 64) - 1)) | spread, fp)), left, free, 2 * radius))
         if found:
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             node, root = roots(a, b)
@@ -157,30 +158,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, distance:
     component_id are replaced.
     """
     kept = docs.drop("fp", "component_id")
-    keep = [c for c in kept.columns if c != "text"]
-    schema = T.StructType([kept.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
-    marked = written(kept.mapInArrow(lambda batches: fingerprint_batches(batches, keep, shingle, seed), schema), "fingerprints")
-    return marked.join(by_fingerprint(marked, distance), "fp").select(*keep, "fp", "component_id")
+    work = aside(kept, "text")
+    schema = T.StructType([work.schema["row"], T.StructField("fp", T.LongType())])
+    marked = written(work.mapInArrow(lambda batches: fingerprint_batches(batches, ["row"], shingle, seed), schema), "fingerprints")
+    marked = marked.withColumn("doc_id", F.col("row").getField("doc_id"))
+    found = join_spread(marked, by_fingerprint(marked.select("doc_id", "fp"), distance), "fp", ["doc_id"])
+    return found.select(*back(found, [c for c in kept.columns if c != "text"]), "fp", "component_id")
 
 
 def by_fingerprint(marked: DataFrame, distance: int) -> DataFrame:
-    """For each fingerprint of marked (doc_id, fp): the least fingerprint it reaches and that component's least doc_id."""
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    """For each fingerprint of marked (doc_id, fp): how many rows have it, the least fingerprint it reaches (root) and that
+    component's least doc_id."""
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct-fingerprints")
     found = components(link_fingerprints(distinct.select("fp"), distance))
-    rooted = written(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    return written(rooted.join(least, "root").select("fp", "root", "component_id"), "fingerprint-components")
+    rooted = written(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.col("rows").alias("copies"), F.coalesce("root", "fp").alias("root")), "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("rows")), "component-ids")
+    return written(join_spread(rooted, least, "root", ["fp"]).select("fp", "root", "component_id", F.col("copies").alias("rows")), "fingerprint-components")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
     """Of each component of near duplicates the row with the smallest doc_id (a null one is the largest; of rows that share
-    it that of the least hash, of repeated rows one), with docs' columns. Texts are shuffled once, by a hash of doc_id and
-    text; what is kept grows with the input, so it is never broadcast."""
-    key = F.xxhash64("doc_id", text_or_empty(), F.col("doc_id").isNull())
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("_key", T.LongType()), T.StructField("fp", T.LongType())])
-    keyed = docs.select("doc_id", key.alias("_key"), "text")
-    ids = written(keyed.mapInArrow(lambda batches: fingerprint_batches(batches, ["doc_id", "_key"], shingle, seed), schema), "fingerprints")
-    of_root = ids.join(by_fingerprint(ids, distance), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("best"))
-    kept = written(of_root.select("best._key"), "kept-rows")
-    met = docs.withColumn("_key", key).join(kept.hint("shuffle_hash"), "_key", "left_semi")
-    return met.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_nth = 1").select(docs.columns)
+    it that of the least hash, of repeated rows one), with docs' columns. Texts are shuffled once, by two hashes of doc_id
+    and text; what is kept grows with the input, so it is never broadcast. An empty table gives none."""
+    work = aside(docs, "text")
+    doc_id, text = F.col("row").getField("doc_id"), text_or_empty()
+    keys = [F.xxhash64(doc_id, text, doc_id.isNull()).alias("key"), F.xxhash64(text, doc_id).alias("check")]  # 128 bits
+    keyed = work.select("row", "text", *keys)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("key", "check", "fp"))])
+    narrow = keyed.select(doc_id.alias("doc_id"), "key", "check", "text")
+    ids = written(narrow.mapInArrow(lambda batches: fingerprint_batches(batches, ["doc_id", "key", "check"], shingle, seed), schema), "fingerprints")
+    best = ids.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "check")).alias("best"))  # a row a fingerprint
+    best = best.join(by_fingerprint(ids, distance).select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    kept = written(best.select("best.key", "best.check"), "kept-rows")
+    met = keyed.join(kept.hint("shuffle_hash"), ["key", "check"], "left_semi")
+    once = met.withColumn("nth", F.row_number().over(Window.partitionBy("key", "check").orderBy("key"))).where("nth = 1")
+    return once.select(*back(once, docs.columns, "text"))

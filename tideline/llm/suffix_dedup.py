@@ -338,7 +338,7 @@ def repeated_ranges(docs: DataFrame, length: int, frequent: int | None) -> tuple
     id_ = ["rank", "doc"]
     small = written(marked.select(*id_, F.sha2(text.cast("binary"), 256).alias("digest"), F.octet_length(text).cast("long").alias("n")), "text-digests")
     first = written(small.where(F.col("n") >= length).groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "first-texts")
-    copies = join_spread(small.withColumn("row", F.struct(*id_)), first, "digest").where("rank > first").select(*id_).distinct().withColumn("copy", F.lit(True))
+    copies = join_spread(small, first, "digest", id_).where("rank > first").select(*id_).distinct().withColumn("copy", F.lit(True))
     total = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = frequent_strings(marked.select(*id_, "text"), length, total, frequent or 16)
     keys = marked.select(*id_, "text").mapInArrow(lambda b: key_batches(b, length, hot), "h long, rank long, doc long, place long")
