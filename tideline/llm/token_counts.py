@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tideline.llm.common import chunks, new_path, text_or_empty
+from tideline.llm.common import aside, back, chunks, join_spread, new_path, text_or_empty, written
 from tideline.llm.pretokens import LibraryWords
 
 CACHE = "content string, tokenizer string, n_tokens long"
@@ -38,9 +39,13 @@ def open_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def count_misses(batches, path: str):
-    words = LibraryWords(path)
+    """Counts of contents, each encoded once: rows of one content lie one after the other."""
+    words, last = LibraryWords(path), None
     for whole in batches:
         for b in chunks(whole, "text"):
+            content = b.column("content").to_pylist()
+            new = np.array([c != before for c, before in zip(content, [last, *content], strict=False)], bool)
+            b, last = b.filter(pa.array(new)), content[-1]
             yield pa.RecordBatch.from_arrays([b.column("content"), pa.array(words.counts(b.column("text")), pa.int64())], ["content", "n_tokens"])
 
 
@@ -51,19 +56,22 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     and white space change counts. Repeated rows and copies are encoded once and each get their count. An empty table
     gives an empty result, an empty text 0 tokens. A column of docs with one of the added names is replaced.
     `cache_path`: a folder that all executors see, kept between runs; without it the cache lives in the shared folder
-    for this call. The misses' texts are shuffled once, by content digest and document, so a text that a third of all
-    rows share does not meet in one task.
+    for this call. The misses' texts are shuffled once, by content digest and document, and counts come back to rows
+    over several tasks where many share one, so a text that a third of all rows share does not meet in one task.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
     cache_path = cache_path or new_path(spark, "token-counts")
-    keyed = docs.withColumns({"text": text_or_empty(), "_content": F.sha2(F.encode(text_or_empty(), "UTF-8"), 256)})
-    known = open_cache(spark, cache_path).where(F.col("tokenizer") == version).select(F.col("content").alias("_content"), F.col("n_tokens"))
-    chosen = keyed.groupBy("_content").agg(F.min("doc_id").alias("_doc")).join(known, "_content", "left_anti")
-    same = (F.col("k._content") == F.col("c._content")) & F.col("k.doc_id").eqNullSafe(F.col("c._doc"))
-    misses = keyed.select("doc_id", "text", "_content").alias("k").join(chosen.hint("shuffle_hash").alias("c"), same, "left_semi").select(F.col("_content").alias("content"), "text")
+    docs = docs.drop("n_bytes", "n_tokens", "over_limit")
+    content = F.sha2(F.encode(text_or_empty(), "UTF-8"), 256).alias("content")
+    keyed = docs.select("doc_id", text_or_empty().alias("text"), content)
+    known = lambda: open_cache(spark, cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
+    sizes = written(keyed.groupBy("content").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "contents")
+    chosen = sizes.select("content", "first").join(known(), "content", "left_anti")
+    same = (F.col("k.content") == F.col("c.content")) & F.col("k.doc_id").eqNullSafe(F.col("c.first"))
+    misses = keyed.alias("k").join(chosen.alias("c"), same, "left_semi").select("content", "text")
     counted = misses.mapInArrow(lambda batches: count_misses(batches, tokenizer_path), "content string, n_tokens long")
     counted.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    known = open_cache(spark, cache_path).where(F.col("tokenizer") == version).select(F.col("content").alias("_content"), F.col("n_tokens").alias("_n"))
-    plain = docs.withColumns({"_content": F.sha2(F.encode(text_or_empty(), "UTF-8"), 256), "n_bytes": F.octet_length(text_or_empty()).cast("long")})
-    return plain.join(known, "_content", "left").withColumns({"n_tokens": F.col("_n"), "over_limit": F.col("_n") > limit}).drop("_content", "_n")
+    work = aside(docs, "text").select("row", "text", content, F.octet_length(text_or_empty()).cast("long").alias("n_bytes"))
+    found = join_spread(work, sizes.join(known(), "content").select("content", "rows", "n_tokens"), "content", ["row.doc_id"], "left")
+    return found.select(*back(found, docs.columns, "text"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
