@@ -441,3 +441,26 @@ def test_bpe_of_long_words():
         place = words.take([t.encode() for t in texts])
         for t, k in zip(texts, place, strict=True):
             assert words.ids[words.begin[k] : words.begin[k] + words.size[k]].tolist() == library.encode_ordinary(t), (n, len(t))
+
+
+#: Texts whose secret only the entropy of its windows shows (its span), and texts that hold none.
+ONLY_ENTROPY = {"deploy with Q7x9LmZ2pWk4RtVb8NcYd3Hg1Js5Ff today": (12, 42), "the value is qXwLmZbpWkcRtVdbNeYdfHgJsFgKh indeed": (13, 42), "sum A3F09C81D27B4E6650F1 stays": (4, 24)}
+NO_SECRET = ["a wonderful internationalization/of/everything-there-is", "myVeryLongVariableNameWithoutEnd", "call 0123-4567-8901-2345-6789 now", "123e4567-e89b-12d3-a456-426614174000", "key wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "=" * 60, "xy" * 40, "Rindfleischetikettierungsueberwachungsaufgabe"]
+
+
+def test_secrets_that_only_entropy_finds(spark):
+    texts = [*ONLY_ENTROPY, *NO_SECRET]
+    found = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["base_spans"], sorted({(s["start"], s["end"]) for s in r["spans"]})) for r in secret_scan.scan(found).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == ([], [ONLY_ENTROPY[text]] if text in ONLY_ENTROPY else []), text
+    assert secret_scan.scan(found.limit(0)).count() == 0 and secret_scan.redact(found.limit(0)).count() == 0
+
+
+def test_very_many_secrets(spark):
+    """Places of matches past many blocks of them."""
+    text = " é ".join(f"token={i:012d}" for i in range(3000))
+    row = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = [(m.start(), m.end()) for m in re.finditer(r"token=\d+", text)]
+    assert [(s["start"], s["end"]) for s in row["spans"]] == want
+    assert secret_scan.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"] == re.sub(r"token=\d+", "[secret]", text)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import text_or_empty
+from tideline.llm.common import aside, back, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -51,14 +51,16 @@ CLASSES = (
     CharClass("entropy_hex", _DIGITS + "abcdefABCDEF", 20, 3.0),
     CharClass("entropy_base64", _DIGITS + _LOWER + _LOWER.upper() + "+/_=-", 20, 3.8),
 )
-#: Candidates that are no secrets: words, words joined by signs, numbers, UUIDs, marked examples. No repeated group may
-#: backtrack, as the JVM's stack would not hold that on long candidates.
+#: Candidates that are no secrets: words and words joined by signs, but not letters that change case as random ones do
+#: (a capital, one or two small letters, a capital again); numbers; UUIDs; keys that end in the mark of documentation. No
+#: repeated group may backtrack, as the JVM's stack would not hold that on long candidates.
 ALLOWED = (
-    r"^[A-Za-z+/_=-]*[A-Za-z][+/_=-]*$",
+    r"^(?!.*[a-z][A-Z]{1,2}[a-z]{1,2}[A-Z])[A-Za-z+/_=-]*[A-Za-z][+/_=-]*$",
     r"^[0-9]++(?:[-/_][0-9]++)*+$",
     r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"EXAMPLE|example",
+    r"EXAMPLE(?:KEY)?$",
 )
+BLOCK = 64  # matches whose places are summed up together
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -69,7 +71,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def found(text: Column, pattern: str, group: int) -> Column:
     """Leftmost matches that don't overlap: array of (start, text of the group, length of the match), in code points.
 
-    The pieces between the matches and the matches themselves lie end to end, so their lengths give the positions."""
+    The pieces between the matches and the matches themselves lie end to end, so their lengths give the positions: within
+    blocks of matches first, then for the blocks, so no list of all matches is copied for each match."""
     p = F.lit(pattern)
     whole, part, between = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group)), F.split(text, pattern, -1)
     lengths = F.arrays_zip(F.transform(between, lambda x: F.length(x)).alias("gap"), F.transform(whole, lambda x: F.length(x)).alias("size"), part.alias("part"))
@@ -78,8 +81,15 @@ def found(text: Column, pattern: str, group: int) -> Column:
         (acc["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("at"),
         F.when(x["size"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["part"].alias("part"), x["size"].alias("size"))))).alias("out"),
     )
-    all_of = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), all_of).otherwise(none)
+
+    def all_of(items: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK)), lambda k: F.slice(items, (k * BLOCK + 1).cast("int"), BLOCK))
+        summed = F.transform(parts, lambda b: F.aggregate(b, F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+        shifted = lambda out, at: F.transform(out, lambda m: F.struct((m["start"] + at).alias("start"), m["part"].alias("part"), m["size"].alias("size")))
+        join = lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(shifted(b["out"], acc["at"]))).alias("out"))
+        return F.aggregate(summed, F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<array<struct<start:int,part:string,size:int>>>)").alias("out")), join, lambda acc: F.flatten(acc["out"]))
+
+    return F.when(text.rlike(pattern), let(lengths, all_of)).otherwise(none)
 
 
 def surprising(s: Column, c: CharClass) -> Column:
@@ -123,27 +133,29 @@ def scan(docs: DataFrame, base: tuple[Base, ...] = BASE, classes: tuple[CharClas
     """docs with `base_spans` and `spans`: arrays of (start, rank, end, kind) by start, then kind as listed; code points
     of the whole text, end exclusive.
 
-    A null or empty text has no spans. Repeated rows are scanned alike; other columns stay, and one with the name of an
-    added column is replaced. Row by row: no shuffle, no state beyond a text's own matches.
+    A null or empty text has no spans, an empty table gives none. Repeated rows are scanned alike; spans that start alike
+    stay in the order of their kinds, and a span of one kind doesn't take anything from another's. Other columns stay,
+    and one with the name of an added column is replaced. Row by row: no shuffle, no state beyond a text's own matches.
     """
     span = lambda start, rank, end, kind: F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end"), F.lit(kind).alias("kind"))
-    work, text = docs.drop("base_spans", "spans").withColumn("_text", text_or_empty()), F.col("_text")
-    work = work.withColumns({f"_b{k}": found(text, b.pattern, b.group) for k, b in enumerate(base)} | {f"_c{k}": found(text, c.pattern, 0) for k, c in enumerate(classes)})
+    docs = docs.drop("base_spans", "spans")
+    work, text = aside(docs, "text").withColumn("whole", text_or_empty()), F.col("whole")
+    work = work.withColumns({f"b{k}": found(text, b.pattern, b.group) for k, b in enumerate(base)} | {f"c{k}": found(text, c.pattern, 0) for k, c in enumerate(classes)})
 
     def base_of(k: int, b: Base) -> Column:
-        long_enough = F.filter(F.col(f"_b{k}"), lambda m: F.length(m["part"]) >= b.least)
+        long_enough = F.filter(F.col(f"b{k}"), lambda m: F.length(m["part"]) >= b.least)
         return F.transform(long_enough, lambda m: span(m["start"], k, m["start"] + m["size"], b.kind))
 
     def added(k: int, c: CharClass) -> Column:
         listed_out = F.lit("|".join(f"(?:{a})" for a in allowed))
-        candidates = F.filter(F.col(f"_c{k}"), lambda m: ~F.rlike(m["part"], listed_out)) if allowed else F.col(f"_c{k}")
+        candidates = F.filter(F.col(f"c{k}"), lambda m: ~F.rlike(m["part"], listed_out)) if allowed else F.col(f"c{k}")
         each = lambda m: F.transform(surprising(m["part"], c), lambda s: span(m["start"] + s["begin"], len(base) + k, m["start"] + s["end"], c.kind))
         return F.filter(F.flatten(F.transform(candidates, each)), lambda s: ~F.exists(F.col("base_spans"), lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
 
     work = work.withColumn("base_spans", F.array_sort(F.concat(*(base_of(k, b) for k, b in enumerate(base)))))
     more = [added(k, c) for k, c in enumerate(classes)]
     work = work.withColumn("spans", F.array_sort(F.concat(F.col("base_spans"), *more)))
-    return work.drop("_text", *(f"_b{k}" for k in range(len(base))), *(f"_c{k}" for k in range(len(classes))))
+    return work.select(*back(work, docs.columns, "text"), "base_spans", "spans")
 
 
 def listed(spans: Column) -> Column:
@@ -153,13 +165,16 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs' rows and columns with every span, overlapping ones joined, replaced by `mark`; n_chars follows if present.
-    A text without spans stays as it is, a null text null."""
+    A text without spans stays as it is, a null text null; an empty table gives none."""
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])))).otherwise(acc["out"]).alias("out"),
     )
-    whole = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    changed = scan(docs).withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")))
+    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("out"))
+    whole = F.aggregate("spans", start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, F.length("text")))), mark))
+    changed = scan(aside(docs, "text")).withColumn("hit", F.size("spans") > 0)
+    changed = changed.withColumn("text", F.when(F.col("hit"), whole).otherwise(F.col("text")))
+    columns = dict(zip(docs.columns, back(changed, docs.columns, "text"), strict=True))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(docs.columns)
+        columns["n_chars"] = F.when(F.col("hit"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"]).alias("n_chars")
+    return changed.select(*columns.values())
