@@ -464,3 +464,32 @@ def test_very_many_secrets(spark):
     want = [(m.start(), m.end()) for m in re.finditer(r"token=\d+", text)]
     assert [(s["start"], s["end"]) for s in row["spans"]] == want
     assert secret_scan.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"] == re.sub(r"token=\d+", "[secret]", text)
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_equal_texts_share_a_shard(spark, hot):
+    """The law `bytes`, and groups: only a text that holds over a tenth of a shard is cut, whatever lies beside it."""
+    random.seed(21 + hot)
+    texts = [f"group {i} " + "x" * random.randint(50, 200) for i in range(400)]
+    data = [t for t in texts for _ in range(random.randint(1, 4))] + [f"one {i} " + "y" * random.randint(1, 300) for i in range(1000)]
+    data += ["hot " * 30] * (len(data) // 2 if hot else 0) + ["warm " * 20] * 30
+    random.shuffle(data)
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(3)
+    got = sharding.shard_documents(df, shards=8, ranges_a_shard=8, draws=4).collect()
+    loads, of = Counter(), defaultdict(set)
+    for r in got:
+        loads[r["shard"]] += r["size"]
+        of[data[r["doc_id"]]].add(r["shard"])
+    mean, held = sum(loads.values()) / 8, Counter()
+    for t in data:
+        held[t] += len(t) + 16
+    assert len(got) == len(data) and len(loads) == 8 and all(abs(v - mean) <= 0.1 * mean + 700 for v in loads.values())
+    assert all(len(s) == 1 for t, s in of.items() if held[t] <= 0.1 * mean) and (not hot or len(of["hot " * 30]) > 2)
+
+
+def test_boundaries_inside_texts():
+    low = sharding.LOWEST
+    sample = sorted([(5, i, i, 1.0) for i in range(90)] + [(k, 0, k, 1.0) for k in (1, 2, 3, 8, 9)])
+    assert sharding.finer(sample, 10, False) == {(5, low, low), (6, low, low)}
+    inside = [s for s in sample if s[0] == 5]
+    assert len(sharding.finer(inside, 10, True)) == 9 and all(b[0] == 5 for b in sharding.finer(inside, 10, True))
