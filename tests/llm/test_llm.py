@@ -493,3 +493,62 @@ def test_boundaries_inside_texts():
     assert sharding.finer(sample, 10, False) == {(5, low, low), (6, low, low)}
     inside = [s for s in sample if s[0] == 5]
     assert len(sharding.finer(inside, 10, True)) == 9 and all(b[0] == 5 for b in sharding.finer(inside, 10, True))
+
+
+def exact_mcd(x, lean, wide=None):
+    """Minimum covariance determinant by many random starts and exact steps; the language's estimate as `lean` rows more."""
+    q, floor = quality_rules, np.diag((np.array(quality_rules.FLOORS) * quality_rules.GRID) ** 2)
+    n, p = x.shape
+    h = min(n, (n + p + 1) // 2)
+
+    def with_wide(rows, factor):
+        if not len(rows):
+            return wide
+        m, c = rows.mean(0), factor * np.cov(rows.T, bias=True).reshape(p, p)
+        if wide is None:
+            return m, c
+        w, d = len(rows) / (len(rows) + lean), m - wide[0]
+        return w * m + (1 - w) * wide[0], w * c + (1 - w) * wide[1] + w * (1 - w) * np.outer(d, d)
+
+    def far(m, c):
+        return np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c + floor), x - m)
+
+    best, rng = None, np.random.default_rng(0)
+    for k in range(60):
+        m, c = (x[rng.choice(n, min(n, p + 1), replace=False)].mean(0), floor) if k or wide is None else wide
+        before = np.inf
+        while True:
+            m, c = with_wide(x[np.argsort(far(m, c), kind="stable")[:h]], q.consistency(h / n))
+            det = np.linalg.slogdet(c + floor)[1]
+            if best is None or det < best[0]:
+                best = det, m, c
+            if det > before - 1e-6:
+                break
+            before = det
+    return with_wide(x[far(*best[1:]) <= q.chi_quantile(0.975, p)], q.consistency(0.975))
+
+
+def test_outliers_are_those_of_an_exact_estimate(spark):
+    random.seed(31)
+    words = [a + b for a in ("sta", "mer", "lo", "fin", "tra", "Ka") for b in ("ne", "dow", "ly", "ger", "s", "tion")]
+    def made(kind):
+        ends = {"plain": ["", "", "", ","], "list": ["", ";", ":"], "junk": ["***", "###", "|", "$$"], "loud": ["!!!", "!", "?!"]}[kind]
+        text = " ".join(random.choice(words) + random.choice(ends) for _ in range(random.randint(60, 160)))
+        return text.upper() if kind == "loud" else text + "."
+    data = []
+    for lang, source, size, junk, usual in [("en", "a", 300, 0.3, "plain"), ("en", "b", 40, 0.2, "plain"), ("en", "c", 3, 0.4, "plain"), ("de", "a", 200, 0.05, "list"), ("de", "b", 1, 1.0, "list"), (None, "a", 90, 0.1, "plain")]:
+        data += [(len(data) + i, made(random.choice(["junk", "loud"]) if i < junk * size else usual), lang, source, 0) for i in range(size)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(data, DOCS).repartition(3)).collect()}
+    stats = quality_rules.quality_stats(pa.array([r[1] for r in data]))
+    x = np.stack(quality_rules.vectors(stats), 1).astype(float)
+    fine = np.array([not got[r[0]]["base_failed"] for r in data])
+    limit, floor = quality_rules.chi_quantile(1 - 1e-9, 4), np.diag((np.array(quality_rules.FLOORS) * quality_rules.GRID) ** 2)
+    for lang in {r[2] for r in data}:
+        wide = exact_mcd(x[[i for i, r in enumerate(data) if r[2] == lang and fine[i]]], 20)
+        for source in {r[3] for r in data if r[2] == lang}:
+            own = [i for i, r in enumerate(data) if r[2:4] == (lang, source) and fine[i]]
+            m, c = exact_mcd(x[own], 20, wide)
+            for i in own:
+                d = (x[i] - m) @ np.linalg.inv(c + floor) @ (x[i] - m)
+                assert got[i]["kept"] == (d <= limit) or 0.7 < d / limit < 1.4, (lang, source, d, got[i]["distance"])
+    assert all(got[r[0]]["kept"] == (not re.search(r"[*#|$!]", r[1])) for r in data if not got[r[0]]["base_failed"])
