@@ -552,3 +552,24 @@ def test_outliers_are_those_of_an_exact_estimate(spark):
                 d = (x[i] - m) @ np.linalg.inv(c + floor) @ (x[i] - m)
                 assert got[i]["kept"] == (d <= limit) or 0.7 < d / limit < 1.4, (lang, source, d, got[i]["distance"])
     assert all(got[r[0]]["kept"] == (not re.search(r"[*#|$!]", r[1])) for r in data if not got[r[0]]["base_failed"])
+
+
+def test_long_chains_in_blocks():
+    rng = np.random.default_rng(4)
+    offsets = np.array([0, 1, 1, 40, 47, 300, 700, 700, 703])
+    unary, chain = rng.normal(size=(703, 2)) * 3, rng.normal(size=(2, 2)) * 2
+    for block in (1, 2, 7, 64):
+        for a, b in zip(line_crf.forward_backward(unary, chain, offsets, block), line_crf.forward_backward(unary, chain, offsets), strict=True):
+            assert np.allclose(a, b), block
+    many = line_crf.forward_backward(rng.normal(size=(400_000, 2)), chain, np.array([0, 400_000]))
+    assert np.isfinite(many[2]) and np.allclose(many[0].sum(1), 1)
+
+
+def test_fit_takes_one_row_of_a_document(spark, monkeypatch):
+    """Rows that share a labelled doc_id are reduced to one before they are collected."""
+    seen = []
+    monkeypatch.setattr(line_crf, "train", lambda x, length, offsets, good: seen.append((len(good), len(x))))
+    rows = [(i, "Good line.\nAnother one.") for i in range(20)] + [(0, "again"), (0, "again"), (1, "\n".join(["many"] * 500))] * 30
+    line_crf.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int"))
+    fit_ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert seen[0][0] == len(fit_ids) and seen[0][1] <= 2 * len(fit_ids)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import chunks, flat, text_or_empty
+from tideline.llm.common import aside, back, chunks, flat, text_or_empty
 from tideline.llm.text_stats import _PUNCT, _SYMBOL, _UPPER, _WHITE, codes, line_bounds, word_bounds
 
 _DIGIT = np.zeros(256, bool)
@@ -68,30 +68,59 @@ class Model:
         return out
 
 
-def forward_backward(unary: np.ndarray, chain: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Chance of each line's labels, summed chances of each pair of neighbouring labels, log of the partition functions' product."""
-    size = np.diff(offsets)
+def sweep(first: np.ndarray, unary: np.ndarray, chain: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Forward sums of many chains side by side: those of lines begin[k] ... begin[k] + size[k] - 1, the first line's being
+    given. One step a line of the longest."""
+    alpha = np.zeros_like(unary)
     order = np.argsort(-size, kind="stable")
-    begin, size = offsets[:-1][order], size[order]
-    steps = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(steps), "left")  # documents with more than t lines
-    alpha, beta = unary.copy(), np.zeros_like(unary)
-    for t in range(1, steps):
+    begin, size = begin[order], size[order]
+    alpha[begin] = first[order]
+    live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")  # chains with more than t lines
+    for t in range(1, len(live)):
         at = begin[: live[t]] + t
         p = alpha[at - 1]
-        alpha[at] += np.logaddexp(p[:, :1] + chain[0], p[:, 1:] + chain[1])
-    for t in range(steps - 2, -1, -1):
-        at = begin[: live[t + 1]] + t
-        q = beta[at + 1] + unary[at + 1]
-        beta[at] = np.logaddexp(q[:, :1] + chain[:, 0], q[:, 1:] + chain[:, 1])
+        alpha[at] = unary[at] + np.logaddexp(p[:, :1] + chain[0], p[:, 1:] + chain[1])
+    return alpha
+
+
+def forward(unary: np.ndarray, chain: np.ndarray, begin: np.ndarray, size: np.ndarray, block: int) -> np.ndarray:
+    """Forward sums of chains. Long ones are cut in blocks: what a block makes of either label of its first line is found
+    for all blocks at once, a short loop over a chain's blocks gives each one's first line, and one sweep all lines."""
+    if not len(size) or size.max() <= 2 * block:
+        return sweep(unary[begin], unary, chain, begin, size)
+    count = -(-size // block)
+    chain_of = np.repeat(np.arange(len(size)), count)
+    nth = np.arange(len(chain_of)) - np.repeat(np.cumsum(count) - count, count)
+    start = begin[chain_of] + nth * block
+    length = np.minimum(block, size[chain_of] - nth * block)
+    never = np.array([[0.0, -np.inf], [-np.inf, 0.0]])
+    with np.errstate(invalid="ignore"):
+        ends = [sweep(np.tile(given, (len(start), 1)) + unary[start], unary, chain, start, length)[start + length - 1] for given in never]
+    first = unary[start].copy()
+    for k in np.flatnonzero(nth).tolist():  # a row a block
+        p = [first[k - 1, y] - unary[start[k - 1], y] for y in (0, 1)]
+        last = np.logaddexp(p[0] + ends[0][k - 1], p[1] + ends[1][k - 1])
+        first[k] = unary[start[k]] + np.logaddexp(last[0] + chain[0], last[1] + chain[1])
+    return sweep(first, unary, chain, start, length)
+
+
+def forward_backward(unary: np.ndarray, chain: np.ndarray, offsets: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray, float]:
+    """Chance of each line's labels, summed chances of each pair of neighbouring labels, log of the partition functions' product."""
+    size = np.diff(offsets)
+    own = size > 0
+    begin, size = offsets[:-1][own], size[own]
+    alpha = forward(unary, chain, begin, size, block)
+    n = len(unary)
+    turned = forward(unary[::-1], chain.T, n - begin - size, size, block)[::-1]  # the same from the other end
+    beta = turned - unary
     both = alpha + beta
     norm = np.logaddexp(both[:, 0], both[:, 1])
     chance = np.exp(both - norm[:, None])
-    inner = np.ones(len(unary), bool)
-    inner[offsets[:-1][np.diff(offsets) > 0]] = False
+    inner = np.ones(n, bool)
+    inner[begin] = False
     at = np.flatnonzero(inner)
     pair = np.exp(alpha[at - 1][:, :, None] + chain + (unary[at] + beta[at])[:, None, :] - norm[at, None, None]).sum(0)
-    return chance, pair, float(norm[offsets[:-1][np.diff(offsets) > 0]].sum())
+    return chance, pair, float(norm[begin].sum())
 
 
 def bad_share(model: Model, x: np.ndarray, length: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -147,12 +176,16 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 50_000) -> Model:
-    """Fitted on the driver on at most `sample` labelled documents of at most `longest` bytes, those of least hash among
-    the rows whose remainder isn't 2: under 200 MB of line features whatever the tables' sizes."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 50_000, most_lines: int = 200) -> Model:
+    """Fitted on the driver on at most `sample` labelled documents, those of least hash among the rows whose remainder
+    isn't 2, as far as they have at most `longest` bytes and `most_lines` lines: under 75 MB of line features, and 400 MB
+    while fitting, whatever the tables' sizes. Of rows that share a doc_id one is taken before they are collected."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (remainder(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").where(F.octet_length(text_or_empty()) <= longest).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    text = text_or_empty()
+    fits = (F.octet_length(text) <= longest) & (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) < most_lines)
+    texts = docs.select("doc_id", "text").where(fits).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -162,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 5
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(cut(x), pa.binary()), pa.array(cut(length.astype(np.int32)), pa.binary())], ["doc_id", "quality", "x", "length"])
 
     rows = texts.mapInArrow(features, T.StructType([docs.schema["doc_id"], T.StructField("quality", known.schema["quality"].dataType), T.StructField("x", T.BinaryType()), T.StructField("length", T.BinaryType())])).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["x"]))[:sample]
+    rows.sort(key=lambda r: r["doc_id"])
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, WIDTH).astype(float)
     length = np.frombuffer(b"".join(r["length"] for r in rows), np.int32)
     offsets = np.concatenate(([0], np.cumsum([len(r["length"]) // 4 for r in rows]))).astype(np.int64)
@@ -177,12 +210,13 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
     isn't held out; columns with the added names are replaced. No shuffle.
     """
     kept = docs.drop("held_out", "score", "predicted")
-    keep = [c for c in kept.columns if c != "text"]
+    work = aside(kept, "text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole, "text"):
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(score(model, b.column("text")))], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(score(model, b.column("text")))], ["row", "score"])
 
-    out = kept.mapInArrow(scored, T.StructType([kept.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())]))
-    return out.withColumns({"held_out": F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)), "predicted": (F.col("score") >= threshold).cast("int")})
+    out = work.mapInArrow(scored, T.StructType([work.schema["row"], T.StructField("score", T.DoubleType())]))
+    held = F.coalesce(remainder(F.col("row").getField("doc_id")) == 2, F.lit(False)).alias("held_out")
+    return out.select(*back(out, [c for c in kept.columns if c != "text"]), held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
