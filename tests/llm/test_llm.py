@@ -573,3 +573,28 @@ def test_fit_takes_one_row_of_a_document(spark, monkeypatch):
     line_crf.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int"))
     fit_ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2]
     assert seen[0][0] == len(fit_ids) and seen[0][1] <= 2 * len(fit_ids)
+
+
+CLASHES = "row key check nth root rank doc copy places ranges h at n rows first digest content tokenizer known _n _salt _parts _content _text _b0 _c1 b0 c0 whole hit _rank _doc _key _nth _lang _source lang_key source_key group_rows x0 _x0 m0 v00 c00 l_m0 med0 sd0 start before fp_ cell own least count done begin end".split()
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "reject", "op5", "redact", "op7", "keep_one", "op8", "op9", "op10", "without_repeats"])
+def test_columns_of_any_name_come_back(spark, rows, name):
+    path = P.path("byte_bpe_50k.json")
+    ops = {
+        "op1": lambda d: token_counts.count_tokens(d, path), "op2": quality_rules.quality_rules, "reject": quality_rules.reject_outliers, "op5": secret_scan.scan, "redact": secret_scan.redact,
+        "op7": simhash.near_duplicates, "keep_one": simhash.keep_one, "op8": lambda d: line_crf.score_documents(d, line_crf.train(np.zeros((0, line_crf.WIDTH)), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, bool))),
+        "op9": lambda d: bpe.encode_texts(d, P.path("byte_bpe_multi_50k.tiktoken")), "op10": suffix_dedup.remove_repeats, "without_repeats": suffix_dedup.without_repeats,
+    }
+    some = [r for r in rows if r[0] is not None][::3] + [rows[60], rows[62]]
+    plain = spark.createDataFrame(some, DOCS)
+    wide = plain.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES})
+    out = ops[name](wide)
+    kept = {"op2", "op7", "op8", "op9"}  # these leave the text out
+    assert [c for c in out.columns if c in wide.columns] == [c for c in wide.columns if c != "text" or name not in kept]
+    got, other = out.collect(), ops[name](plain).collect()
+    assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in got for c in CLASHES)
+    shown = lambda r: str([round(r[c], 6) if isinstance(r[c], float) else r[c] for c in other[0].asDict()])
+    assert Counter(map(shown, got)) == Counter(map(shown, other))
+    none = ops[name](wide.limit(0))
+    assert none.count() == 0 and none.columns == out.columns

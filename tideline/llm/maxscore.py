@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.llm.common import written
+
 
 class Shard:
     """Postings of one shard: for each dimension and sign, the vectors' places and their impacts, largest first."""
@@ -114,6 +116,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     fine = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
     weights = F.transform("embedding", lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("w")
     kept = vectors.where(fine & F.col("vec_id").isNotNull()).select("vec_id", weights, F.coalesce(is_query, F.lit(False)).alias("asks")).distinct()
+    kept = written(kept, "vectors")
     n = kept.count()
     shards = max(1, -(-n // shard_rows))
     blocks = max(1, -(-n // (100 * block)))
