@@ -1,5 +1,6 @@
 """Statistics, series, buckets and relations against plain recomputation."""
 
+import json
 import math
 import random
 
@@ -171,3 +172,22 @@ def test_write_out(spark, tmp_path):
     T.write_out(points(spark, [1.0, math.nan]), f"{tmp_path}/o", "csv", ["key", "value"])
     found = pd.concat(pd.read_csv(f, keep_default_na=False, dtype=str) for f in tmp_path.glob("o/*.csv"))
     assert sorted(found["value"]) == ["1.0", "nan"] and list(found.columns) == ["key", "value"]
+
+
+def test_run_report_of_one_run(spark):
+    records = spark.createDataFrame([("a/r1", "a/r1", "one", "running"), ("a/r2", "a/r2", "two", "failed")], "run_id string, path string, name string, state string")
+    p = points(spark, [1.0, 2.0, math.nan], run="a/r1").unionByName(points(spark, [5.0], run="a/r2"))
+    media = spark.createDataFrame([("a/r1", "img", 0, 3.0, 1.5, "png"), ("a/r2", "img", 0, 3.0, 1.5, "png")], "run_id string, key string, seq int, step double, t double, kind string")
+    folders = spark.createDataFrame([("", '{"x": 1}'), ("a", '{"y": 2}'), ("b", "{}")], "path string, j string").select("path", F.parse_json("j").alias("info"))
+    got = [tuple(r) for r in R.run_report(records, p, p, media, folders, F.col("run_id") == "a/r1").orderBy("section", "n").collect()]
+    assert {g[0] for g in got} == {"a/r1"} and [g[1:4] for g in got] == [("key", "k", 3), ("media", "img", 0), ("notes", "", 0), ("notes", "a", 1), ("run", "one", 3)]
+    assert got[0][4:6] == (0.0, 2.0) and math.isnan(got[0][6]) and got[1][5:] == (3.0, 1.5, "png") and got[3][7] == '{"y":2}' and got[4][5:] == (2.0, 1.0, "running")
+    assert R.run_report(records, p, p, media, folders).where("section = 'run'").count() == 2
+    assert R.index_report(records).first().asDict() == {"runs": 2, "running": 1, "crashed": 0, "failed": 1, "finished": 0}
+
+
+def test_merge_folder_notes(spark):
+    base = spark.createDataFrame([("a", '{"x": 1, "y": {"z": [1, null]}}'), ("b", "{}"), ("c", '{"q": "w"}')], "path string, j string").select("path", F.parse_json("j").alias("info"))
+    new = spark.createDataFrame([("a", "x", "2", 1), ("a", "x", '"last"', 2), ("a", 'odd "key"', "not json", 3), ("d", "n", None, 1), ("d", "m", "true", 1)], "path string, key string, value string, order int")
+    got = {r["path"]: r["j"] for r in T.merge_folder_notes(base, new).select("path", F.to_json("info").alias("j")).collect()}
+    assert {k: json.loads(v) for k, v in got.items()} == {"a": {"x": "last", "y": {"z": [1, None]}, 'odd "key"': "not json"}, "b": {}, "c": {"q": "w"}, "d": {"n": None, "m": True}}

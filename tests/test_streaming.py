@@ -1,5 +1,6 @@
 """Streams over staged files, against what they should leave."""
 
+import random
 import time
 
 import pytest
@@ -56,6 +57,56 @@ def test_change_feed(spark, tmp_path):
     assert [(r["batch"], r["run_id"], r["event"]) for r in events] == [(0, "a", "run"), (0, "a", "rows"), (1, "a", "rows"), (1, "a", "media"), (1, "a", "run"), (1, "b", "run"), (2, "a", "delete"), (2, "a", "run"), (2, "a", "rows")]
 
 
+def test_contiguity_over_gaps(spark, tmp_path):
+    """Rows of many batches in any order: each run's come once and in order, as far as none is missing."""
+    r = random.Random(3)
+    schema, runs = "run_id string, seq long, step double, value double", {"a": 60, "b": 35, "c": 1}
+    left = [(k, s, float(s), s / 2) for k, n in runs.items() for s in range(n) if (k, s) != ("b", 20)]
+    left += r.sample(left, 30)
+    r.shuffle(left)
+    for i in range(0, len(left), 30):
+        spark.createDataFrame(left[i : i + 30], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    drain(live.contiguous_stream(stream), tmp_path)
+    got = spark.read.parquet(f"{tmp_path}/o")
+    assert sorted(map(tuple, got.where("NOT gap").select("run_id", "seq", "value").collect())) == [(k, s, s / 2) for k, n in sorted(runs.items()) for s in range(n) if k != "b" or s < 20]
+    assert got.where("gap AND run_id = 'b' AND seq = 20").count() >= 1
+
+
+def test_versions(spark, tmp_path):
+    """A log that is merged every three versions gives the same table after any of them, also when one is written again."""
+    log = live.Versions(spark, f"{tmp_path}/log", lambda df: df.groupBy("k").agg(F.sum("n").alias("n")), every=3)
+    for v in range(8):
+        log.put(spark.createDataFrame([(i, v) for i in range(v % 3 + 1)], "k int, n int").withColumn("n", F.col("n").cast("long")), v)
+    log.put(spark.createDataFrame([(0, 7), (1, 7)], "k int, n long"), 7)
+    want = lambda v: {k: n for k in range(3) if (n := sum(x for x in range(v + 1) if x % 3 >= k)) or any(x % 3 >= k for x in range(v + 1))}
+    assert log.at(-1) is None and all({r["k"]: r["n"] for r in log.at(v).collect()} == want(v) for v in range(8))
+
+
+def test_a_silent_run_crashes(spark, tmp_path):
+    """A beat makes a run run; the timer expires when no other comes, and a later beat makes it run again."""
+    beat = lambda: spark.createDataFrame([("a", 1.0)], "run_id string, at double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    beat()
+    stream = spark.readStream.schema("run_id string, at double").parquet(f"{tmp_path}/in")
+    out = live.crash_stream(stream, limit=2.0).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/c")
+    query = out.foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{tmp_path}/o")).trigger(processingTime="1 second").start()
+    said = lambda: [r["state"] for r in spark.read.schema("run_id string, state string, batch long").parquet(f"{tmp_path}/o").orderBy("batch").collect()]
+
+    def until(states):
+        for _ in range(120):
+            if query.lastProgress and said() == states:
+                return True
+            time.sleep(0.5)
+        return False
+
+    try:
+        assert until(["running", "crashed"]), said()
+        beat()
+        assert until(["running", "crashed", "running", "crashed"]), said()
+    finally:
+        query.stop()
+
+
 def test_liveness(spark, tmp_path):
     spark.createDataFrame([("a", 1.0), ("b", 1.0)], "run_id string, at double").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("run_id string, at double").parquet(f"{tmp_path}/in")

@@ -114,17 +114,22 @@ def roll_up(base: DataFrame, known: DataFrame) -> DataFrame:
     return lifted.groupBy(*SERIES, "level", "bucket").agg(*summed())
 
 
-def grow(pyramid: DataFrame, known: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pyramid and spans with more points, late ones too: only the new points are summed and rolled up. fine stays;
-    where the top rises, the old top is lifted whole."""
+def growth(pyramid: DataFrame, known: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What more points, late ones too, add to a pyramid, and the spans after them. Only the new points are summed and
+    rolled up; where the top rises, the old top is lifted. Nothing else of the pyramid is read. fine stays."""
     new = spans(more).select(*SERIES, F.col("fine").alias("_fine"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     grown = known.join(new, SERIES, "full").select(*SERIES, F.col("top").alias("_old"), F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"), F.coalesce("fine", "_fine").alias("fine"))
     grown = grown.withColumn("top", F.greatest(F.coalesce("_old", "fine"), level_for(F.col("hi") - F.col("lo"))))
     delta = roll_up(bucketize(more.join(grown.select(*SERIES, "fine"), SERIES), F.col("fine")), grown)
-    risen = pyramid.join(grown.where("top > _old").select(*SERIES, "_old"), SERIES).where("level = _old").drop("_old")
+    risen = pyramid.join(grown.where("top > _old").select(*SERIES, F.col("_old").alias("level")), [*SERIES, "level"])
     lifted = roll_up(risen, grown).join(known.select(*SERIES, F.col("top").alias("_old")), SERIES).where("level > _old").drop("_old")
-    out = pyramid.unionByName(lifted).unionByName(delta).groupBy(*SERIES, "level", "bucket").agg(*summed())
-    return out, grown.select(*SERIES, "fine", "top", "lo", "hi")
+    return lifted.unionByName(delta), grown.select(*SERIES, "fine", "top", "lo", "hi")
+
+
+def grow(pyramid: DataFrame, known: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole pyramid and spans with more points. A store that is kept up adds the growth alone."""
+    added, grown = growth(pyramid, known, more)
+    return combine(pyramid, added), grown
 
 
 def compile_due(points: DataFrame, compiled: DataFrame, least: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +142,11 @@ def compile_due(points: DataFrame, compiled: DataFrame, least: int = 4096) -> tu
 def read_blocks(pyramid: DataFrame, known: DataFrame, asks: DataFrame) -> DataFrame:
     """Blocks asked for as (key, level, block), of all series: coarser than the top from the top, within the kept levels
     as stored, finer than those from the finest at mean steps."""
-    wanted = known.join(asks.select("key", F.col("level").alias("_level"), F.col("block").alias("_block")), "key")
+    return asked_of(pyramid, known.join(asks.select("key", F.col("level").alias("_level"), F.col("block").alias("_block")), "key"))
+
+
+def asked_of(pyramid: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Blocks (_level, _block) of each of the series in wanted."""
     wanted = wanted.withColumn("_from", F.greatest(F.least("_level", "top"), "fine"))
     held = pyramid.join(wanted, SERIES).where(F.col("level") == F.col("_from"))
     place = F.when(F.col("_level") >= F.col("level"), F.call_function("shiftright", F.col("bucket"), F.greatest(F.col("_level") - F.col("level"), F.lit(0)))).otherwise(bucket_of("step", F.col("_level")))
@@ -145,6 +154,18 @@ def read_blocks(pyramid: DataFrame, known: DataFrame, asks: DataFrame) -> DataFr
     return put.groupBy(*SERIES, "level", F.col("_block").alias("block"), "bucket").agg(*summed())
 
 
+def view_buckets(pyramid: DataFrame, known: DataFrame, width: int, px: int, zoom: tuple[float, float] | None = None) -> DataFrame:
+    """What a chart `width` wide with `px` a bucket shows of all series: the layers' blocks, the finer ones over the
+    coarser. The levels follow from one row; the blocks are a dozen at most."""
+    blocks = [(level, block) for level, (lo, hi) in layers(known, width, px, zoom) for block in range(math.floor(lo / (BLOCK * 2.0**level)), math.floor(hi / (BLOCK * 2.0**level)) + 1)]
+    if not blocks:
+        return pyramid.limit(0)
+    asks = F.array(*(F.struct(F.lit(level).cast("int").alias("_level"), F.lit(block).cast("long").alias("_block")) for level, block in blocks))
+    read = asked_of(pyramid, known.withColumn("_ask", F.explode(asks)).select("*", "_ask.*").drop("_ask"))
+    asked = known.sparkSession.range(1).select(F.explode(asks).alias("a")).select(F.col("a._level").alias("level"), F.col("a._block").alias("block"))
+    return overlay(read.drop("block"), asked)
+
+
 def keep_top_levels(pyramid: DataFrame, known: DataFrame, below: int = 2) -> DataFrame:
     return pyramid.join(known.select(*SERIES, "top"), SERIES).where(F.col("level") >= F.col("top") - below).drop("top")
 

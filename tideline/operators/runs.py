@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import values as V
-from tideline.operators.series import reduce_series
+from tideline.operators.series import key_stats, reduce_series
 from tideline.operators.stats import robust_stats
 from tideline.plans.shared import join_groups, ranks, written
 
 EMPTY = "∅"
+REPORT = [("name", "string"), ("n", "long"), ("first_step", "double"), ("last_step", "double"), ("value", "double"), ("text", "string")]
 PRIORITY = ["running", "crashed", "failed", "finished"]
 
 
@@ -32,6 +33,31 @@ def run_records(runs: DataFrame, summary: DataFrame, media: DataFrame) -> DataFr
     return out.withColumns({"path": F.col("run_id"), "parent": V.parent("run_id"), "step": F.col("_step"), "runtime": F.col("_runtime"), "summary": shown, "visible": F.lit(True)}).drop("_step", "_runtime")
 
 
+def run_report(records: DataFrame, rows: DataFrame, points: DataFrame, media: DataFrame, folders: DataFrame, chosen: Column | None = None) -> DataFrame:
+    """All that is known of the chosen runs (all without a choice), a row for each thing: run_id, section, name, n,
+    first_step, last_step, value, text.
+
+    `run`: name, rows, the last row's step and time, state. `key`: points, first and last step, last value. `media`: key,
+    number, step, time, kind. `notes`: folder on the way from the root, depth, its document as text. So a run of very many
+    keys or items is rows, never one list. folders: path, info; media: run_id, key, seq, step, t, kind."""
+    runs = records.where(chosen) if chosen is not None else records
+    ids = runs.select("run_id")
+    of_runs = lambda df: df.join(ids, "run_id", "left_semi") if chosen is not None else df
+    part = lambda df, section, **c: df.select("run_id", F.lit(section).alias("section"), *(V.col(c.get(k)).cast(kind).alias(k) if k in c else F.lit(None).cast(kind).alias(k) for k, kind in REPORT))
+    last = of_runs(rows).groupBy("run_id").agg((F.max("seq") + 1).alias("_rows"), F.max_by(F.struct("step", "t"), "seq").alias("_last"))
+    return functools.reduce(DataFrame.unionByName, (
+        part(runs.join(last, "run_id", "left").withColumn("_rows", F.coalesce("_rows", F.lit(0))), "run", name="name", n="_rows", last_step=F.col("_last.step"), value=F.col("_last.t"), text="state"),
+        part(key_stats(of_runs(points)), "key", name="key", n="points", first_step="first_step", last_step="last_step", value="last"),
+        part(of_runs(media), "media", name="key", n="seq", last_step="step", value="t", text="kind"),
+        part(notes_for(runs.withColumn("run_id", F.col("path")), folders).withColumnRenamed("run_id", "_path").join(runs.select("run_id", F.col("path").alias("_path")), "_path").withColumn("_text", F.to_json("info")), "notes", name="path", n="depth", text="_text"),
+    ))
+
+
+def index_report(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """How many runs there are and in which states, of all or for each value of `by` (a member workspace's `dir`)."""
+    return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), *(F.count_if(F.col("state") == s).alias(s) for s in PRIORITY))
+
+
 def effective_state(state: Column | str, heartbeat: Column | str, now: Column | float, limit: float = 300.0) -> Column:
     """A running run without a heartbeat for over `limit` seconds has crashed; a missing heartbeat is at 0."""
     now = F.lit(now) if isinstance(now, (int, float)) else now

@@ -803,17 +803,21 @@ def U4_bucket_union(spark, d):
     return B.finished(half(0).unionByName(half(1))).select("run_id", "key", "bucket", "n")
 
 
-@query()
+#: The view's levels (l0 over all, f1 over the zoom), its blocks, and what is read of them before the finer cover the coarser.
+VIEW = """w AS (SELECT *, greatest(1, least(800 / 4.0, 1.5e6 / n)) AS bk FROM (SELECT min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM s)),
+v AS (SELECT *, CAST(greatest(-20, least(62, ceil(log2((hi - lo) / bk)))) AS INT) AS l0, list_min(list_filter(range(-20, 63), lambda f: f >= ceil(log2(250000 / bk)) AND floor(1250000 / (256 * pow(2, f))) - floor(1000000 / (256 * pow(2, f))) < 8)) AS f1 FROM w),
+k AS (SELECT l0 AS lv, unnest(range(CAST(floor(lo / (256 * pow(2, l0))) AS BIGINT), CAST(floor(hi / (256 * pow(2, l0))) AS BIGINT) + 1)) AS bk FROM v UNION ALL SELECT f1, unnest(range(CAST(floor(1000000 / (256 * pow(2, f1))) AS BIGINT), CAST(floor(1250000 / (256 * pow(2, f1))) AS BIGINT) + 1)) FROM v WHERE f1 < l0),
+h AS (SELECT b.*, lv, bk, CASE WHEN lv >= b.level THEN bucket >> (lv - b.level) ELSE CAST(floor(CASE WHEN f > 0 THEN ss / f ELSE si / (a + b) END / pow(2, lv)) AS BIGINT) END AS nb FROM b JOIN s USING (run_id, key) JOIN k ON b.level = greatest(least(lv, top), fine)),
+r AS (SELECT run_id, key, lv AS level, nb AS bucket, sum(f) AS f, sum(a) AS a, sum(b) AS b, sum(sv) AS sv, sum(ss) AS ss, sum(si) AS si FROM h WHERE floor(nb / 256) = bk GROUP BY ALL),
+o AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.lv < r.level AND k.bk = floor(CASE WHEN f > 0 THEN ss / f ELSE si / (a + b) END / (256 * pow(2, k.lv)))))"""
+
+
+@query(f"WITH {PYRAMID}, {VIEW} SELECT {BUCKET_OUT} FROM o")
 def B12_view_buckets(spark, d):
     """Two layers of a chart 800 wide, 4 pixels a bucket, zoomed to a tenth: buckets of the whole span, finer ones inside."""
-    p = M.points(spark, d).where("key = 'click'")
+    p = M.points(spark, d)
     known = B.spans(p)
-    pyramid = B.build_pyramid(p, known)
-    found = B.layers(known, 800, 4, (1.0e6, 1.25e6))
-    rows = ", ".join(f"('click', {level}, {block}L)" for level, (lo, hi) in found for block in range(int(lo // (256 * 2.0**level)), int(hi // (256 * 2.0**level)) + 1))
-    asks = spark.sql(f"SELECT * FROM VALUES {rows} AS k(key, level, block)")
-    read = B.read_blocks(pyramid, known, asks)
-    return buckets_out(B.overlay(read.drop("block"), asks.select("level", "block")))
+    return buckets_out(B.view_buckets(B.build_pyramid(p, known), known, 800, 4, (1.0e6, 1.25e6)))
 
 
 @query(f"WITH {M.LINES} SELECT run_id, seq, key, value FROM l")
@@ -881,6 +885,37 @@ def S10_folder_notes(spark, d):
     return R.related_folders(T.parse_notes(docs), "ASIA").select("path")
 
 
+@query(f"""WITH {M.POINTS}, {M.MEDIA}, q AS (SELECT DISTINCT run_id, CAST(run_id AS INT) % 7 AS team FROM p), l AS (SELECT run_id, max(seq) + 1 AS rows, arg_max(step, seq) AS step, arg_max(t, seq) AS t FROM p GROUP BY run_id)
+SELECT run_id, 'run' AS section, 'run ' || run_id AS name, rows AS n, NULL::DOUBLE AS first_step, round(step, 6) AS last_step, round(t, 6) AS value, NULL AS value_mark, CASE team % 2 WHEN 0 THEN 'finished' ELSE 'running' END AS text FROM q JOIN l USING (run_id)
+UNION ALL SELECT run_id, 'key', key, count(*), round(arg_min(step, seq), 6), round(arg_max(step, seq), 6), {mark('value', 'arg_max(value, seq)').replace(' AS value,', ',').replace(' AS value_mark', '')}, NULL FROM p GROUP BY run_id, key
+UNION ALL SELECT run_id, 'media', key, ord, NULL, step, step, NULL, 'html' FROM m WHERE run_id IN (SELECT run_id FROM q)
+UNION ALL SELECT run_id, 'notes', CAST(team AS VARCHAR), 1, NULL, NULL, NULL, NULL, '{{"team":' || team || '}}' FROM q WHERE team < 4""")
+def R3_run_report(spark, d):
+    """The report of every run."""
+    p = M.points(spark, d)
+    team = F.col("run_id").cast("int") % 7
+    records = event_runs(p).withColumns({"name": F.concat(F.lit("run "), "run_id"), "state": F.when(team % 2 == 0, "finished").otherwise("running")})
+    folders_ = spark.range(4).select(F.col("id").cast("string").alias("path"), F.parse_json(F.concat(F.lit('{"team": '), F.col("id").cast("string"), F.lit("}"))).alias("info"))
+    out = R.run_report(records, p, p, M.media(spark, d).withColumnRenamed("order", "seq"), folders_)
+    return shown(out.withColumns({c: F.round(c, 6) for c in ("first_step", "last_step")}), "run_id", "section", "name", "n", "first_step", "last_step", "text", value="value")
+
+
+@query(f"WITH {M.RUNS} SELECT CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS dir, count(*) AS runs, count(*) FILTER (WHERE state = 'running') AS running, count(*) FILTER (WHERE state = 'crashed') AS crashed, count(*) FILTER (WHERE state = 'failed') AS failed, count(*) FILTER (WHERE state = 'finished') AS finished FROM r GROUP BY dir")
+def R7_index_report(spark, d):
+    r = M.runs(spark, d)
+    return R.index_report(R.nest_workspaces([("a", r.where("id % 3 = 0")), ("b", r.where("id % 3 <> 0"))]), ("dir",))
+
+
+@query(f"WITH {M.RUNS}, w AS (SELECT r_name || '/' || n_name AS path, max(id) FILTER (WHERE id % 2 = 0) AS even, max(id) FILTER (WHERE id % 2 = 1) AS odd FROM r GROUP BY path) SELECT path, CASE WHEN path LIKE 'A%' THEN '\"kept\"' END AS old, coalesce(CAST(even AS VARCHAR), CASE WHEN path LIKE 'A%' THEN '0' END) AS even, CAST(odd AS VARCHAR) AS odd FROM w")
+def S11_merge_folder_notes(spark, d):
+    """Every run writes its id to its folder's document, under `even` or `odd`."""
+    r = M.runs(spark, d)
+    base = r.where("parent LIKE 'A%'").select(F.col("parent").alias("path")).distinct().withColumn("info", F.parse_json(F.lit('{"old": "kept", "even": 0}')))
+    writes = r.select(F.col("parent").alias("path"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("key"), F.col("id").cast("string").alias("value"), F.col("id").alias("order"))
+    at = lambda k: F.to_json(F.try_variant_get("info", f"$.{k}", "variant")).alias(k)
+    return T.merge_folder_notes(base, writes).select("path", at("old"), at("even"), at("odd"))
+
+
 # ---- streaming ----
 
 
@@ -895,6 +930,14 @@ def staged(spark: SparkSession, df: DataFrame, parts: int = 3) -> tuple[str, Dat
     return path, df
 
 
+def new_place(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from tideline.plans.shared import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives for all that is there now, from a table in the shared folder."""
     import uuid
@@ -964,17 +1007,23 @@ def T3_stream_pyramid(spark, d):
 
 @query(f"{SNAPSHOT}, {CHANGES}, e AS (SELECT c.run_id, change, CASE WHEN change IN ('new', 'rewritten') THEN coalesce(l.rows, 0) > 0 ELSE coalesce(l.rows, 0) > coalesce(h.rows, 0) END AS more FROM c LEFT JOIN h ON c.run_id = h.run_id LEFT JOIN l ON c.run_id = l.run_id WHERE change IN ('new', 'changed', 'rewritten')) SELECT run_id, unnest(list_filter([CASE WHEN change = 'rewritten' THEN 'delete' END, CASE WHEN change <> 'changed' THEN 'run' END, CASE WHEN more THEN 'rows' END, CASE WHEN change = 'changed' THEN 'run' END], lambda x: x IS NOT NULL)) AS event FROM e")
 def T6_change_feed(spark, d):
+    """The feed's second batch: a stream that first got what is held, then what is listed."""
     from tideline.streaming import live
 
-    held, listed = snapshots(spark, d)
-    return live.events_of(held.join(listed.select("run_id"), "run_id", "left_semi"), listed, 1).select("run_id", "event")
+    at, (held, listed) = new_place(spark, "feed"), snapshots(spark, d)
+    for order, states in enumerate((held, listed)):
+        states = states.withColumn("order", F.lit(order))
+        states.write.mode("append").parquet(f"{at}/in")
+        live.change_feed(spark.readStream.schema(states.schema).parquet(f"{at}/in"), f"{at}/feed", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/feed/events/v=1").select("run_id", "event")
 
 
 @query(f"{SNAPSHOT}, {CHANGES} SELECT c.run_id, change FROM c WHERE starts_with(c.run_id, 'ASIA/') AND change <> 'unchanged'")
 def T7_subscribe(spark, d):
     from tideline.streaming import live
 
-    return live.subscribe(R.diff_snapshots(*snapshots(spark, d)).where("change <> 'unchanged'"), "ASIA")
+    path, changes = staged(spark, R.diff_snapshots(*snapshots(spark, d)).where("change <> 'unchanged'"))
+    return drained(spark, live.subscribe(spark.readStream.schema(changes.schema).parquet(path), "ASIA"))
 
 
 @query(f"WITH {M.POINTS} SELECT run_id, max(seq) + 1 AS rows FROM p GROUP BY run_id")
@@ -987,11 +1036,49 @@ def T8_live_seqs(spark, d):
 
 @query(f"{SNAPSHOT}, {CHANGES} SELECT run_id, CASE WHEN change = 'rewritten' THEN 1 ELSE 0 END AS value FROM c WHERE change IN ('rewritten', 'changed', 'unchanged')")
 def T9_rewrites(spark, d):
+    """A stream of two listings: what is held, with value 0, then what is there, with value 1."""
     from tideline.streaming import live
 
-    held, listed = snapshots(spark, d)
-    changes = R.diff_snapshots(held, listed)
-    return live.handle_rewrites(held.select("run_id", F.lit(0).alias("value")), changes, listed.select("run_id", F.lit(1).alias("value")))
+    at, (held, listed) = new_place(spark, "listed"), snapshots(spark, d)
+    store = live.ListedPoints(spark, f"{at}/store", ["value"])
+    for value, states in enumerate((held, listed)):
+        states = states.withColumn("value", F.lit(value))
+        states.write.mode("append").parquet(f"{at}/in")
+        live.follow_listings(spark.readStream.schema(states.schema).parquet(f"{at}/in"), store, f"{at}/checkpoint").awaitTermination()
+    return store.at(1)
+
+
+@query(f"WITH {M.POINTS}, b AS ({bucket_sql('14')}) SELECT {BUCKET_OUT} FROM b")
+def T4_live_view(spark, d):
+    """Buckets of each series' first half, and a stream of all points from which its second half is taken."""
+    from tideline.streaming import live
+
+    p, at = M.points(spark, d), new_place(spark, "view")
+    half = p.groupBy("run_id", "key").agg(((F.min("seq") + F.max("seq")) / 2).cast("long").alias("held_seq"), F.lit(14).alias("level"))
+    compiled = B.bucketize(p.join(half.drop("level"), ["run_id", "key"]).where("seq < held_seq"), 14)
+    path, _ = staged(spark, p)
+    live.live_view(compiled, spark.readStream.schema(p.schema).parquet(path), half, f"{at}/view", f"{at}/checkpoint").awaitTermination()
+    return buckets_out(spark.read.parquet(f"{at}/view"))
+
+
+@query("SELECT 'supplier ' || s_suppkey AS run_id, unnest(['running', 'crashed']) AS state FROM supplier")
+def T5_liveness(spark, d):
+    """Each run beats once; it is said to run, and to have crashed when no other beat comes for two seconds."""
+    import time
+
+    from tideline.streaming import live
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKS)
+    at = new_place(spark, "beats")
+    path, beats = staged(spark, M.table(spark, d, "supplier").select(F.concat(F.lit("supplier "), "s_suppkey").alias("run_id"), F.col("s_suppkey").cast("double").alias("at")))
+    out = live.crash_stream(spark.readStream.schema(beats.schema).parquet(path), limit=2.0).writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint")
+    running = out.foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{at}/out")).trigger(processingTime="1 second").start()
+    said = lambda: spark.read.schema("run_id string, state string").parquet(f"{at}/out")
+    runs, until = beats.count(), time.time() + 300
+    while time.time() < until and (not running.lastProgress or said().where("state = 'crashed'").count() < runs) and running.isActive:
+        time.sleep(1)
+    running.stop()
+    return said()
 
 
 @query(f"WITH {M.POINTS} SELECT CASE WHEN seq % 2 = 0 THEN 'a/' ELSE 'b/' END || run_id AS run_id, seq FROM p")

@@ -111,6 +111,21 @@ def parse_notes(docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
     return new.where("info IS NOT NULL")
 
 
+def merge_folder_notes(base: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Folders' documents (path, info) with keys written to them: the last write of each key replaces what the document
+    had, other keys stay; a folder without a document gets one. incoming: path, key, value (JSON text), order. A value
+    that is no JSON is kept as a text."""
+    held = base.select("path", F.explode(F.from_json(F.to_json("info"), "map<string,variant>")).alias("key", "value"))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    json = F.when(F.col("value").isNull(), "null").when(F.try_parse_json("value").isNull(), quoted("value")).otherwise(F.col("value"))
+    old = held.select("path", "key", F.coalesce(F.to_json("value"), F.lit("null")).alias("value"), F.lit(-(1 << 63)).alias("order"))
+    both = old.unionByName(incoming.select("path", "key", json.alias("value"), F.col("order").cast("long").alias("order")))
+    merged = merge_notes(both, ("path",)).withColumn("_entry", F.concat(quoted("key"), F.lit(":"), F.col("value")))
+    made = merged.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("_entry")), ",").alias("_all"))  # a document's keys
+    every = base.select("path").unionByName(incoming.select("path")).distinct().join(made, "path", "left")
+    return every.select("path", F.parse_json(F.concat(F.lit("{"), F.coalesce("_all", F.lit("")), F.lit("}"))).alias("info"))
+
+
 def replay_ops(ops: DataFrame) -> DataFrame:
     """The state after records (table, pk, value, offset) in order: a later one replaces an earlier one; a null value
     deletes."""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,28 +25,43 @@ def tail_stream(spark: SparkSession, path: str, schema: StructType, after: int =
 
 
 class Contiguity(StatefulProcessor):
-    """Emits each run's rows once and in order: what was seen is skipped, what is ahead waits."""
+    """Emits each run's rows once and in order: what was seen is skipped, what is ahead waits. Rows that go on from the
+    last one are taken as they come; only those beyond a gap go through the state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "seq long")
         self.ahead = handle.getMapState("ahead", "seq long", "step double, value double")
 
+    def waiting(self, at: int) -> pd.DataFrame:
+        """Rows from `at` on that waited for the one before."""
+        out = []
+        while self.ahead.containsKey((at + len(out),)):
+            seq = at + len(out)
+            out.append((seq, *self.ahead.getValue((seq,))))
+            self.ahead.removeKey((seq,))
+        return pd.DataFrame(out, columns=["seq", "step", "value"])
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         at = self.next.get()[0] if self.next.exists() else 0
+        held = next(iter(self.ahead.keys()), None) is not None
         for f in rows:
+            f = f[["seq", "step", "value"]].drop_duplicates("seq").sort_values("seq")
+            while len(f := f[f["seq"] >= at]):
+                n = int((f["seq"].to_numpy() == at + np.arange(len(f))).sum())  # distinct and sorted: the first n go on
+                found = f.iloc[:n] if n else self.waiting(at) if held else f.iloc[:0]
+                if not len(found):
+                    break
+                yield found.assign(run_id=key[0], gap=False)
+                at += len(found)
             for r in f.itertuples(index=False):
-                if r.seq >= at:
-                    self.ahead.updateValue((int(r.seq),), (float(r.step), float(r.value)))
-        out = []
-        while self.ahead.containsKey((at,)):
-            step, value = self.ahead.getValue((at,))
-            out.append((key[0], at, step, value, False))
-            self.ahead.removeKey((at,))
-            at += 1
+                self.ahead.updateValue((int(r.seq),), (float(r.step), float(r.value)))
+                held = True
+            if held and len(found := self.waiting(at)):
+                yield found.assign(run_id=key[0], gap=False)
+                at += len(found)
         self.next.update((at,))
-        if next(iter(self.ahead.keys()), None) is not None:
-            out.append((key[0], at, None, None, True))  # the row that is missing
-        yield pd.DataFrame(out, columns=["run_id", "seq", "step", "value", "gap"])
+        if held and next(iter(self.ahead.keys()), None) is not None:
+            yield pd.DataFrame([(at, None, None, key[0], True)], columns=["seq", "step", "value", "run_id", "gap"])  # the row that is missing
 
     def close(self) -> None:
         pass
@@ -94,24 +110,49 @@ def crash_stream(heartbeats: DataFrame, limit: float = 300.0) -> DataFrame:
     return heartbeats.groupBy("run_id").transformWithStateInPandas(statefulProcessor=Liveness(limit), outputStructType="run_id string, state string", outputMode="update", timeMode="ProcessingTime")
 
 
+class Versions:
+    """A table kept by a stream as a log: each batch adds a version of its own, and reading merges them. Every `every`
+    versions are merged into one, so a read takes few. A batch that is run again writes the same versions anew."""
+
+    def __init__(self, spark: SparkSession, path: str, merged: Callable[[DataFrame], DataFrame], every: int = 16):
+        self.spark, self.path, self.merged, self.every = spark, path.rstrip("/"), merged, every
+
+    def put(self, df: DataFrame, version: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        if version % self.every == self.every - 1:
+            self.at(version, whole=False).write.mode("overwrite").parquet(f"{self.path}/all={version}")
+
+    def at(self, version: int, whole: bool = True) -> DataFrame | None:
+        """The table after a version. whole: from the last merge on, if one is there that ends with it."""
+        if version < 0:
+            return None
+        last = (version + whole) // self.every * self.every - 1
+        paths = [f"{self.path}/all={last}"] * (last >= 0) + [f"{self.path}/v={v}" for v in range(last + 1, version + 1)]
+        schema = self.spark.read.parquet(paths[-1]).schema
+        return self.merged(self.spark.read.schema(schema).parquet(*paths))
+
+
 class PyramidStore:
-    """A pyramid kept by a stream: every batch's result is a table of its own version, so a batch that is run again
-    starts from the version before it and writes the same one."""
+    """A pyramid kept by a stream. A bucket is a sum, so a batch writes only what it adds to the buckets that it touches."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        one = lambda df: df.groupBy("run_id", "key", "level", "bucket").agg(*B.summed())
+        last = lambda df: df.groupBy("run_id", "key").agg(F.max_by(F.struct("fine", "top", "lo", "hi"), "version").alias("s"), F.max("version").alias("version")).select("run_id", "key", "s.*", "version")
+        self.buckets, self.spans = Versions(spark, f"{path.rstrip('/')}/buckets", one), Versions(spark, f"{path.rstrip('/')}/spans", last)
 
     def at(self, version: int) -> tuple[DataFrame, DataFrame] | None:
-        if version < 0:
-            return None
-        return self.spark.read.parquet(f"{self.path}/v={version}/buckets"), self.spark.read.parquet(f"{self.path}/v={version}/spans")
+        return (self.buckets.at(version), self.spans.at(version).drop("version")) if version >= 0 else None
 
     def take(self, points: DataFrame, batch: int) -> None:
-        held = self.at(batch - 1)
-        points = points.persist()
-        buckets, spans = (B.build_pyramid(points), B.spans(points)) if held is None else B.grow(*held, points)
-        spans.write.mode("overwrite").parquet(f"{self.path}/v={batch}/spans")
-        buckets.write.mode("overwrite").parquet(f"{self.path}/v={batch}/buckets")
+        held, points = self.at(batch - 1), points.persist()
+        if held is None:
+            spans = B.spans(points)
+            added = B.build_pyramid(points, spans)
+        else:
+            known = held[1].join(points.select("run_id", "key").distinct(), ["run_id", "key"], "left_semi")  # only series with new points
+            added, spans = B.growth(held[0], known, points)
+        self.spans.put(spans.withColumn("version", F.lit(batch)), batch)
+        self.buckets.put(added, batch)
         points.unpersist()
         self.version = batch
 
@@ -122,9 +163,15 @@ def stream_pyramid(points: DataFrame, store: PyramidStore, checkpoint: str, ever
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
-def live_view(buckets: DataFrame, points: DataFrame, held: DataFrame) -> DataFrame:
-    """Compiled levels and the points past them: held says, per series, its level and the seq compiled so far."""
-    return B.with_tail(buckets, points, held)
+def live_view(buckets: DataFrame, points: DataFrame, held: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Compiled levels and the points past them, kept up below `path` as a stream of points goes on: held says, per
+    series, its level and the seq compiled so far (held_seq). The stream's state is the tail's buckets alone."""
+    late = points.join(held, B.SERIES).where(F.col("seq") >= F.col("held_seq"))
+
+    def serve(tail: DataFrame, batch: int) -> None:
+        B.combine(buckets, tail).write.mode("overwrite").parquet(f"{path.rstrip('/')}/v={batch}")
+
+    return B.bucketize(late, F.col("level")).writeStream.outputMode("complete").foreachBatch(serve).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def live_seqs(rows: DataFrame) -> DataFrame:
@@ -149,15 +196,16 @@ def events_of(held: DataFrame, listed: DataFrame, batch: int) -> DataFrame:
 
 def change_feed(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends change events of a stream of run states (run_id, uid, rows, media, order) to tables below `path`, one for
-    each batch; the state after each batch is kept beside them."""
-    path = path.rstrip("/")
+    each batch; the states that each batch brought are kept beside them."""
+    path, columns = path.rstrip("/"), ["uid", "rows", "media"]
+    last = lambda df: df.groupBy("run_id").agg(F.max_by(F.struct(*columns), "version").alias("l"), F.max("version").alias("version")).select("run_id", "l.*", "version")
 
     def take(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        listed = batch.groupBy("run_id").agg(F.max_by(F.struct("uid", "rows", "media"), "order").alias("l")).select("run_id", "l.*").persist()
-        held = spark.read.parquet(f"{path}/state/v={number - 1}") if number else listed.limit(0)
+        states = Versions(batch.sparkSession, f"{path}/state", last)
+        listed = batch.groupBy("run_id").agg(F.max_by(F.struct(*columns), "order").alias("l")).select("run_id", "l.*").persist()
+        held = states.at(number - 1).drop("version") if number else listed.limit(0)
         events_of(held.join(listed.select("run_id"), "run_id", "left_semi"), listed, number).write.mode("overwrite").parquet(f"{path}/events/v={number}")
-        held.join(listed, "run_id", "left_anti").unionByName(listed).write.mode("overwrite").parquet(f"{path}/state/v={number}")
+        states.put(listed.withColumn("version", F.lit(number)), number)
         listed.unpersist()
 
     return updates.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -173,6 +221,32 @@ def handle_rewrites(points: DataFrame, changes: DataFrame, fresh: DataFrame) ->
     return kept.unionByName(fresh.join(changes.where("change = 'rewritten'").select("run_id"), "run_id", "left_semi"))
 
 
+class ListedPoints:
+    """Points kept in step with a stream of listings: a batch is all that is there, as rows of run states (run_id, uid,
+    rows, media) and the points' own columns. Rewritten runs are replaced, gone ones go, others keep what they have."""
+
+    def __init__(self, spark: SparkSession, path: str, columns: list[str]):
+        self.spark, self.path, self.columns = spark, path.rstrip("/"), columns
+
+    def at(self, version: int, table: str = "points") -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{table}/v={version}")
+
+    def take(self, listing: DataFrame, batch: int) -> None:
+        listed = listing.select("run_id", "uid", "rows", "media").distinct()
+        fresh = listing.select("run_id", *self.columns)
+        if batch:
+            changes = diff_snapshots(self.at(batch - 1, "runs"), listed)
+            fresh = handle_rewrites(self.at(batch - 1), changes, fresh)
+        fresh.write.mode("overwrite").parquet(f"{self.path}/points/v={batch}")
+        listed.write.mode("overwrite").parquet(f"{self.path}/runs/v={batch}")
+        self.version = batch
+
+
+def follow_listings(listings: DataFrame, store: ListedPoints, checkpoint: str) -> StreamingQuery:
+    """Keeps the store in step with what has been listed by now; all new files are one listing."""
+    return listings.writeStream.foreachBatch(store.take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def merge_streams(members: list[tuple[str, DataFrame]]) -> DataFrame:
     """Member streams as one, run ids under the member's name."""
     return functools.reduce(DataFrame.unionByName, (df.withColumns({"dir": F.lit(name), "run_id": F.concat(F.lit(name + "/"), F.col("run_id"))}) for name, df in members))
