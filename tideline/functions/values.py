@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,26 +62,36 @@ def text_of_number(c: Column | str) -> Column:
     )
 
 
+def let(v: Column, body: Callable[[Column], Column]) -> Column:
+    """body(v), with v computed once; a filter would otherwise compute it wherever body names it."""
+    return F.get(F.transform(F.array(v), body), F.lit(0))
+
+
 def scalar(v: Column) -> Column:
     """Kind, number and text of a variant that is no list; null for a missing or JSON null one."""
-    kind = F.schema_of_variant(v)
-    text = F.try_variant_get(v, "$", "string")
-    number = F.try_variant_get(v, "$", "double")
-    numeric = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT)")
-    value = F.struct(
-        F.when(numeric, "number").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").otherwise("json").alias("kind"),
-        F.when(numeric, number).when(kind == "STRING", number_of_text(text)).alias("num"),
-        F.when(numeric, text_of_number(number)).when(kind.isin("STRING", "BOOLEAN"), text).otherwise(F.to_json(v)).alias("text"),
-    )
-    return F.when(v.isNotNull() & ~F.is_variant_null(v), value)
+
+    def parts(x: Column) -> Column:
+        kind, text, number = x["kind"], x["text"], x["number"]
+        numeric = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT)")
+        return F.struct(
+            F.when(numeric, "number").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").otherwise("json").alias("kind"),
+            F.when(numeric, number).when(kind == "STRING", number_of_text(text)).alias("num"),
+            F.when(numeric, text_of_number(number)).when(kind.isin("STRING", "BOOLEAN"), text).otherwise(F.to_json(v)).alias("text"),
+        )
+
+    read = F.struct(F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text"), F.try_variant_get(v, "$", "double").alias("number"))
+    return F.when(v.isNotNull() & ~F.is_variant_null(v), let(read, parts))
 
 
 def value(v: Column | str) -> Column:
     """A variant's elements as an array of (kind, num, text): one for a scalar, each that isn't null for a list; null if
     the value is missing. All predicates read this."""
-    v = col(v)
-    elements = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), scalar), lambda x: x.isNotNull())
-    return F.when(v.isNull() | F.is_variant_null(v), None).when(F.schema_of_variant(v).startswith("ARRAY"), elements).otherwise(F.array(scalar(v)))
+
+    def elements(v: Column) -> Column:
+        listed = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), scalar), lambda x: x.isNotNull())
+        return F.when(v.isNull() | F.is_variant_null(v), None).when(F.schema_of_variant(v).startswith("ARRAY"), listed).otherwise(F.array(scalar(v)))
+
+    return let(col(v), elements)
 
 
 def text_value(c: Column | str) -> Column:
