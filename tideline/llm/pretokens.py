@@ -95,7 +95,7 @@ def byte_letters() -> dict[int, str]:
 class Words:
     """What each distinct word becomes, kept for a partition. `encode` gets distinct words and returns lists of ids."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list], most: int = 400_000):
         self.encode, self.most = encode, most
         self.clear()
 

@@ -18,7 +18,7 @@ from pyspark.sql.utils import AnalysisException
 from tideline.llm.common import aside, back, chunks, join_spread, new_path, text_or_empty, written
 from tideline.llm.pretokens import LibraryWords
 
-CACHE = "content string, tokenizer string, n_tokens long"
+CACHE = "content binary, tokenizer string, n_tokens long"
 
 
 def tokenizer_version(path: str) -> str:
@@ -56,21 +56,25 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     and white space change counts. Repeated rows and copies are encoded once and each get their count. An empty table
     gives an empty result, an empty text 0 tokens. A column of docs with one of the added names is replaced.
     `cache_path`: a folder that all executors see, kept between runs; without it the cache lives in the shared folder
-    for this call. The misses' texts are shuffled once, by content digest and document, and counts come back to rows
+    for this call. The misses' texts are shuffled once, by content digest and document, copies of the most frequent ones
+    left behind, and counts come back to rows
     over several tasks where many share one, so a text that a third of all rows share does not meet in one task.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
     cache_path = cache_path or new_path(spark, "token-counts")
     docs = docs.drop("n_bytes", "n_tokens", "over_limit")
-    content = F.sha2(F.encode(text_or_empty(), "UTF-8"), 256).alias("content")
+    content = F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("content")
     keyed = docs.select("doc_id", text_or_empty().alias("text"), content)
     known = lambda: open_cache(spark, cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
     sizes = written(keyed.groupBy("content").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "contents")
     chosen = sizes.select("content", "first").join(known(), "content", "left_anti")
+    total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    many = sizes.where(F.col("rows") >= max(2, total // 1000)).select("content", F.struct("first").alias("many"))  # a thousand or so
+    once = keyed.join(F.broadcast(many), "content", "left").where(F.col("many").isNull() | F.col("doc_id").eqNullSafe(F.col("many.first"))).drop("many")
     same = (F.col("k.content") == F.col("c.content")) & F.col("k.doc_id").eqNullSafe(F.col("c.first"))
-    misses = keyed.alias("k").join(chosen.alias("c"), same, "left_semi").select("content", "text")
-    counted = misses.mapInArrow(lambda batches: count_misses(batches, tokenizer_path), "content string, n_tokens long")
+    misses = once.alias("k").join(chosen.alias("c"), same, "left_semi").select("content", "text")
+    counted = misses.mapInArrow(lambda batches: count_misses(batches, tokenizer_path), "content binary, n_tokens long")
     counted.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     work = aside(docs, "text").select("row", "text", content, F.octet_length(text_or_empty()).cast("long").alias("n_bytes"))
     found = join_spread(work, sizes.join(known(), "content").select("content", "rows", "n_tokens"), "content", ["row.doc_id"], "left")
