@@ -598,3 +598,68 @@ def test_columns_of_any_name_come_back(spark, rows, name):
     assert Counter(map(shown, got)) == Counter(map(shown, other))
     none = ops[name](wide.limit(0))
     assert none.count() == 0 and none.columns == out.columns
+
+
+def test_pipeline_against_brute_force(spark, rows):
+    """Each stage on what the one before kept, and what it should have kept."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(pipeline.STAGES)
+    random.seed(14)
+    extra = [(200 + i, " ".join(random.choice(rows[63][1].split(" ")) for _ in range(120)) + " password = 'abcdef123456789' end " + PASSAGE * 2, "en", "b", 7) for i in range(6)]
+    docs = spark.createDataFrame(rows + extra, DOCS).repartition(3)
+    read = lambda df: [tuple(r) for r in df.collect()]
+
+    kept = spark.createDataFrame(read(stages["quality_rules"](spark, docs, "")), DOCS)
+    first = read(kept)
+    verdict = {(r["doc_id"], r["n_words"]): r["kept"] for r in quality_rules.quality_rules(docs).collect()}
+    assert Counter(first) == Counter(r for r in rows + extra if verdict[r[0], base_stats(r[1])[0]]) and len(first) > 20
+    assert all(base_stats(r[1])[0] >= 50 and 2 * base_stats(r[1])[4] <= base_stats(r[1])[0] for r in first)
+
+    second = read(stages["simhash_near_dedup"](spark, kept, ""))
+    root = brute_components({brute_fingerprint(r[1]) for r in first})
+    groups = defaultdict(list)
+    for r in first:
+        groups[root[brute_fingerprint(r[1])]].append(r)
+    best = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    assert len(second) == len(best) and Counter(r[0] for r in second) == Counter(r[0] for r in best) and set(second) <= set(first)
+
+    third = read(stages["suffix_array_dedup"](spark, spark.createDataFrame(second, DOCS), ""))
+    want = brute_repeats(second, 100)
+    for r in third:
+        (source,) = (s for s in second if s[0] == r[0])
+        n, removed, _, left = want[-1 if r[0] is None else r[0]]
+        assert r[1] == (left.decode(errors="ignore") if removed else source[1]) and r[4] == (len(r[1]) if removed else source[4])
+    assert len(third) == len(second) and any(want[d][1] for d in want)
+
+    fourth = read(stages["secret_scans"](spark, spark.createDataFrame(third, DOCS), ""))
+    assert len(fourth) == len(third)
+    for r in fourth:
+        (source,) = (s for s in third if s[0] == r[0])
+        base = re.sub(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}""", "[secret]", source[1])
+        assert r[1] == base and r[4] == (len(base) if base != source[1] else source[4])
+
+    fifth = stages["packing"](spark, spark.createDataFrame(fourth, DOCS), "").collect()
+    library = pretokens.LibraryWords(P.path("byte_bpe_50k.json"))
+    lengths = defaultdict(int)
+    for r in fifth:
+        lengths[r["doc_id"]] += r["length"]
+    assert lengths == {r[0]: len(library.whole([r[1] or ""])[0]) + 1 for r in fourth}
+    used = Counter()
+    for r in fifth:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 2048 and set(used) == set(range(len(used)))
+
+
+def test_fast_words_on_all_documents(spark):
+    """The merging engine's ids are the library's on every text of the test table."""
+    import os
+
+    path, at = P.path("byte_bpe_50k.json"), "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no test tables")
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(at, columns=["text"])["text"].combine_chunks()
+    ids, offsets = pretokens.LibraryWords(path, fast=True).encoded(texts)
+    whole = pretokens.LibraryWords(path).whole(texts.fill_null("").to_pylist())
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == whole
