@@ -150,3 +150,19 @@ def test_thinning_ranks_once(tasks):
                 own = [own[round(j * ((len(own) - 1) / (n - 1) if n > 1 else len(own)))] for j in range(n)]
             want |= {(run, p) for p in own}
         assert set(rows_of(S.thin(df, last, every, n), "run_id", "seq")) == want, (last, every, n)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 10])
+def test_finest_over_batches(tasks, rows):
+    """Gaps across Arrow batches and tasks, with short and long series beside each other."""
+    r = random.Random(rows)
+    steps = {f"s{k:02d}": [float(r.choice([r.randint(0, 40), r.randint(0, 3000)])) for _ in range(n)] for k, n in enumerate([1, 2, 90, 1, 3, 40, 1])}
+    pts = [(k, "k", i, s, 0.0, 1.0) for k, v in steps.items() for i, s in enumerate(v)]
+    name, old = "spark.sql.execution.arrow.maxRecordsPerBatch", tasks.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tasks.conf.set(name, str(rows))
+    try:
+        got = {x["run_id"]: x["fine"] for x in B.finest(tasks.createDataFrame(pts, POINTS)).collect()}
+    finally:
+        tasks.conf.set(name, old)
+    gaps = {k: [b - a for a, b in zip(u, u[1:])] for k, v in steps.items() if len(u := sorted(set(v))) > 1}
+    assert got == {k: max(-20, math.floor(math.log2(statistics.median(g)))) for k, g in gaps.items()}

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.values import BLOCK, bucket_of, finite, level_for
 from tideline.operators.stats import robust_stats
-from tideline.plans.shared import in_order, previous
+from tideline.plans.shared import written
 
 STATE = ["n_fin", "sum_v", "sum_s", "sum_t", "n_pos", "n_neg", "sum_s_inf", "sum_t_inf"]
 SERIES = ["run_id", "key"]
@@ -78,15 +82,66 @@ def combine(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy(*SERIES, "level", "bucket").agg(*summed())
 
 
+def gap_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the sorted steps of one task the gaps between a series' neighbours, counted by level (_level, _c, _lo, _hi), and
+    the first and last step of the task's first and last series (_part, _first, _last), where gaps lie between tasks."""
+    part, names = TaskContext.get().partitionId(), ["run_id", "key", "_level", "_c", "_lo", "_hi", "_part", "_first", "_last"]
+    kinds = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.float64()]
+    ends, held = [], None  # (run, key, first, last) of the first series and of the latest one
+
+    def made(series: list, columns: list) -> pa.RecordBatch:
+        n = len(series[0])
+        return pa.RecordBatch.from_arrays([*series, *(pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        run, key = b.column("run_id"), b.column("key")
+        step = b.column("step").cast(pa.float64()).to_numpy(zero_copy_only=False)
+        codes = [c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in (run, key)]
+        new = np.append(True, (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1]))
+        before = np.append(np.nan, step[:-1])
+        first, last = (run[0], key[0]), (run[-1], key[-1])
+        goes_on = held is not None and held[:2] == first
+        before[new] = np.nan
+        if goes_on:
+            before[0] = held[3]
+        else:
+            ends.append((*first, step[0], step[0])) if not ends else None
+        begin = np.flatnonzero(new)
+        close = step[np.append(begin[1:], len(step)) - 1]
+        if ends and (ends[0][:2] == first):
+            ends[0] = (*ends[0][:3], close[0])
+        held = (*last, held[2] if goes_on and len(begin) == 1 else step[begin[-1]], step[-1])
+        gap = step - before
+        own = np.flatnonzero(gap > 0)
+        if len(own):
+            gap, level, series = gap[own], np.frexp(gap[own])[1] - 1, np.cumsum(new)[own] - 1
+            order = np.lexsort((level, series))
+            gap, level, series = gap[order], level[order], series[order]
+            at = np.flatnonzero(np.append(True, (series[1:] != series[:-1]) | (level[1:] != level[:-1])))
+            row = pa.array(begin[series[at]])
+            yield made([run.take(row), key.take(row)], [level[at], np.diff(np.append(at, len(gap))), np.minimum.reduceat(gap, at), np.maximum.reduceat(gap, at), None, None, None])
+    if held is not None:
+        ends += [held] if held[:2] != ends[0][:2] else []
+        series = [pa.array([e[k].as_py() for e in ends], b.schema.field(name).type) for k, name in enumerate(SERIES)]
+        yield made(series, [None] * 4 + [[part] * len(ends), [e[2] for e in ends], [e[3] for e in ends]])
+
+
 def finest(points: DataFrame) -> DataFrame:
     """Per series the level of the median gap between its distinct steps, -20 at least; null for a single step.
 
-    Gaps are counted by their own level. The two middle gaps are of the same level, or the greatest of one level and the
-    least of the next, so counts, least and greatest gaps by level give the median's level."""
-    steps = previous(in_order(points.select(*SERIES, "step").distinct(), SERIES, "step"), SERIES, "step")
-    gaps = steps.withColumn("gap", F.col("step") - F.col("_prev.step")).where("gap IS NOT NULL")
+    Steps are sorted over all tasks, and what leaves a task is its gaps counted by their own level, with the ends of two
+    series. The two middle gaps are of the same level, or the greatest of one level and the least of the next, so counts,
+    least and greatest gaps by level give the median's level."""
+    keys = [*SERIES, "step"]
+    kinds = dict(points.dtypes)
+    placed = points.where("step IS NOT NULL").select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    counted = written(placed.mapInArrow(gap_levels, f"run_id {kinds['run_id']}, key {kinds['key']}, _level int, _c long, _lo double, _hi double, _part int, _first double, _last double"), "gap-levels")
+    edges = counted.where("_part IS NOT NULL").withColumn("gap", F.col("_first") - F.lag("_last").over(Window.partitionBy(*SERIES).orderBy("_part")))  # two rows a task
     level = lambda c: F.floor(F.log2(c)).cast("int")
-    levels = gaps.groupBy(*SERIES, level(F.col("gap")).alias("_level")).agg(F.count(F.lit(1)).alias("_c"), F.min("gap").alias("_lo"), F.max("gap").alias("_hi"))
+    between = edges.where("gap > 0").select(*SERIES, level(F.col("gap")).alias("_level"), F.lit(1).cast("long").alias("_c"), F.col("gap").alias("_lo"), F.col("gap").alias("_hi"))
+    levels = counted.where("_level IS NOT NULL").select(between.columns).unionByName(between).groupBy(*SERIES, "_level").agg(F.sum("_c").alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     w = Window.partitionBy(*SERIES)  # a row a level, about 2,000 at most
     seen = levels.withColumns({"_to": F.sum("_c").over(w.orderBy("_level")), "_n": F.sum("_c").over(w)}).withColumn("_from", F.col("_to") - F.col("_c") + 1)
     holds = lambda rank: F.floor(rank).between(F.col("_from"), F.col("_to"))
