@@ -145,6 +145,9 @@ def test_compact_refuses_gaps(spark, tmp_path):
     assert T.compact(rows, f"{tmp_path}/out").count() == 3
     with pytest.raises(ValueError):
         T.compact(rows.where("seq <> 1"), f"{tmp_path}/gap")
+    many = T.points_to_rows(points(spark, [float(i) for i in range(200)]))
+    T.compact(many, f"{tmp_path}/small", most_bytes=2000)
+    assert all(20 <= 2000 // n["n"] for n in spark.read.parquet(f"{tmp_path}/small").groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect())
 
 
 def test_sort_runs(spark):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.values import BLOCK, bucket_of, finite, level_for
+from tideline.operators.series import twema
 from tideline.operators.stats import robust_stats
 from tideline.plans.shared import written
 
@@ -297,6 +298,13 @@ def agg_bins(binned: DataFrame, groups: DataFrame, center: str = "median") -> Da
     return robust_stats(binned.join(groups, "run_id"), ["group", "bin"], "value", center, ("run_id", "key"))
 
 
+def smoothed_bins(points: DataFrame, x0: float, x1: float, bins: int, alpha: float | None, x: str = "step", weight: str | None = None) -> DataFrame:
+    """bin_rows of each run's smoothed series (raw if alpha is none), weighted by the rows that a point stands for."""
+    if alpha:
+        points = twema(points, alpha, x=x).drop("value").withColumnRenamed("smoothed", "value")
+    return bin_rows(points, x0, x1, bins, x, weight=weight)
+
+
 def density(binned: DataFrame, y0: float, y1: float, ny: int) -> DataFrame:
     """Series counted per x-bin and y-cell, with the colour log(1 + d) / log(1 + max)."""
     cells = binned.where(finite("value") & F.col("value").between(y0, y1)).withColumn("cell", F.least(F.lit(ny - 1), F.floor((F.col("value") - y0) * (ny / (y1 - y0)))).cast("int")).groupBy("bin", "cell").agg(F.count(F.lit(1)).alias("d"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -294,6 +295,19 @@ def J7_value_at(spark, d):
     return S.reduce_series(M.points(spark, d), at=7e5)
 
 
+#: BINNED over smoothed points that stand for 1 to 3 rows.
+SMOOTH_BINS = BINNED[len(M.POINTS) :].replace("avg(value) FILTER (WHERE isfinite(value)) AS m", "sum(value * (seq % 3 + 1)) FILTER (WHERE isfinite(value)) / sum(seq % 3 + 1) FILTER (WHERE isfinite(value)) AS m").replace("FROM p WHERE", "FROM sm WHERE")
+
+
+@query(f"WITH {SMOOTH}, z AS (SELECT a.run_id, a.key, a.seq, sum(b.value * pow(0.6, (a.step - b.step) / a.scale)) / sum(pow(0.6, (a.step - b.step) / a.scale)) AS s FROM o a JOIN o b ON a.run_id = b.run_id AND a.key = b.key AND b.seq <= a.seq GROUP BY ALL), sm AS (SELECT p.run_id, p.key, p.seq, p.step, coalesce(s, value) AS value FROM p LEFT JOIN z USING (run_id, key, seq)){SMOOTH_BINS} SELECT key AS \"group\", CAST(bin AS INT) AS bin, count(*) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median FROM y WHERE isfinite(v) GROUP BY key, bin")
+def A23_smoothed_bins(spark, d):
+    """Each run smoothed, its points weighted by the rows they stand for, then all runs of a key in each bin."""
+    p = M.points(spark, d).withColumn("weight", F.col("seq") % 3 + 1)
+    b = B.smoothed_bins(p, 0.0, 2592000.0, BINS, 0.6, weight="weight").where(V.finite("value")).withColumn("run_id", F.concat_ws("/", "key", "run_id"))
+    stats = B.agg_bins(b, b.select("run_id", F.col("key").alias("group")).distinct())
+    return stats.select("group", "bin", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
+
+
 @query(f"WITH {M.POINTS}, f AS (SELECT * FROM p WHERE key = 'purchase' AND isfinite(value)), q AS (SELECT CAST(user_id AS VARCHAR) AS run_id, epoch_us(ts - INTERVAL 19723 DAY) / 1e6 AS x FROM events WHERE event_type = 'error') SELECT q.run_id, round(q.x, 6) AS x, f.value FROM q ASOF LEFT JOIN f ON q.run_id = f.run_id AND q.x >= f.step")
 def J9_asof_join(spark, d):
     p = M.points(spark, d)
@@ -780,6 +794,21 @@ def S19_delta(spark, d):
     return T.delta_for(blocks, held, r).select("run_id", "key", "level", "block", "replace")
 
 
+@query(f"WITH {PYRAMID}, {M.MEDIA}, runs_n AS (SELECT DISTINCT run_id, CAST(run_id AS INT) AS n FROM p), fg AS (SELECT *, n % 4 < 2 AS fresh, n % 4 < 2 OR n % 9 > 5 AS grown FROM runs_n), new_m AS (SELECT m.run_id, m.key, m.ord FROM m JOIN fg USING (run_id) WHERE fresh OR ord >= 30) SELECT 'record' AS kind, run_id, NULL AS key, NULL::BIGINT AS seq FROM fg WHERE grown OR run_id IN (SELECT run_id FROM new_m) UNION ALL SELECT 'media', run_id, key, ord FROM new_m UNION ALL SELECT 'span', s.run_id, s.key, NULL FROM s JOIN fg USING (run_id) WHERE grown UNION ALL SELECT 'block', run_id, key, block FROM (SELECT DISTINCT b.run_id, b.key, level, CAST(floor(bucket / 256) AS BIGINT) AS block FROM b JOIN s USING (run_id, key) WHERE level >= top - 2) JOIN fg USING (run_id) WHERE grown")
+def S19_delta_tables(spark, d):
+    """Record, media, spans and blocks that a replica lacks, as one list."""
+    p = M.points(spark, d)
+    known = B.spans(p)
+    n = F.col("run_id").cast("int")
+    blocks = B.by_block(B.build_pyramid(p, known)).join(known.select("run_id", "key", "top"), ["run_id", "key"]).select("run_id", "key", "level", "top", "block", (n % 9).alias("since")).distinct()
+    r = p.select("run_id").distinct().withColumns({"uid": n, "rebuilt": F.lit(0), "compiled": n % 9})
+    held = r.where(n % 4 != 0).select("run_id", F.when(n % 4 == 1, -1).otherwise(n).alias("uid"), "rebuilt", F.lit(5).alias("compiled"), F.lit(30).alias("media"))
+    found = T.delta_tables(held, r, M.media(spark, d).withColumnRenamed("order", "seq"), known, blocks)
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = [("record", "records", none("string"), none("long")), ("media", "media", F.col("key"), F.col("seq")), ("span", "spans", F.col("key"), none("long")), ("block", "blocks", F.col("key"), F.col("block"))]
+    return functools.reduce(DataFrame.unionByName, (found[name].select(F.lit(kind).alias("kind"), "run_id", key.alias("key"), seq.cast("long").alias("seq")) for kind, name, key, seq in parts))
+
+
 # ---- more of the pyramid, records, sinks ----
 
 

@@ -178,12 +178,13 @@ def write_out(df: DataFrame, path: str, fmt: str = "json", columns: list[str] |
         out.csv(path, sep="\t" if fmt == "tsv" else ",", header=True)
 
 
-def compact(rows: DataFrame, out: str, most: int = 65535) -> DataFrame:
-    """Rows written anew in order, in files of at most `most` rows, after a proof that nothing but the files changed.
-    Runs that aren't contiguous are refused."""
+def compact(rows: DataFrame, out: str, most: int = 65535, most_bytes: int = 8 << 20) -> DataFrame:
+    """Rows written anew in order, in files of at most `most` rows and as many as `most_bytes` hold of the largest row (as
+    text), after a proof that nothing but the files changed. Runs that aren't contiguous are refused."""
     if rows.join(contiguous_rows(rows).select("run_id", "seq"), ["run_id", "seq"], "left_anti").limit(1).count():
         raise ValueError("rows are not contiguous")
-    rows.repartitionByRange("run_id", "seq").sortWithinPartitions("run_id", "seq").write.option("maxRecordsPerFile", most).parquet(out)
+    largest = rows.agg(F.max(F.octet_length(F.to_json(F.struct(*rows.columns))))).first()[0] or 1
+    rows.repartitionByRange("run_id", "seq").sortWithinPartitions("run_id", "seq").write.option("maxRecordsPerFile", max(1, min(most, most_bytes // largest))).parquet(out)
     new = rows.sparkSession.read.schema(rows.schema).parquet(out)
     flat = lambda df: df.withColumn("values", F.to_json(F.map_from_entries(F.sort_array(F.map_entries("values")))))
     if assert_same(flat(rows), flat(new)).limit(1).count():
@@ -220,6 +221,19 @@ def delta_for(blocks: DataFrame, held: DataFrame, runs: DataFrame) -> DataFrame:
     return kept.where(fresh | (F.col("since") > F.col("_compiled"))).withColumn("replace", fresh).drop("_uid", "_rebuilt", "_compiled", "uid", "rebuilt")
 
 
+def delta_tables(held: DataFrame, runs: DataFrame, media: DataFrame, spans: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:
+    """All that a replica lacks: `records` and `media` of runs, `spans` and `blocks` of series. Of a run that it holds, media
+    from its own count on (held.media), and the spans and record only if something is new; everything of one that is new
+    or was replaced. runs: run_id, uid, rebuilt, compiled and the record; held: run_id, uid, rebuilt, compiled, media."""
+    h = held.select("run_id", F.col("uid").alias("_uid"), F.col("rebuilt").alias("_rebuilt"), F.col("compiled").alias("_compiled"), F.col("media").alias("_media"))
+    state = runs.select("run_id", "uid", "rebuilt", "compiled").join(h, "run_id", "left")
+    fresh = F.col("_uid").isNull() | (F.col("_uid") != F.col("uid")) | (F.col("_rebuilt") != F.col("rebuilt"))
+    state = state.select("run_id", fresh.alias("_fresh"), "_media", (fresh | (F.col("compiled") > F.col("_compiled"))).alias("_grown"))
+    items = media.join(state, "run_id").where(F.col("_fresh") | (F.col("seq") >= F.col("_media"))).select(media.columns)
+    changed = state.where("_grown").select("run_id").unionByName(items.select("run_id")).distinct()
+    return {"records": runs.join(changed, "run_id", "left_semi"), "media": items, "spans": spans.join(state.where("_grown"), "run_id", "left_semi"), "blocks": delta_for(blocks, held, runs)}
+
+
 def apply_delta(replica: DataFrame, delta: DataFrame) -> DataFrame:
     """The replica with a delta: runs to replace go first, equal blocks are overwritten, levels below the kept ones drop."""
     on = ["run_id", "key", "level", "block"]
