@@ -194,3 +194,30 @@ def test_merge_folder_notes(spark):
     new = spark.createDataFrame([("a", "x", "2", 1), ("a", "x", '"last"', 2), ("a", 'odd "key"', "not json", 3), ("d", "n", None, 1), ("d", "m", "true", 1)], "path string, key string, value string, order int")
     got = {r["path"]: r["j"] for r in T.merge_folder_notes(base, new).select("path", F.to_json("info").alias("j")).collect()}
     assert {k: json.loads(v) for k, v in got.items()} == {"a": {"x": "last", "y": {"z": [1, None]}, 'odd "key"': "not json"}, "b": {}, "c": {"q": "w"}, "d": {"n": None, "m": True}}
+
+
+def test_list_columns():
+    assert R.list_columns(["config.lr", "step"], ["summary.loss", "config.lr"]) == ["path", "state", "step", "runtime", "config.lr", "summary.loss"]
+    assert R.list_columns([], (), ("path",)) == ["path"]
+
+
+def test_folder_notes_by_path(spark, tmp_path):
+    for name, text in {"": '{"x": 1}', "a": "[1, 2]", "a/b": '{"y": {"z": 2}}', "bad": "{broken", "held": "no json"}.items():
+        (tmp_path / name).mkdir(parents=True, exist_ok=True)
+        (tmp_path / name / "notes.json").write_text(text)
+    (tmp_path / "a" / "other.json").write_text("{}")
+    held = spark.createDataFrame([(f"{tmp_path}/held", '{"old": true}')], "path string, j string").select("path", F.parse_json("j").alias("info"))
+    got = {r["path"]: r["j"] for r in T.read_folder_notes(spark, str(tmp_path), held=held).select("path", F.to_json("info").alias("j")).collect()}
+    assert got == {str(tmp_path): '{"x":1}', f"{tmp_path}/a": '{"value":[1,2]}', f"{tmp_path}/a/b": '{"y":{"z":2}}', f"{tmp_path}/held": '{"old":true}'}
+
+
+def test_delta_tables(spark):
+    runs = spark.createDataFrame([("same", 1, 0, 9), ("grown", 2, 0, 9), ("other", 3, 0, 9), ("media", 4, 0, 9)], "run_id string, uid int, rebuilt int, compiled int")
+    held = spark.createDataFrame([("same", 1, 0, 9, 2), ("grown", 2, 0, 5, 2), ("media", 4, 0, 9, 1)], "run_id string, uid int, rebuilt int, compiled int, media int")
+    media = spark.createDataFrame([(r, "img", s) for r in ("same", "grown", "other", "media") for s in range(2)], "run_id string, key string, seq int")
+    spans = runs.select("run_id", F.lit("k").alias("key"), F.lit(4).alias("top"))
+    blocks = runs.select("run_id", F.lit("k").alias("key"), F.explode(F.array(F.lit(3), F.lit(1))).alias("level"), F.lit(4).alias("top"), F.lit(0).alias("block"), F.lit(7).alias("since"))
+    got = T.delta_tables(held, runs, media, spans, blocks)
+    ids = lambda df: sorted(r["run_id"] for r in df.collect())
+    assert ids(got["records"]) == ["grown", "media", "other"] and ids(got["media"]) == ["media", "other", "other"]
+    assert ids(got["spans"]) == ["grown", "other"] and ids(got["blocks"]) == ["grown", "other"]

@@ -230,7 +230,8 @@ def delta_tables(held: DataFrame, runs: DataFrame, media: DataFrame, spans: Data
     fresh = F.col("_uid").isNull() | (F.col("_uid") != F.col("uid")) | (F.col("_rebuilt") != F.col("rebuilt"))
     state = state.select("run_id", fresh.alias("_fresh"), "_media", (fresh | (F.col("compiled") > F.col("_compiled"))).alias("_grown"))
     items = media.join(state, "run_id").where(F.col("_fresh") | (F.col("seq") >= F.col("_media"))).select(media.columns)
-    changed = state.where("_grown").select("run_id").unionByName(items.select("run_id")).distinct()
+    with_items = items.select("run_id").distinct().withColumn("_items", F.lit(True))
+    changed = state.join(with_items, "run_id", "left").where(F.col("_grown") | F.col("_items"))
     return {"records": runs.join(changed, "run_id", "left_semi"), "media": items, "spans": spans.join(state.where("_grown"), "run_id", "left_semi"), "blocks": delta_for(blocks, held, runs)}
 
 
