@@ -175,7 +175,7 @@ def growth(pyramid: DataFrame, known: DataFrame, more: DataFrame) -> tuple[DataF
     rolled up; where the top rises, the old top is lifted. Nothing else of the pyramid is read. fine stays."""
     new = spans(more).select(*SERIES, F.col("fine").alias("_fine"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     grown = known.join(new, SERIES, "full").select(*SERIES, F.col("top").alias("_old"), F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"), F.coalesce("fine", "_fine").alias("fine"))
-    grown = grown.withColumn("top", F.greatest(F.coalesce("_old", "fine"), level_for(F.col("hi") - F.col("lo"))))
+    grown = written(grown.withColumn("top", F.greatest(F.coalesce("_old", "fine"), level_for(F.col("hi") - F.col("lo")))), "spans")
     delta = roll_up(bucketize(more.join(grown.select(*SERIES, "fine"), SERIES), F.col("fine")), grown)
     risen = pyramid.join(grown.where("top > _old").select(*SERIES, F.col("_old").alias("level")), [*SERIES, "level"])
     lifted = roll_up(risen, grown).join(known.select(*SERIES, F.col("top").alias("_old")), SERIES).where("level > _old").drop("_old")
@@ -183,9 +183,10 @@ def growth(pyramid: DataFrame, known: DataFrame, more: DataFrame) -> tuple[DataF
 
 
 def grow(pyramid: DataFrame, known: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The whole pyramid and spans with more points. A store that is kept up adds the growth alone."""
+    """The whole pyramid and spans with more points. What is added is written, so growing again and again doesn't compute
+    it anew. A store that is kept up adds the growth alone."""
     added, grown = growth(pyramid, known, more)
-    return combine(pyramid, added), grown
+    return combine(pyramid, written(added, "growth")), grown
 
 
 def compile_due(points: DataFrame, compiled: DataFrame, least: int = 4096) -> tuple[DataFrame, DataFrame]:
