@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import maxscore
+from tideline.llm import manifest, maxscore
 from tideline.llm.common import documents
 
 
@@ -81,5 +81,13 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_robust_outliers, op3_maxscore, op4_sampled_splitters, op5_entropy_secrets, op6_minimum_bin_slack, op7_simhash_ball, op8_line_crf, op9_bpe, op10_suffix_array)}
-ORACLES: dict[str, str] = {"op3_maxscore": maxscore.ORACLE}
+def op11_postorder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, manifest.leaf_digest(*fields, lowered))
+    made = manifest.build_manifest(documents(spark, sf_dir), manifest.leaf_digest(*fields, F.col("text")), claimed=tampered)
+    return made.proofs(["key"], audit=True).withColumnRenamed("key", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_robust_outliers, op3_maxscore, op4_sampled_splitters, op5_entropy_secrets, op6_minimum_bin_slack, op7_simhash_ball, op8_line_crf, op9_bpe, op10_suffix_array, op11_postorder_manifest)}
+ORACLES: dict[str, str] = {"op3_maxscore": maxscore.ORACLE, "op11_postorder_manifest": manifest.ORACLE}
