@@ -2,8 +2,9 @@
 
 Letters are hashed to a few symbols, so a word becomes a reduced word. Whatever single letter is inserted, deleted or
 replaced in a word, the reduced word undergoes at most one such edit, so all reduced words within one edit (a few dozen,
-as there are few symbols) are generated for every word and joined with the reduced vocabulary; what meets is verified on
-the words themselves.
+as there are few symbols) are generated and joined with the reduced vocabulary; what meets is verified on the words
+themselves. As neighbours are each other's, the longer of two reduced words makes the shorter one, and of equally long ones
+that with the smaller symbol the other; links are then taken in both directions.
 
 An edit lies in one half of the word that it leads to, so the other half is the same in both words, letter by letter. A
 generated reduced word therefore carries the hash of that half, and a word of the vocabulary is found under each of its
@@ -80,7 +81,7 @@ def mixed(value: np.ndarray, half: np.ndarray, side: int, size: int) -> np.ndarr
     x = value ^ (half + np.uint64((2 * size + side + 1) * BASES[0] & (1 << 64) - 1))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (x ^ (x >> np.uint64(31))).view(np.int64)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(16)).view(np.int64)  # 48 bits, so that rows are short
 
 
 class Words:
@@ -108,23 +109,23 @@ class Words:
         for side in (0, 1):
             yield mixed(self.sums[0][:, -1], self.half(side, self.size), side, self.size)
 
-    def split(self, values: np.ndarray, places: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    def split(self, values: np.ndarray, count: np.ndarray, places: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Keys of edited words of that size, by the half that the edit at each of the places leaves alone."""
         for side, chosen in ((0, places >= size // 2), (1, places < size // 2)):
             if chosen.any():
-                yield mixed(values[:, chosen], self.half(side, size)[:, None], side, size)
+                yield mixed(values[:, chosen], self.half(side, size)[:, None], side, size), count[:, chosen]
 
-    def edited(self) -> Iterator[np.ndarray]:
-        """Keys of all reduced words within one edit, as (words, keys)."""
+    def edited(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys of the reduced words within one edit, as (words, keys), and which of them count: of two reduced words that
+        are each other's neighbours the longer one, or else the one with the smaller symbol, makes the other."""
         (sums, up, down), n = (self.sums[0], self.up[0], self.down[0]), self.size
-        whole, places = sums[:, -1:], np.arange(n + 1)
+        whole, places = sums[:, -1:], np.arange(n)
         for key in self.own():  # a letter replaced by one of the same symbol
-            yield key[:, None]
-        yield from self.split(sums[:, :-1] + (whole - sums[:, 1:]) * down[1], places[:-1], n - 1)
-        for symbol in range(1, self.symbols + 1):
-            changed = whole + (np.uint64(symbol) - self.reduced) * up[:n]
-            yield from self.split(changed, places[:-1], n)  # with the same symbol too, which the first keys have already
-            yield from self.split(sums + np.uint64(symbol) * up[: n + 1] + (whole - sums) * up[1], places, n + 1)
+            yield key[:, None], np.ones((len(key), 1), bool)
+        every = np.ones(self.reduced.shape, bool)
+        yield from self.split(sums[:, :-1] + (whole - sums[:, 1:]) * down[1], every, places, n - 1)
+        for symbol in range(2, self.symbols + 1):
+            yield from self.split(whole + (np.uint64(symbol) - self.reduced) * up[:n], self.reduced < symbol, places, n)
 
 
 def keys(batches: Iterator[pa.RecordBatch], symbols: int, edits: bool) -> Iterator[pa.RecordBatch]:
@@ -137,30 +138,32 @@ def keys(batches: Iterator[pa.RecordBatch], symbols: int, edits: bool) -> Iterat
             for part in np.array_split(same, -(-len(same) * int(size) // CELLS)):
                 letters = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le"), np.uint32).reshape(len(part), size)
                 made = Words(letters, symbols)
-                for key in made.edited() if edits else made.own():
-                    key = key.reshape(len(part), -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ids[part], key.shape[1]))], ["key", "id"])
+                for key, count in made.edited() if edits else ((k[:, None], np.ones((len(k), 1), bool)) for k in made.own()):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[count]), pa.array(np.repeat(ids[part], count.sum(axis=1)))], ["key", "id"])
 
 
-def near_words(vocab: DataFrame, symbols: int = 4) -> DataFrame:
-    """(a, b, n_a, n_b, a_id) for all pairs of vocab (id, word, n) that differ by one inserted, deleted or replaced code
-    point, each in both directions. Only ids and 64-bit keys are shuffled for the candidates, so a very long word costs
+def near_words(vocab: DataFrame, symbols: int = 8) -> DataFrame:
+    """(id, near, n) for all pairs of words of vocab (id, word, n) that differ by one inserted, deleted or replaced code
+    point, in both directions: a word's id, and the other word with its n. Only ids and 48-bit keys are shuffled for the candidates, so a very long word costs
     rows in proportion to its length; what meets by chance fails the test on the words."""
     pick = lambda edits, name: vocab.select("id", "word").mapInArrow(lambda batches: keys(batches, symbols, edits), "key long, id long").withColumnRenamed("id", name)
-    met = pick(True, "a_id").join(pick(False, "b_id"), "key").where("a_id <> b_id").select("a_id", "b_id").distinct()
+    met = pick(True, "one").join(pick(False, "other"), "key").where("one <> other")
+    met = met.select(F.least("one", "other").alias("a_id"), F.greatest("one", "other").alias("b_id")).distinct()
     side = lambda s: vocab.select(F.col("id").alias(f"{s}_id"), F.col("word").alias(s), F.col("n").alias(f"n_{s}"))
-    return met.join(side("a"), "a_id").join(side("b"), "b_id").where(F.levenshtein("a", "b", 1) == 1).drop("b_id")
+    found = met.join(side("a"), "a_id").join(side("b"), "b_id").where(F.levenshtein("a", "b", 1) == 1)
+    ways = [F.struct(F.col(f"{x}_id").alias("id"), F.col(y).alias("near"), F.col(f"n_{y}").alias("n")) for x, y in ("ab", "ba")]
+    return found.select(F.explode(F.array(*ways)).alias("way")).select("way.*")
 
 
-def spelling_variants(words: DataFrame, ratio: int = 10, symbols: int = 4) -> DataFrame:
+def spelling_variants(words: DataFrame, ratio: int = 10, symbols: int = 8) -> DataFrame:
     """words (word, n, each word once) with n_near, its number of near words; form, the near word of largest n (ties: the
     smallest in code-point order) if that n is at least `ratio` (2 or more) times the word's, and form_n; else null; root,
     the last word that forms lead to, itself if it has none. Forms rise in n, so they end after a few steps. An empty
     table gives none."""
     vocab = written(words.select("word", "n").withColumn("id", F.monotonically_increasing_id()), "vocabulary")
-    best = near_words(vocab, symbols).groupBy("a_id").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("n_b")).alias("less"), "b")).alias("best"))
-    found = vocab.join(best, vocab["id"] == best["a_id"], "left").withColumn("form_n", F.when(-F.col("best.less") >= ratio * F.col("n"), -F.col("best.less")))
-    found = written(found.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("form_n").isNotNull(), F.col("best.b")).alias("form"), "form_n"), "forms")
+    best = near_words(vocab, symbols).groupBy("id").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), "near")).alias("best"))
+    found = vocab.join(best, "id", "left").withColumn("form_n", F.when(-F.col("best.less") >= ratio * F.col("n"), -F.col("best.less")))
+    found = written(found.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("form_n").isNotNull(), F.col("best.near")).alias("form"), "form_n"), "forms")
     roots = found.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:  # the way that is known doubles with each round
         ahead = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
