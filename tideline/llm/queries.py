@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import manifest, maxscore, spelling
+from tideline.llm import fingerprint, manifest, maxscore, spelling
 from tideline.llm.common import documents
 
 
@@ -89,10 +89,14 @@ def op11_postorder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.proofs(["key"], audit=True).withColumnRenamed("key", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_likeness(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op13_reduced_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.vocabulary(documents(spark, sf_dir), least=7, count=2, typo=31)
     return spelling.spelling_variants(words, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_robust_outliers, op3_maxscore, op4_sampled_splitters, op5_entropy_secrets, op6_minimum_bin_slack, op7_simhash_ball, op8_line_crf, op9_bpe, op10_suffix_array, op11_postorder_manifest, op13_reduced_alphabet)}
-ORACLES: dict[str, str] = {"op3_maxscore": maxscore.ORACLE, "op11_postorder_manifest": manifest.ORACLE, "op13_reduced_alphabet": spelling.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_robust_outliers, op3_maxscore, op4_sampled_splitters, op5_entropy_secrets, op6_minimum_bin_slack, op7_simhash_ball, op8_line_crf, op9_bpe, op10_suffix_array, op11_postorder_manifest, op12_section_tree, op13_reduced_alphabet)}
+ORACLES: dict[str, str] = {"op3_maxscore": maxscore.ORACLE, "op11_postorder_manifest": manifest.ORACLE, "op12_section_tree": fingerprint.ORACLE, "op13_reduced_alphabet": spelling.ORACLE}
