@@ -19,12 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.common import written
 from tideline.plans.shared import in_order, running
 
 WAYS = 3  # bits of a place among siblings: eight children
-DEPTH = 4  # levels that a builder completes
+DEPTH = 4  # levels that a builder completes, unless told otherwise
 WIDTH = 64  # a digest as text
 
 SEGMENT = "tree string, block long, size long, nodes binary, top binary"
@@ -53,11 +54,11 @@ def position(level: int, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def widths(size: int, block: int) -> list[int]:
+def widths(size: int, block: int, depth: int) -> list[int]:
     """Nodes of each level in a segment. The first block stops where one node is left; a later one has its full height,
     as the tree goes on above it."""
     out = [size]
-    while len(out) <= DEPTH and (block or out[-1] > 1):
+    while len(out) <= depth and (block or out[-1] > 1):
         out.append(-(-out[-1] >> WAYS))
     return out
 
@@ -66,12 +67,12 @@ def ends(level: int, count: int, size: int) -> np.ndarray:
     return np.minimum((np.arange(count, dtype=np.int64) + 1) << (WAYS * level), size)
 
 
-def build_segment(key: tuple, rows: pa.Table) -> pa.Table:
+def build_segment(key: tuple, rows: pa.Table, depth: int) -> pa.Table:
     """One builder: the segment of a block's leaves in completion order."""
     rows = rows.sort_by("place")
     tree, block = key[0].as_py(), key[1].as_py()
     level = [x.hex().encode() for x in rows.column("digest").to_pylist()]
-    counts = widths(len(level), block)
+    counts = widths(len(level), block, depth)
     out = np.empty((sum(counts), WIDTH // 2), np.uint8)
     for k, count in enumerate(counts):
         if k:
@@ -80,13 +81,13 @@ def build_segment(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"tree": pa.array([tree], pa.string()), "block": pa.array([block], pa.int64()), "size": pa.array([counts[0]], pa.int64()), "nodes": pa.array([out.tobytes()], pa.binary()), "top": pa.array([bytes.fromhex(level[0].decode())], pa.binary())})
 
 
-def build_log(leaves: DataFrame) -> list[DataFrame]:
+def build_log(leaves: DataFrame, depth: int) -> list[DataFrame]:
     """The tiers of segments over leaves (tree, place, digest), places gapless from 0 in each tree. In the last tier each
     tree has one segment, whose top is its root. A tree that is complete earlier passes on as a segment of one node."""
     tiers, nodes = [], leaves
     while True:
-        blocks = nodes.select("tree", F.shiftright("place", WAYS * DEPTH).alias("block"), "place", "digest")
-        tiers.append(written(blocks.groupBy("tree", "block").applyInArrow(build_segment, SEGMENT), f"manifest-tier{len(tiers)}"))
+        blocks = nodes.select("tree", F.shiftright("place", WAYS * depth).alias("block"), "place", "digest")
+        tiers.append(written(blocks.groupBy("tree", "block").applyInArrow(lambda key, rows: build_segment(key, rows, depth), SEGMENT), f"manifest-tier{len(tiers)}"))
         if not tiers[-1].agg(F.max("block")).first()[0]:
             return tiers
         nodes = tiers[-1].select("tree", F.col("block").alias("place"), F.col("top").alias("digest"))
@@ -95,9 +96,9 @@ def build_log(leaves: DataFrame) -> list[DataFrame]:
 class Siblings:
     """A segment as sibling runs: of a leaf, level by level, its place in its run and the run's other digests."""
 
-    def __init__(self, nodes: bytes, size: int, block: int):
+    def __init__(self, nodes: bytes, size: int, block: int, depth: int):
         table = np.frombuffer(nodes, np.uint8).reshape(-1, WIDTH // 2)
-        counts = widths(size, block)
+        counts = widths(size, block, depth)
         self.levels = [table[position(k, ends(k, c, size))].tobytes() for k, c in enumerate(counts[:-1])]
         self.counts = counts
 
@@ -119,11 +120,11 @@ def fold(leaf: bytes, path: list[tuple[int, bytes]]) -> bytes:
     return leaf
 
 
-def segment_paths(rows: pa.Table, above: pa.Table) -> pa.Table:
+def segment_paths(rows: pa.Table, above: pa.Table, depth: int) -> pa.Table:
     """Paths of all leaves of one segment: its own levels, then the path of its top."""
     seg, up = rows.to_pylist()[0], above.to_pylist()
     up = up[0] if up else {"places": [], "siblings": [], "subroot": seg["top"], "root": seg["top"]}
-    runs, first = Siblings(seg["nodes"], seg["size"], seg["block"]), seg["block"] << (WAYS * DEPTH)
+    runs, first = Siblings(seg["nodes"], seg["size"], seg["block"], depth), seg["block"] << (WAYS * depth)
     paths = [runs.path(i) for i in range(seg["size"])]
     return pa.table({
         "tree": pa.array([seg["tree"]] * len(paths), pa.string()), "block": pa.array(range(first, first + len(paths)), pa.int64()),
@@ -132,11 +133,14 @@ def segment_paths(rows: pa.Table, above: pa.Table) -> pa.Table:
     })
 
 
-def paths_down(tiers: list[DataFrame], above: DataFrame) -> DataFrame:
+def paths_of(tier: DataFrame, above: DataFrame, depth: int) -> DataFrame:
+    return tier.groupBy("tree", "block").cogroup(above.groupBy("tree", "block")).applyInArrow(lambda rows, up: segment_paths(rows, up, depth), PATH)
+
+
+def paths_down(tiers: list[DataFrame], above: DataFrame, depth: int) -> DataFrame:
     """Paths (PATH) of the segments of the lowest tier, each a leaf of the tier over it; above: those of the trees' roots."""
     for k, tier in enumerate(reversed(tiers[1:])):
-        made = tier.groupBy("tree", "block").cogroup(above.groupBy("tree", "block")).applyInArrow(segment_paths, PATH)
-        above = written(made, f"manifest-paths{k}")
+        above = written(paths_of(tier, above, depth), f"manifest-paths{k}")
     return above
 
 
@@ -149,29 +153,31 @@ class Manifest:
     tiers: list[DataFrame]
     roots: DataFrame
     top: list[DataFrame]
+    depth: int = DEPTH
 
     def paths(self) -> DataFrame:
         """PATH of each segment of the lowest tier."""
         whole = F.lit("").alias("tree")
         over = self.top[-1].select(whole, F.lit(0).cast("long").alias("block"), F.array().cast("array<int>").alias("places"), F.array().cast("array<binary>").alias("siblings"), F.col("top").alias("subroot"), F.col("top").alias("root"))
-        over = paths_down(self.top, over)
-        found = written(self.top[0].groupBy("tree", "block").cogroup(over.groupBy("tree", "block")).applyInArrow(segment_paths, PATH), "manifest-root-paths")
+        over = paths_down(self.top, over, self.depth)
+        found = written(paths_of(self.top[0], over, self.depth), "manifest-root-paths")
         named = self.roots.select("place", F.col("of").alias("tree"), F.col("digest").alias("subroot")).join(found.select(F.col("block").alias("place"), "places", "siblings", "root"), "place")
-        return paths_down(self.tiers, named.select("tree", F.lit(0).cast("long").alias("block"), "places", "siblings", "subroot", "root"))
+        return paths_down(self.tiers, named.select("tree", F.lit(0).cast("long").alias("block"), "places", "siblings", "subroot", "root"), self.depth)
 
     def proofs(self, of: list[str], audit: bool = False) -> DataFrame:
         """For every leaf the columns `of`, leaf, subroot, root (hex) and its proof: per level its place among the siblings
         (places) and the others' digests, concatenated (siblings). audit: instead of these, proof_sha256 (H of the siblings,
         all levels) and folded_root, recomputed from the column `claimed` or, where that is null, from the leaf."""
-        kept = self.leaves.select(*of, "claimed", "digest", "place", "tree", F.shiftright("place", WAYS * DEPTH).alias("block"))
+        depth = self.depth
+        kept = self.leaves.select(*of, "claimed", "digest", "place", "tree", F.shiftright("place", WAYS * depth).alias("block"))
         known = self.tiers[0].select("tree", "block", "size", "nodes").join(self.paths(), ["tree", "block"])
         schema = kept.select(*of).schema.add("leaf", "string").add("subroot", "string").add("root", "string")
-        for name, kind in (("proof_sha256", "string"), ("folded_root", "string")) if audit else (("places", "array<int>"), ("siblings", "array<string>")):
+        for name, kind in (("proof_sha256", "string"), ("folded_root", "string")) if audit else (("places", T.ArrayType(T.IntegerType())), ("siblings", T.ArrayType(T.StringType()))):
             schema = schema.add(name, kind)
 
         def prove(rows: pa.Table, above: pa.Table) -> pa.Table:
             up = above.to_pylist()[0]
-            runs, first = Siblings(up["nodes"], up["size"], up["block"]), up["block"] << (WAYS * DEPTH)
+            runs, first = Siblings(up["nodes"], up["size"], up["block"], depth), up["block"] << (WAYS * depth)
             rest = list(zip(up["places"], up["siblings"], strict=True))
             leaves, claims = (rows.column(c).to_pylist() for c in ("digest", "claimed"))
             made: tuple[list, list] = ([], [])
@@ -192,16 +198,16 @@ def numbered(leaves: DataFrame, *order: str) -> DataFrame:
     return running(in_order(leaves, ["tree"], *order), ["tree"], F.lit(1)).withColumn("place", F.col("_sum") - 1).drop("_sum", "_part", "_at")
 
 
-def build_manifest(docs: DataFrame, leaf: Column, group: str = "lang", key: str = "doc_id", claimed: Column | None = None) -> Manifest:
+def build_manifest(docs: DataFrame, leaf: Column, group: str = "lang", key: str = "doc_id", claimed: Column | None = None, depth: int = DEPTH) -> Manifest:
     """The manifest of docs: leaves in a tree per value of `group` (null first, then bytewise), ordered by `key` (null first;
     ties by digest, so rows that are equal in all hashed fields change places without effect). leaf, claimed: digests as
     hex text; claimed may be null. Only digests and keys are shuffled, never texts. An empty table has no roots and no
     proofs; a tree of one leaf has that leaf as its root. Other columns of docs play no part, whatever their names."""
     raw = docs.select(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-")).alias("tree"), F.col(key).alias("key"), F.unhex(leaf).alias("digest"), F.unhex(claimed if claimed is not None else F.lit(None).cast("string")).alias("claimed"))
     leaves = written(numbered(raw.withColumn("tie", F.monotonically_increasing_id()), "key", "digest", "tie").drop("tie"), "manifest-leaves")
-    tiers = build_log(leaves.select("tree", "place", "digest"))
+    tiers = build_log(leaves.select("tree", "place", "digest"), depth)
     roots = written(numbered(tiers[-1].select(F.lit("").alias("tree"), F.col("tree").alias("of"), F.col("top").alias("digest")), "of"), "manifest-roots")
-    return Manifest(leaves, tiers, roots, build_log(roots.select("tree", "place", "digest")))
+    return Manifest(leaves, tiers, roots, build_log(roots.select("tree", "place", "digest"), depth), depth)
 
 
 #: Bytes' CRC-32 in DuckDB: {crc} over a list of bytes, with `crc_table` a one-row table of the list `t`.
