@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.functions import values as V
 from tideline.operators import pyramid as B
 from tideline.operators import runs as R
 from tideline.operators import series as S
@@ -221,3 +222,38 @@ def test_delta_tables(spark):
     ids = lambda df: sorted(r["run_id"] for r in df.collect())
     assert ids(got["records"]) == ["grown", "media", "other"] and ids(got["media"]) == ["media", "other", "other"]
     assert ids(got["spans"]) == ["grown", "other"] and ids(got["blocks"]) == ["grown", "other"]
+
+
+def test_natural_order_of_long_numbers(spark):
+    names = ["x1" + "0" * 21, "x" + "9" * 21, "x007b", "x7a", "x10", "X2", "x", "5", "a", "x0", "x00"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(V.natural_key("n"), "n").collect()]
+    assert got == ["5", "a", "x", "x0", "x00", "X2", "x7a", "x007b", "x10", "x" + "9" * 21, "x1" + "0" * 21]
+
+
+def test_logged_keys_that_meet(spark):
+    """Of two values that come to one key the later one in the document counts; what is no object gives nothing."""
+    texts = ['{"a/b": 1, "a": {"b": 2}, "t": "5", "z": {"y/x": 1, "y": {"x": true}, "q": [1]}}', '{"a": {"b": 2}, "a/b": 1}', "nope", '{"a": {}}', '{"n": null, "k": 1, "k": 3}', "[1]", None]
+    logs = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "run_id string, order int, json string")
+    assert {r["order"]: r["values"] for r in T.ingest_log(logs).collect()} == {0: {"a/b": 2.0, "z/y/x": 1.0}, 1: {"a/b": 1.0}, 4: {"k": 3.0}}
+    twice = spark.createDataFrame([("r", 0, 0.0, 0.0, "k", 1.0), ("r", 0, 0.0, 0.0, "k", 2.0)], "run_id string, seq int, step double, t double, key string, value double")
+    assert T.points_to_rows(twice).first()["values"] == {"k": 2.0}
+
+
+def test_lines_cross_cells(spark):
+    """Against a count cell by cell of what each line covers."""
+    r = random.Random(2)
+    lines = {f"s{i}": {b: r.choice([r.uniform(-5, 15), math.inf, 10.0]) for b in range(6) if r.random() < 0.8} for i in range(40)}
+    want = {}
+    for bins in lines.values():
+        full = dict(bins)
+        for a, b in zip(sorted(bins), sorted(bins)[1:]):
+            for k in range(a + 1, b):
+                full[k] = bins[a] * (1 - (k - a) / (b - a)) + bins[b] * ((k - a) / (b - a))
+        for k, v in full.items():
+            if math.isfinite(v):
+                reach = [v, *((v + full[n]) / 2 for n in (k - 1, k + 1) if n in full and math.isfinite(full[n]))]
+                if max(reach) >= 0 and min(reach) <= 10:
+                    for c in range(max(0, min(7, math.floor(min(reach) * 0.8))), max(0, min(7, math.floor(max(reach) * 0.8))) + 1):
+                        want[k, c] = want.get((k, c), 0) + 1
+    df = spark.createDataFrame([(s, "k", b, v) for s, bins in lines.items() for b, v in bins.items()], "run_id string, key string, bin int, value double")
+    assert {(x["bin"], x["cell"]): x["d"] for x in B.line_density(df, 0.0, 10.0, 8).collect()} == want

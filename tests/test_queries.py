@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["A6_robust_stats", "A11_groups_at", "A18_config_spread", "B6_pyramid", "B9_read_blocks", "J9_asof_join", "J11_overlay", "S5_ingest", "U1_merge_workspaces", "W1_twema", "T8_live_seqs"]
+NAMES = ["A6_robust_stats", "A11_groups_at", "A18_config_spread", "B6_pyramid", "B9_read_blocks", "J9_asof_join", "J11_overlay", "S5_ingest", "U1_merge_workspaces", "W1_twema", "T8_live_seqs", "T1_follow", "T6_feed_updates", "T8_losses", "T10_claims", "S12_journal_stream", "A26_line_density", "U1_merge_folders"]
 
 
 def plain(v):

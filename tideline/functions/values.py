@@ -182,8 +182,11 @@ def section_of(key: Column | str) -> Column:
 
 
 def natural_key(c: Column | str) -> Column:
-    """Sorts texts with their numbers by size: digits are padded to 20 places."""
-    return F.array_join(F.transform(F.regexp_extract_all(F.lower(col(c)), F.lit(r"\d+|\D+"), F.lit(0)), lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x)), "")
+    """Sorts texts with their numbers by size: digits, without leading zeros, follow their own number, which has 10 places,
+    so numbers of any length compare as numbers."""
+    number = lambda x: F.concat(F.lpad(F.char_length(x).cast("string"), 10, "0"), x)
+    digits = lambda x: number(F.regexp_replace(x, "^0+(?=[0-9])", ""))
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(col(c)), F.lit(r"\d+|\D+"), F.lit(0)), lambda x: F.when(x.rlike(r"^\d"), digits(x)).otherwise(x)), "")
 
 
 # ---- levels ----

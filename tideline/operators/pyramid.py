@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,14 +170,16 @@ def roll_up(base: DataFrame, known: DataFrame) -> DataFrame:
     return lifted.groupBy(*SERIES, "level", "bucket").agg(*summed())
 
 
-def growth(pyramid: DataFrame, known: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+def growth(pyramid: DataFrame | Callable[[DataFrame], DataFrame], known: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What more points, late ones too, add to a pyramid, and the spans after them. Only the new points are summed and
-    rolled up; where the top rises, the old top is lifted. Nothing else of the pyramid is read. fine stays."""
+    rolled up; where the top rises, the old top is lifted. Nothing else of the pyramid is read: it may be given as a
+    function that reads the buckets of some series and levels. fine stays."""
     new = spans(more).select(*SERIES, F.col("fine").alias("_fine"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     grown = known.join(new, SERIES, "full").select(*SERIES, F.col("top").alias("_old"), F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"), F.coalesce("fine", "_fine").alias("fine"))
     grown = written(grown.withColumn("top", F.greatest(F.coalesce("_old", "fine"), level_for(F.col("hi") - F.col("lo")))), "spans")
     delta = roll_up(bucketize(more.join(grown.select(*SERIES, "fine"), SERIES), F.col("fine")), grown)
-    risen = pyramid.join(grown.where("top > _old").select(*SERIES, F.col("_old").alias("level")), [*SERIES, "level"])
+    rises = grown.where("top > _old").select(*SERIES, F.col("_old").alias("level"))
+    risen = (pyramid(rises) if callable(pyramid) else pyramid).join(rises, [*SERIES, "level"])
     lifted = roll_up(risen, grown).join(known.select(*SERIES, F.col("top").alias("_old")), SERIES).where("level > _old").drop("_old")
     return lifted.unionByName(delta), grown.select(*SERIES, "fine", "top", "lo", "hi")
 
@@ -311,3 +313,24 @@ def density(binned: DataFrame, y0: float, y1: float, ny: int) -> DataFrame:
     cells = binned.where(finite("value") & F.col("value").between(y0, y1)).withColumn("cell", F.least(F.lit(ny - 1), F.floor((F.col("value") - y0) * (ny / (y1 - y0)))).cast("int")).groupBy("bin", "cell").agg(F.count(F.lit(1)).alias("d"))
     top = cells.agg(F.max("d").alias("_top"))  # one row
     return cells.join(F.broadcast(top)).withColumn("shade", F.log1p("d") / F.log1p("_top")).drop("_top")
+
+
+def line_density(binned: DataFrame, y0: float, y1: float, ny: int) -> DataFrame:
+    """Series counted in every y-cell of an x-bin that their line crosses, with the colour log(1 + d) / log(1 + max).
+
+    A line joins a series' neighbouring bins at their centres, so in a bin it takes the cells from its value there to
+    half way to either neighbour, all of them once. What a line adds to a bin is two rows of a difference array, where it
+    comes in and where it has gone, however steep it is; sums over the cells in order give the counts. Values that aren't
+    finite break a line; what lies beyond y0 and y1 is cut off. A series in one bin alone counts in its cell."""
+    w = Window.partitionBy(*SERIES).orderBy("bin")  # a row a bin, as many as the grid's
+    beside = lambda near, step: F.when((near("bin").over(w) == F.col("bin") + step) & finite(near("value").over(w)), (F.col("value") + near("value").over(w)) / 2)
+    ends = fill_gaps(binned).withColumns({"_a": beside(F.lag, -1), "_b": beside(F.lead, 1)}).where(finite("value"))
+    spans = ends.select("bin", F.least("value", F.coalesce("_a", "value"), F.coalesce("_b", "value")).alias("lo"), F.greatest("value", F.coalesce("_a", "value"), F.coalesce("_b", "value")).alias("hi")).where((F.col("hi") >= y0) & (F.col("lo") <= y1))
+    cell = lambda c: F.least(F.lit(ny - 1), F.greatest(F.lit(0), F.floor((F.col(c) - y0) * (ny / (y1 - y0))))).cast("int")
+    sides = F.array(F.struct(cell("lo").alias("cell"), F.lit(1).alias("c")), F.struct((cell("hi") + 1).alias("cell"), F.lit(-1).alias("c")))
+    steps = spans.select("bin", F.explode(sides).alias("s")).groupBy("bin", "s.cell").agg(F.sum("s.c").alias("c"))
+    column = Window.partitionBy("bin").orderBy("cell")  # at most ny + 1 rows
+    runs = steps.select("bin", "cell", F.sum("c").over(column).alias("d"), F.lead("cell").over(column).alias("_to")).where("d > 0")
+    cells = runs.select("bin", F.explode(F.sequence("cell", F.col("_to") - 1)).alias("cell"), "d")
+    top = cells.agg(F.max("d").alias("_top"))  # one row
+    return cells.join(F.broadcast(top)).withColumn("shade", F.log1p("d") / F.log1p("_top")).drop("_top")

@@ -329,6 +329,13 @@ def nest_workspaces(members: list[tuple[str, DataFrame]]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, (df.withColumns({"dir": F.lit(name), "path": F.col("run_id"), "run_id": F.concat(F.lit(name + "/"), "run_id")}) for name, df in members))
 
 
+def merge_folders(members: list[tuple[str, DataFrame]], nested: bool = False) -> DataFrame:
+    """(path, key, value) of the members' folder notes (path, key, value) as one tree: merged, a key that several members
+    hold for a folder is that of the last of them; nested, each folder lies below its member's name."""
+    named = (df.select(F.concat_ws("/", F.lit(name) if nested else F.lit(None), F.when(F.col("path") != "", F.col("path"))).alias("path"), "key", "value").withColumn("_order", F.lit(k)) for k, (name, df) in enumerate(members))
+    return functools.reduce(DataFrame.unionByName, named).groupBy("path", "key").agg(F.max_by("value", "_order").alias("value"))
+
+
 def resolve(ids: DataFrame, names: list[str], nested: bool) -> DataFrame:
     """(run_id, dir, path) of workspace ids; of nested names the longest that fits."""
     c = F.col("run_id")

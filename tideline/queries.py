@@ -235,6 +235,17 @@ def A26_density(spark, d):
     return B.density(binned(spark, d), 0.0, 100.0, 20).withColumn("shade", F.round("shade", 6))
 
 
+#: A line's cells in a bin, from its value to half way to its neighbours, counted cell by cell.
+LINES_CROSS = f"""WITH {BINNED}, near_ AS (SELECT run_id, key, bin, v, lead(bin) OVER w AS b2, lead(v) OVER w AS v2, lag(bin) OVER w AS b0, lag(v) OVER w AS v0 FROM y WINDOW w AS (PARTITION BY run_id, key ORDER BY bin)),
+line_ AS (SELECT bin, v, CASE WHEN isfinite(v0) AND b0 = bin - 1 THEN (v + v0) / 2 ELSE v END AS x, CASE WHEN isfinite(v2) AND b2 = bin + 1 THEN (v + v2) / 2 ELSE v END AS z FROM near_ WHERE isfinite(v)),
+cross_ AS (SELECT bin, least(v, x, z) AS lo, greatest(v, x, z) AS hi FROM line_), cell_ AS (SELECT CAST(bin AS INT) AS bin, CAST(unnest(range(CAST(greatest(0, least(19, floor(lo * 0.2))) AS BIGINT), CAST(greatest(0, least(19, floor(hi * 0.2))) AS BIGINT) + 1)) AS INT) AS cell FROM cross_ WHERE hi >= 0 AND lo <= 100)"""
+
+
+@query(f"{LINES_CROSS} SELECT bin, cell, count(*) AS d, round(ln(1 + count(*)) / ln(1 + max(count(*)) OVER ()), 6) AS shade FROM cell_ GROUP BY bin, cell")
+def A26_line_density(spark, d):
+    return B.line_density(binned(spark, d), 0.0, 100.0, 20).withColumn("shade", F.round("shade", 6))
+
+
 @query("SELECT DISTINCT event_type AS key FROM events")
 def A27_scope_keys(spark, d):
     return R.scope_keys(M.points(spark, d))
@@ -663,6 +674,13 @@ def U1_merge_workspaces(spark, d):
     return R.merge_workspaces(members(spark, d)).select("run_id", "dir", "path")
 
 
+@query("WITH n AS (SELECT n_name AS path, unnest(['k' || n_nationkey % 2, 'all']) AS key, 'note ' || n_nationkey AS value, n_nationkey AS id FROM nation), a AS (SELECT * FROM n WHERE id % 3 <> 0), b AS (SELECT path, key, 'b ' || value AS value FROM n WHERE id % 2 = 0 AND key = 'all') SELECT path, key, value FROM a WHERE (path, key) NOT IN (SELECT (path, key) FROM b) UNION ALL SELECT path, key, value FROM b")
+def U1_merge_folders(spark, d):
+    notes = M.table(spark, d, "nation").select(F.col("n_name").alias("path"), F.explode(F.array(F.concat(F.lit("k"), F.col("n_nationkey") % 2), F.lit("all"))).alias("key"), F.concat(F.lit("note "), "n_nationkey").alias("value"), F.col("n_nationkey").alias("id"))
+    second = notes.where("id % 2 = 0 AND key = 'all'").withColumn("value", F.concat(F.lit("b "), "value"))
+    return R.merge_folders([("a", notes.where("id % 3 <> 0").drop("id")), ("b", second.drop("id"))])
+
+
 @query(f"{MEMBERS} SELECT 'a/' || name AS run_id, 'a' AS dir, name AS path FROM a UNION ALL SELECT 'b/' || name, 'b', name FROM b")
 def U2_nest_workspaces(spark, d):
     return R.nest_workspaces(members(spark, d)).select("run_id", "dir", "path")
@@ -740,6 +758,33 @@ def S12_replay_ops(spark, d):
     return T.replay_ops(ops)
 
 
+JOURNALS = "j AS (SELECT event_type AS log, event_id // 400 AS epoch, CAST(user_id AS VARCHAR) AS pk, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id AS VARCHAR) END AS value, event_id AS o FROM events), n AS (SELECT log, max(epoch) AS epoch FROM j GROUP BY log), k AS (SELECT log, epoch, pk, arg_max(coalesce(value, ''), o) AS value FROM j JOIN n USING (log, epoch) GROUP BY log, epoch, pk)"
+
+
+def journals(spark, d):
+    """A log per event type that is begun anew, under another id, every 400 events."""
+    k, value = F.col("event_id"), F.when(F.col("event_id") % 5 != 0, F.col("event_id").cast("string"))
+    epoch = F.floor(k / 400)
+    return M.table(spark, d, "events").select(F.col("event_type").alias("log"), F.concat(F.lit("journal "), epoch).alias("journal"), epoch.alias("epoch"), F.lit("meta").alias("table"), F.col("user_id").cast("string").alias("pk"), value.alias("value"), k.alias("offset"))
+
+
+@query(f"WITH {JOURNALS} SELECT log, 'journal ' || epoch AS journal, pk, value FROM k WHERE value <> ''")
+def S12_journals(spark, d):
+    return T.replay_journals(journals(spark, d)).select("log", "journal", "pk", "value")
+
+
+@query(f"WITH {JOURNALS} SELECT log, 'journal ' || epoch AS journal, pk, value FROM k WHERE value <> ''")
+def S12_journal_stream(spark, d):
+    """The same records over three batches, in which older journals come late too."""
+    from tideline.streaming import live
+
+    ops, at = journals(spark, d), new_place(spark, "journals")
+    store = live.JournalStore(spark, f"{at}/state", slots=4)
+    stream = in_batches(spark, [ops.where(F.col("offset") % 3 == k) for k in range(3)])
+    stream.writeStream.foreachBatch(store.take).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return store.at(store.version).select("log", "journal", "pk", "value")
+
+
 @query("WITH b AS (SELECT event_type AS log, min(event_id) FILTER (WHERE event_id % 701 = 700) AS bad FROM events GROUP BY log) SELECT log, event_id AS \"offset\" FROM events JOIN b ON event_type = log WHERE bad IS NULL OR event_id < bad")
 def S13_valid_prefix(spark, d):
     payload = F.col("props").cast("binary")
@@ -959,6 +1004,14 @@ def staged(spark: SparkSession, df: DataFrame, parts: int = 3) -> tuple[str, Dat
     return path, df
 
 
+def in_batches(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """A stream that takes these tables one after the other, a batch each."""
+    at = new_place(spark, "batches")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
 def new_place(spark: SparkSession, name: str) -> str:
     import uuid
 
@@ -1034,19 +1087,62 @@ def T3_stream_pyramid(spark, d):
     return buckets_out(store.at(store.version)[0])
 
 
-@query(f"{SNAPSHOT}, {CHANGES}, e AS (SELECT c.run_id, change, CASE WHEN change IN ('new', 'rewritten') THEN coalesce(l.rows, 0) > 0 ELSE coalesce(l.rows, 0) > coalesce(h.rows, 0) END AS more FROM c LEFT JOIN h ON c.run_id = h.run_id LEFT JOIN l ON c.run_id = l.run_id WHERE change IN ('new', 'changed', 'rewritten')) SELECT run_id, unnest(list_filter([CASE WHEN change = 'rewritten' THEN 'delete' END, CASE WHEN change <> 'changed' THEN 'run' END, CASE WHEN more THEN 'rows' END, CASE WHEN change = 'changed' THEN 'run' END], lambda x: x IS NOT NULL)) AS event FROM e")
+#: A run's points come by event number in four batches. Its finest levels are those of all points up to the batch in which
+#: it reaches 60 rows, or of its first batch with that key if that is later.
+REBUILD = f"""{M.POINTS}, n AS (SELECT p.*, CAST(least(3, seq * 4 // (SELECT max(event_id) + 1 FROM events)) AS INT) AS b FROM p), t AS (SELECT run_id, b, sum(count(DISTINCT seq)) OVER (PARTITION BY run_id ORDER BY b) AS c FROM n GROUP BY run_id, b),
+u AS (SELECT run_id, coalesce(min(b) FILTER (WHERE c >= 60), 3) AS last FROM t GROUP BY run_id), f AS (SELECT run_id, key, greatest(last, min(b)) AS last FROM n JOIN u USING (run_id) WHERE NOT isnan(value) GROUP BY run_id, key, last), young AS (SELECT n.* FROM n JOIN f USING (run_id, key) WHERE b <= last),
+{SPANS.replace(' FROM p', ' FROM young').replace('s AS (', 's_young AS (')}, s AS (SELECT p.run_id, p.key, fine, greatest(any_value(top), {LEVEL.format('(max(step) - min(step))')}) AS top FROM p JOIN s_young USING (run_id, key) WHERE NOT isnan(value) GROUP BY p.run_id, p.key, fine),
+q AS (SELECT p.*, unnest(range(fine, top + 1)) AS lv FROM p JOIN s USING (run_id, key)), b AS ({bucket_sql('lv', 'q')})"""
+
+
+@query(f"WITH {REBUILD} SELECT {BUCKET_OUT} FROM b")
+def T3_rebuild_rule(spark, d):
+    """Runs are built anew until they have 60 rows and grow from then on, over four batches of a stream."""
+    from tideline.streaming import live
+
+    p, at = M.points(spark, d), new_place(spark, "pyramid")
+    width = p.agg(F.max("seq") + 1).first()[0]
+    batch = F.least(F.lit(3), F.floor(F.col("seq") * 4 / width))
+    store = live.PyramidStore(spark, f"{at}/store", least=60, slots=8)
+    live.stream_pyramid(in_batches(spark, [p.where(batch == k) for k in range(4)]), store, f"{at}/checkpoint").awaitTermination()
+    return buckets_out(store.at(store.version)[0])
+
+
+FEED = f"{SNAPSHOT}, {CHANGES}, e AS (SELECT c.run_id, change, CASE WHEN change IN ('new', 'rewritten') THEN coalesce(l.rows, 0) > 0 ELSE coalesce(l.rows, 0) > coalesce(h.rows, 0) END AS more FROM c LEFT JOIN h ON c.run_id = h.run_id LEFT JOIN l ON c.run_id = l.run_id WHERE change <> 'unchanged'), f AS (SELECT run_id, unnest(list_filter([CASE WHEN change IN ('rewritten', 'gone') THEN 'delete' END, CASE WHEN change IN ('new', 'rewritten') THEN 'run' END, CASE WHEN more THEN 'rows' END, CASE WHEN change = 'changed' THEN 'run' END], lambda x: x IS NOT NULL)) AS event FROM e)"
+
+
+@query(f"{FEED} SELECT run_id, event FROM f")
 def T6_change_feed(spark, d):
-    """The feed's second batch: a stream that first got what is held, then what is listed."""
+    """The feed's second batch: a stream that first got a listing of what is held, then one of what is there."""
     from tideline.streaming import live
 
     at, (held, listed) = new_place(spark, "feed"), snapshots(spark, d)
     for order, states in enumerate((held, listed)):
         states = states.withColumn("order", F.lit(order))
         states.write.mode("append").parquet(f"{at}/in")
-        live.change_feed(spark.readStream.schema(states.schema).parquet(f"{at}/in"), f"{at}/feed", f"{at}/checkpoint").awaitTermination()
+        live.change_feed(spark.readStream.schema(states.schema).parquet(f"{at}/in"), f"{at}/feed", f"{at}/checkpoint", complete=True).awaitTermination()
     return spark.read.parquet(f"{at}/feed/events/v=1").select("run_id", "event")
 
 
+@query(
+    f"{FEED}, o AS (SELECT r_name || '/' || n_name AS run_id, CASE WHEN n_nationkey % 5 <> 0 THEN '{{\"v\":' || n_nationkey % 3 || '}}' END AS was, CASE WHEN n_nationkey % 4 <> 0 THEN '{{\"v\":' || n_nationkey % 2 || '}}' END AS now FROM nation JOIN region ON n_regionkey = r_regionkey) "
+    "SELECT run_id, event, NULL AS info FROM f UNION ALL SELECT run_id, 'folder', now FROM o WHERE was IS DISTINCT FROM now"
+)
+def T6_feed_updates(spark, d):
+    """Runs and folders in one feed of updates: what is gone comes as a row that says so."""
+    from tideline.streaming import live
+
+    at, (held, listed) = new_place(spark, "feed"), snapshots(spark, d)
+    nations = M.table(spark, d, "nation").join(F.broadcast(M.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    note = lambda keep, of: nations.select(F.concat_ws("/", "r_name", "n_name").alias("run_id"), F.when(F.col("n_nationkey") % keep != 0, F.concat(F.lit('{"v":'), (F.col("n_nationkey") % of).cast("string"), F.lit("}"))).alias("info"), F.lit(True).alias("folder"))
+    gone = held.join(listed.select("run_id"), "run_id", "left_anti").withColumn("gone", F.lit(True))
+    first = held.unionByName(note(5, 3), allowMissingColumns=True).withColumn("gone", F.lit(None).cast("boolean"))
+    then = listed.unionByName(gone, allowMissingColumns=True).unionByName(note(4, 2), allowMissingColumns=True)
+    updates = in_batches(spark, [x.withColumn("order", F.lit(k)).select("run_id", "uid", "rows", "media", "gone", "folder", "info", "order") for k, x in enumerate((first, then))])
+    live.change_feed(updates, f"{at}/feed", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/feed/events/v=1").select("run_id", "event", "info")
+
+
 @query(f"{SNAPSHOT}, {CHANGES} SELECT c.run_id, change FROM c WHERE starts_with(c.run_id, 'ASIA/') AND change <> 'unchanged'")
 def T7_subscribe(spark, d):
     from tideline.streaming import live
@@ -1069,7 +1165,7 @@ def T9_rewrites(spark, d):
     from tideline.streaming import live
 
     at, (held, listed) = new_place(spark, "listed"), snapshots(spark, d)
-    store = live.ListedPoints(spark, f"{at}/store", ["value"])
+    store = live.ListedPoints(spark, f"{at}/store", "value int")
     for value, states in enumerate((held, listed)):
         states = states.withColumn("value", F.lit(value))
         states.write.mode("append").parquet(f"{at}/in")
@@ -1079,15 +1175,15 @@ def T9_rewrites(spark, d):
 
 @query(f"WITH {M.POINTS}, b AS ({bucket_sql('14')}) SELECT {BUCKET_OUT} FROM b")
 def T4_live_view(spark, d):
-    """Buckets of each series' first half, and a stream of all points from which its second half is taken."""
+    """Buckets of each series' first half, and a stream of all points in three batches, of which the second half is taken."""
     from tideline.streaming import live
 
     p, at = M.points(spark, d), new_place(spark, "view")
     half = p.groupBy("run_id", "key").agg(((F.min("seq") + F.max("seq")) / 2).cast("long").alias("held_seq"), F.lit(14).alias("level"))
     compiled = B.bucketize(p.join(half.drop("level"), ["run_id", "key"]).where("seq < held_seq"), 14)
-    path, _ = staged(spark, p)
-    live.live_view(compiled, spark.readStream.schema(p.schema).parquet(path), half, f"{at}/view", f"{at}/checkpoint").awaitTermination()
-    return buckets_out(spark.read.parquet(f"{at}/view"))
+    view = live.LiveView(spark, f"{at}/view", lambda: compiled, lambda: half, slots=16)
+    live.live_view(view, in_batches(spark, [p.where(F.col("seq") % 3 == k) for k in range(3)]), f"{at}/checkpoint").awaitTermination()
+    return buckets_out(view.buckets(view.version))
 
 
 @query("SELECT 'supplier ' || s_suppkey AS run_id, unnest(['running', 'crashed']) AS state FROM supplier")
@@ -1122,6 +1218,62 @@ def T10_merge_streams(spark, d):
     return drained(spark, live.merge_streams(streams)).select("run_id", "seq")
 
 
+@query("WITH o AS (SELECT CAST(user_id AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events) SELECT run_id, seq FROM o WHERE seq BETWEEN 17 AND CASE WHEN CAST(run_id AS INT) % 2 = 0 THEN 29 ELSE 1000000 END")
+def T1_follow(spark, d):
+    """The last three of the twenty rows that each run has at first, then what follows; every other run ends at row 30."""
+    from pyspark.sql import Window
+
+    from tideline.streaming import live
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKS)
+    e = M.table(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long").alias("seq"), F.col("props").alias("values"), F.lit(None).cast("long").alias("done"))
+    shown_now = live.tail(e.where("seq < 20"), 3)
+    ended = e.select("run_id").distinct().where("CAST(run_id AS INT) % 2 = 0").select("run_id", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("values"), F.lit(30).cast("long").alias("done"))
+    stream = in_batches(spark, [e.where("seq < 25"), e.where("seq BETWEEN 25 AND 35").unionByName(ended), e.where("seq > 35")])
+    return shown_now.select("run_id", "seq").unionByName(drained(spark, live.follow(stream, shown_now.select("run_id", "seq"))).select("run_id", "seq"))
+
+
+@query("WITH s AS (SELECT 'supplier ' || s_suppkey AS run_id, s_suppkey % 7 AS rows, s_suppkey % 3 AS media, s_suppkey % 5 AS a, s_suppkey % 2 AS b FROM supplier) SELECT run_id, rows, media, least(rows, a) AS held_rows, least(media, b) AS held_media FROM s WHERE a < rows OR b < media")
+def T8_losses(spark, d):
+    """What each source has by its heartbeat, and what is held of it: runs that are short of it after two seconds."""
+    import time
+
+    from tideline.streaming import live
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKS)
+    at, k = new_place(spark, "losses"), F.col("s_suppkey")
+    said = M.table(spark, d, "supplier").select(F.concat(F.lit("supplier "), k).alias("run_id"), (k % 7).alias("rows"), (k % 3).alias("media"), (k % 5).alias("a"), (k % 2).alias("b"))
+    beats, held = said.select("run_id", "rows", "media"), said.select("run_id", F.least("rows", "a").alias("rows"), F.least("media", "b").alias("media"))
+    out = live.find_losses(in_batches(spark, [beats]), in_batches(spark, [held]), patience=2.0).writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint")
+    running = out.foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{at}/out")).trigger(processingTime="1 second").start()
+    found = lambda: spark.read.schema("run_id string, rows long, media long, held_rows long, held_media long").parquet(f"{at}/out")
+    until = time.time() + 300
+    while time.time() < until and running.isActive and (not running.lastProgress or not found().limit(1).count()):
+        time.sleep(1)
+    running.stop()  # timers of one batch end in one batch
+    return found()
+
+
+@query(
+    f"WITH {M.RUNS}, m AS (SELECT name, id, unnest(['a', 'b', 'c']) AS dir FROM r), k AS (SELECT *, CASE dir WHEN 'a' THEN id % 2 = 0 WHEN 'b' THEN id % 3 = 0 ELSE id % 5 <> 0 END AS has, CASE dir WHEN 'a' THEN 1 ELSE 0 END AS came FROM m), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY came, dir) AS place FROM k WHERE has), b1 AS (SELECT CASE WHEN place = 1 THEN name ELSE name || '<' || dir || '>' END AS run_id, dir, name AS path, came AS at, FALSE AS gone FROM o), "
+    "b2 AS (SELECT CASE WHEN place = 1 THEN name ELSE name || '<b>' END AS run_id, dir, name AS path, 2 AS at, TRUE AS gone FROM o WHERE dir = 'b' AND id % 4 <> 1), "
+    "o3 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY came, dir) AS place FROM k WHERE has AND NOT (dir = 'b' AND id % 4 <> 1)), "
+    "b3 AS (SELECT CASE WHEN place = 1 THEN name ELSE name || '<' || dir || '>' END AS run_id, dir, name AS path, 3 AS at, FALSE AS gone FROM o3) SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3"
+)
+def T10_claims(spark, d):
+    """Three members whose runs share paths: b and c come first, then a; b gives most of its runs up, and all are told again."""
+    from tideline.streaming import live
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKS)
+    runs = M.runs(spark, d).select(F.col("name").alias("run_id"), "id")
+    has = {"a": runs.where("id % 2 = 0"), "b": runs.where("id % 3 = 0"), "c": runs.where("id % 5 <> 0")}
+    told = lambda df, at, gone=False: df.select("run_id", F.lit(at).cast("long").alias("at"), F.lit(gone).alias("gone"), F.lit(None).cast("string").alias("data"))
+    late = {"a": [told(has["a"].limit(0), 0), told(has["a"], 1), told(has["a"].limit(0), 2), told(has["a"], 3)], "c": [told(has["c"], 0), *(told(has["c"].limit(0), k) for k in (1, 2)), told(has["c"], 3)]}
+    late["b"] = [told(has["b"], 0), told(has["b"].limit(0), 1), told(has["b"].where("id % 4 <> 1"), 2, True), told(has["b"].where("id % 4 = 1"), 3)]
+    return drained(spark, live.claim_streams([(name, in_batches(spark, late[name])) for name in "abc"])).select("run_id", "dir", "path", F.col("at").cast("int").alias("at"), "gone")
+
+
 @query(f"WITH {M.POINTS} SELECT run_id, key, max(seq) AS seq, {mark('value', 'arg_max(value, seq)')} FROM p GROUP BY run_id, key")
 def T11_stream_summary(spark, d):
     from tideline.streaming import live

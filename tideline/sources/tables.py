@@ -24,8 +24,10 @@ def rows_to_points(rows: DataFrame) -> DataFrame:
 
 
 def points_to_rows(points: DataFrame) -> DataFrame:
-    """One row per (run, seq) with the map of its values; a metric that a row lacks isn't in its map."""
-    return points.groupBy("run_id", "seq", "step", "t").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("values"))
+    """One row per (run, seq) with the map of its values; a metric that a row lacks isn't in its map. Of several points of
+    one metric in a row the largest stays."""
+    once = points.groupBy("run_id", "seq", "step", "t", "key").agg(F.max("value").alias("value"))
+    return once.groupBy("run_id", "seq", "step", "t").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("values"))
 
 
 def points(rows: DataFrame, keys: list[str], start: int = 0, stop: int | None = None, step_lo: float | None = None, step_hi: float | None = None) -> DataFrame:
@@ -43,18 +45,18 @@ def contiguous_rows(rows: DataFrame) -> DataFrame:
 def ingest_log(logs: DataFrame, column: str = "json") -> DataFrame:
     """Values of logged JSON objects: nested keys joined by `/` to any depth, booleans as 0 and 1, numbers kept, anything
     else and rows without a number dropped. logs: run_id, order and the JSON text. The objects of each level are written
-    and counted, until none is left."""
-    spark = logs.sparkSession
-    level, done = logs.select("run_id", "order", F.lit(None).cast("string").alias("key"), F.try_parse_json(column).alias("v")), []
+    and counted, until none is left. Where two values come to one key, as in {"a/b": 1, "a": {"b": 2}}, the later one in
+    the document counts."""
+    level, done = logs.select("run_id", "order", F.lit(None).cast("string").alias("key"), F.array().cast("array<int>").alias("place"), F.col(column).alias("text")), []
     while not done or level.count():
-        name = f"_log_{len(done)}"
-        level.createOrReplaceTempView(name)
-        level = spark.sql(f"SELECT run_id, order, concat_ws('/', {name}.key, e.key) AS key, e.value AS v FROM {name}, LATERAL variant_explode({name}.v) AS e")
+        read = level.select("run_id", "order", "key", "place", F.from_json("text", "map<string,variant>").alias("v"), F.from_json("text", "map<string,string>").alias("s"))  # both in the text's order
+        each = read.select("run_id", "order", "key", "place", F.posexplode(F.arrays_zip(F.map_keys("v").alias("k"), F.map_values("v").alias("v"), F.map_values("s").alias("s"))).alias("pos", "e"))
+        level = each.select("run_id", "order", F.concat_ws("/", "key", "e.k").alias("key"), F.array_append("place", F.col("pos")).alias("place"), F.col("e.v").alias("v"), F.col("e.s").alias("text"))
         kind = F.schema_of_variant("v")
         value = F.when(kind == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("double")).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get("v", "$", "double"))
-        done.append(level.withColumn("value", value).where("value IS NOT NULL").drop("v"))
-        level = written(level.where(kind.startswith("OBJECT")), "log-level")
-    leaves = functools.reduce(DataFrame.unionByName, done)
+        done.append(level.withColumn("value", value).where("value IS NOT NULL").drop("v", "text"))
+        level = written(level.where(kind.startswith("OBJECT")).drop("v"), "log-level")
+    leaves = functools.reduce(DataFrame.unionByName, done).groupBy("run_id", "order", "key").agg(F.max_by("value", "place").alias("value"))
     return leaves.groupBy("run_id", "order").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("values"))
 
 
@@ -132,6 +134,15 @@ def replay_ops(ops: DataFrame) -> DataFrame:
     return ops.groupBy("table", "pk").agg(F.max_by("value", "offset").alias("value")).where("value IS NOT NULL")
 
 
+def replay_journals(ops: DataFrame) -> DataFrame:
+    """The state of logs that may have been begun anew: records (log, journal, epoch, table, pk, value, offset), where a
+    journal is one writing of a log and `epoch` rises with each. Only the newest journal of a log counts, whatever the
+    earlier ones held; within it a later record replaces an earlier one and a null value deletes."""
+    newest = ops.groupBy("log").agg(F.max("epoch").alias("epoch"))
+    now = ops.join(newest, ["log", "epoch"])
+    return now.groupBy("log", "journal", "table", "pk").agg(F.max_by("value", "offset").alias("value")).where("value IS NOT NULL")
+
+
 def valid_prefix(records: DataFrame) -> DataFrame:
     """Each log's records before the first whose checksum or length is wrong. records: log, offset, size, crc, payload."""
     bad = records.where((F.crc32("payload") != F.col("crc")) | (F.octet_length("payload") != F.col("size"))).groupBy("log").agg(F.min("offset").alias("_bad"))
