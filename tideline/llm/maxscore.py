@@ -110,14 +110,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows with a null vec_id; an empty
     vector scores 0 and a shorter one counts as ending in zeros. Repeated rows count once; rows of one vec_id are not
-    each other's results. Other columns are ignored. Vectors are shuffled once into shards of about shard_rows; blocks of
+    each other's results. Vectors so long that a score might pass a long's end (the greatest squared length times the number
+    of components reaches 2^62) are an error before anything is shuffled. Other columns are ignored. Vectors are shuffled once into shards of about shard_rows; blocks of
     queries visit every shard, and each task holds one shard and one block.
     """
     fine = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
     weights = F.transform("embedding", lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("w")
     kept = vectors.where(fine & F.col("vec_id").isNotNull()).select("vec_id", weights, F.coalesce(is_query, F.lit(False)).alias("asks")).distinct()
     kept = written(kept, "vectors")
-    n = kept.count()
+    size = F.aggregate("w", F.lit(0.0), lambda a, w: a + w.cast("double") * w.cast("double"))
+    n, longest, most = kept.agg(F.count(F.lit(1)), F.max(size), F.max(F.size("w"))).first()
+    if n and longest * max(most, 1) >= 2.0**62:  # no score or bound of two vectors is beyond their squared length times its root
+        raise ValueError(f"components are so large that scores may not fit a long: squared length {longest}, {most} components")
     shards = max(1, -(-n // shard_rows))
     blocks = max(1, -(-n // (100 * block)))
     stored = kept.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.array("vec_id").alias("ids"), F.array("w").alias("weights"))
