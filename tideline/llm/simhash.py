@@ -179,7 +179,8 @@ def by_fingerprint(marked: DataFrame, distance: int) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
     """Of each component of near duplicates the row with the smallest doc_id (a null one is the largest; of rows that share
     it that of the least hash, of repeated rows one), with docs' columns. Texts are shuffled once, by two hashes of doc_id
-    and text; what is kept grows with the input, so it is never broadcast. An empty table gives none."""
+    and text; what is kept grows with the input, so it is never broadcast; rows that make up a
+    thousandth of the table and are equal are reduced where they are read. An empty table gives none."""
     work = aside(docs, "text")
     doc_id, text = F.col("row").getField("doc_id"), text_or_empty()
     keys = [F.xxhash64(doc_id, text, doc_id.isNull()).alias("key"), F.xxhash64(text, doc_id).alias("check")]  # 128 bits
@@ -189,7 +190,13 @@ def keep_one(docs: DataFrame, shingle: int = 4, seed: int = 42, distance: int =
     ids = written(narrow.mapInArrow(lambda batches: fingerprint_batches(batches, ["doc_id", "key", "check"], shingle, seed), schema), "fingerprints")
     best = ids.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "check")).alias("best"))  # a row a fingerprint
     best = best.join(by_fingerprint(ids, distance).select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best"))
-    kept = written(best.select("best.key", "best.check"), "kept-rows")
-    met = keyed.join(kept.hint("shuffle_hash"), ["key", "check"], "left_semi")
+    kept = best.select("best.key", "best.check")
+    twins = ids.groupBy("key", "check").agg(F.count(F.lit(1)).alias("rows"))  # rows that are equal in doc_id and text
+    kept = written(twins.join(kept, ["key", "check"]), "kept-rows")
+    total = ids.count()
+    hot = kept.where(F.col("rows") >= max(2, total // 1000)).select("key", "check")  # a thousand or so
+    one = keyed.join(F.broadcast(hot), ["key", "check"], "left_semi").groupBy("key", "check").agg(F.first(F.struct("row", "text")).alias("one")).select("one.*")  # one a task is sent
+    met = keyed.join(F.broadcast(hot), ["key", "check"], "left_anti").join(kept.hint("merge"), ["key", "check"], "left_semi")
     once = met.withColumn("nth", F.row_number().over(Window.partitionBy("key", "check").orderBy("key"))).where("nth = 1")
-    return once.select(*back(once, docs.columns, "text"))
+    every = once.select("row", "text").unionByName(one)
+    return every.select(*back(every, docs.columns, "text"))
