@@ -415,6 +415,37 @@ def test_frequent_passages_send_few_rows():
     assert want[0][1] == 0 and all(want[i][1] >= 400 for i in range(1, 200))
 
 
+@pytest.mark.parametrize("copies", [40, 320])
+def test_repeats_of_one_row(spark, copies):
+    """A document that comes many times is one: what is kept of its places and ranges doesn't grow with its repeats."""
+    random.seed(17)
+    text = lambda n: "".join(random.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = text(300)
+    rows = [(1, text(200) + passage + text(100))] + [(2, passage + text(150) + passage)] * copies + [(3, text(400)), (3, passage)]
+    want = brute_repeats(set(rows[:-2]), 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found, ranges = suffix_dedup.repeated_ranges(suffix_dedup.aside(df.withColumn("doc_id", F.col("doc_id")), "text"), 100, None)
+    assert ranges.agg(F.sum(F.size("ranges"))).first()[0] < 30 and found.agg(F.max(F.size("places"))).first()[0] <= 1000
+    got = suffix_dedup.remove_repeats(df).where("doc_id < 3").collect()
+    assert len(got) == copies + 1 and all((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]] for r in got)
+
+
+def test_one_of_many_equal_rows_stays(spark):
+    same, other = "one two three four five six", "nothing like it at all in here"
+    df = spark.createDataFrame([(1, same)] * 500 + [(2, same)] * 3 + [(None, other)] * 400 + [(3, None), (4, "")], "doc_id long, text string").repartition(5).withColumn("twins", F.lit("x"))
+    assert sorted(map(str, simhash.keep_one(df).select("doc_id", "text", "twins").collect())) == sorted(map(str, [type(df.first())(doc_id=i, text=t, twins="x") for i, t in ((1, same), (None, other), (3, None))]))
+
+
+def test_components_beyond_a_long(spark):
+    """Scores that fit a long are right; vectors whose scores might not fit are an error before the search."""
+    big = spark.createDataFrame([(0, [1000000.0, 1.0]), (1, [1000000.0, 2.0]), (2, [-1000000.0, 3.0])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in maxscore.top_k(big, F.lit(True)).collect()}
+    assert got[0, 1] == 1024 * 1024 * (10**12 + 2) and got[0, 2] == 1024 * 1024 * (3 - 10**12)
+    for x in (1e7, 1e16, 1e300):
+        with pytest.raises(ValueError, match="fit a long"):
+            maxscore.top_k(spark.createDataFrame([(0, [x]), (1, [x])], "vec_id long, embedding array<double>"), F.lit(True))
+
+
 def test_characters_survive(spark):
     """Only what a cut has split goes from a text; marks of broken characters in the source stay."""
     shared = "日本語の長い文章です。" * 12

@@ -343,16 +343,18 @@ def repeated_ranges(docs: DataFrame, length: int, frequent: int | None) -> tuple
     hot = frequent_strings(marked.select(*id_, "text"), length, total, frequent or 16)
     keys = marked.select(*id_, "text").mapInArrow(lambda b: key_batches(b, length, hot), "h long, rank long, doc long, place long")
     dealt = keys.repartition(F.when(F.col("place") < 1 << 32, F.xxhash64(*id_, "place")).otherwise(F.col("h"))).sortWithinPartitions("h")
-    again = dealt.mapInArrow(repeated_keys, "rank long, doc long, at long")
+    again = dealt.mapInArrow(repeated_keys, "rank long, doc long, at long").distinct()  # a row that is repeated is one document
     places = again.groupBy(*id_).agg(F.collect_list("at").alias("places"))
-    known = written(places.join(copies, id_, "full"), "places")
-    found = marked.join(known, id_, "left").withColumns({"places": F.when(F.col("copy").isNull(), F.col("places")), "copy": F.col("copy").isNotNull()})
+    rows = small.groupBy(*id_).agg(F.count(F.lit(1)).alias("rows"))
+    known = written(rows.join(places.join(copies, id_, "full"), id_), "places")
+    found = join_spread(marked, known, id_, ["doc"], "left").withColumns({"places": F.when(F.col("copy").isNull(), F.col("places")), "copy": F.col("copy").isNotNull()})
     found = written(found, "texts-with-places", compression="zstd")
     some = found.where("places IS NOT NULL").select(*id_, "text", "places")
     sent = some.mapInArrow(lambda b: surroundings(b, length, hot), "h long, rank long, doc long, start long, key int, windows int, bytes binary")
     dealt = sent.repartition(F.when(F.col("bytes").isNull(), F.xxhash64(*id_, "start")).otherwise(F.col("h"))).sortWithinPartitions("h")
     gone = dealt.mapInArrow(lambda b: repeats(b, length), "rank long, doc long, begin long, end long")
-    return found, written(gone.groupBy(*id_).agg(F.collect_list(F.struct("begin", "end")).alias("ranges")), "ranges")
+    ranges = gone.distinct().groupBy(*id_).agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    return found, written(known.where("copy IS NULL AND places IS NOT NULL").select(*id_, "rows").join(ranges, id_, "left"), "ranges")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, frequent: int | None = None, characters: bool = False) -> DataFrame:
@@ -373,7 +375,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, frequent: int | None = No
     plain = found.where("places IS NULL").withColumn("n_bytes", F.octet_length(text).cast("long"))
     whole = F.col("copy") & (F.col("n_bytes") >= length)
     plain = plain.withColumns({"n_removed": F.when(whole, F.col("n_bytes")).otherwise(0), "n_spans": whole.cast("long"), "kept": F.when(whole, F.lit("").cast("binary")).otherwise(text.cast("binary"))})
-    touched = found.where("places IS NOT NULL").join(ranges, ["rank", "doc"], "left").select(*keep, "ranges")
+    touched = join_spread(found.where("places IS NOT NULL"), ranges, ["rank", "doc"], ["doc"], "left").select(*keep, "ranges")
     schema = T.StructType([touched.schema[c] for c in keep] + T._parse_datatype_string("n_removed long, n_spans long, kept binary").fields)
     touched = touched.mapInArrow(lambda batches: cut_batches(batches, keep, characters), schema).withColumn("n_bytes", F.octet_length(text).cast("long"))
     out = [*keep, "n_bytes", "n_removed", "n_spans", "kept"]
