@@ -343,8 +343,8 @@ def repeated_ranges(docs: DataFrame, length: int, frequent: int | None) -> tuple
     hot = frequent_strings(marked.select(*id_, "text"), length, total, frequent or 16)
     keys = marked.select(*id_, "text").mapInArrow(lambda b: key_batches(b, length, hot), "h long, rank long, doc long, place long")
     dealt = keys.repartition(F.when(F.col("place") < 1 << 32, F.xxhash64(*id_, "place")).otherwise(F.col("h"))).sortWithinPartitions("h")
-    again = dealt.mapInArrow(repeated_keys, "rank long, doc long, at long").distinct()  # a row that is repeated is one document
-    places = again.groupBy(*id_).agg(F.collect_list("at").alias("places"))
+    again = dealt.mapInArrow(repeated_keys, "rank long, doc long, at long")
+    places = again.groupBy(*id_).agg(F.collect_set("at").alias("places"))  # a row that is repeated is one document
     rows = small.groupBy(*id_).agg(F.count(F.lit(1)).alias("rows"))
     known = written(rows.join(places.join(copies, id_, "full"), id_), "places")
     found = join_spread(marked, known, id_, ["doc"], "left").withColumns({"places": F.when(F.col("copy").isNull(), F.col("places")), "copy": F.col("copy").isNotNull()})
@@ -353,7 +353,7 @@ def repeated_ranges(docs: DataFrame, length: int, frequent: int | None) -> tuple
     sent = some.mapInArrow(lambda b: surroundings(b, length, hot), "h long, rank long, doc long, start long, key int, windows int, bytes binary")
     dealt = sent.repartition(F.when(F.col("bytes").isNull(), F.xxhash64(*id_, "start")).otherwise(F.col("h"))).sortWithinPartitions("h")
     gone = dealt.mapInArrow(lambda b: repeats(b, length), "rank long, doc long, begin long, end long")
-    ranges = gone.distinct().groupBy(*id_).agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    ranges = gone.groupBy(*id_).agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
     return found, written(known.where("copy IS NULL AND places IS NOT NULL").select(*id_, "rows").join(ranges, id_, "left"), "ranges")
 
 
