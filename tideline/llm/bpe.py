@@ -2,12 +2,12 @@
 
 Each task cuts its texts into words, and its own DuckDB merges the distinct ones: rows (word, position, token) join the
 table of merges, each word's leftmost pair of minimum rank is contracted, and the recursion goes on with the words that
-still changed. Aggregation ordered by position gives each word's ids, and the bytes that a text's ids stand for.
+still changed. Aggregation ordered by position gives the bytes that a text's ids stand for.
 
-A word that is longer than any token has stretches that don't touch each other: whatever is merged lies in one token in the
-end, so a pair can only be kept from merging by pairs of lower rank within a token's length of it. In long words every
-pair that has the least rank within that distance is therefore contracted in the same step, of overlapping equal ones
-every other from the left, and a word of any length takes about as many steps as one of a few hundred bytes.
+A word is a row of stretches, each of twice the longest token's bytes; a usual one has a single stretch. Whatever keeps a
+pair from merging lies in one token with one of its halves in the end, and begins with a pair of lower rank in the same
+stretch or one beside it. So the pairs that have the least rank of their three stretches are contracted in the same step, of
+overlapping equal ones every other from the left, and a word of any length takes about as many steps as a usual one.
 """
 
 from __future__ import annotations
@@ -18,49 +18,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tideline.llm.common import binary_array, chunks, flat, ragged
 from tideline.llm.pretokens import word_starts
 
-#: Positions are kept below the rank in one number, so the least such number is the leftmost pair of least rank.
+#: A position is that of a token's first byte. `before` is the overlapping pair of equal rank on a pair's left, and `run` numbers
+#: rows of such pairs; a pair whose left one isn't among the least waits.
 MERGE = """
-WITH RECURSIVE step AS (
-    SELECT word, pos, id, whole AS final FROM start
-    UNION ALL
-    (WITH live AS (SELECT word, pos, id FROM step WHERE NOT final),
-    least AS (
-        SELECT l.word, min(m.rank << 32 | l.pos) AS best
-        FROM live l JOIN live r ON r.word = l.word AND r.pos = l.pos + 1 JOIN merges m ON m.a = l.id AND m.b = r.id
-        GROUP BY l.word)
-    SELECT word, CASE WHEN pos > (best & 4294967295) THEN pos - 1 ELSE pos END,
-        CASE WHEN pos = (best & 4294967295) THEN CAST(best >> 32 AS INTEGER) ELSE id END, best IS NULL
-    FROM live LEFT JOIN least USING (word)
-    WHERE pos IS DISTINCT FROM (best & 4294967295) + 1))
-SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE final GROUP BY word ORDER BY word
-"""
-#: Here a position is that of a token's first byte. `run` numbers overlapping pairs of equal rank; `clear` says that all
-#: of them up to this one have the least rank near them.
-MERGE_LONG = """
 WITH RECURSIVE step AS (
     SELECT word, pos, id, size, 0 AS n FROM start
     UNION ALL
     (WITH live AS (SELECT * FROM step WHERE n < {steps}),
     pairs AS (
-        SELECT l.word, l.pos, r.pos AS next, r.size, m.rank
+        SELECT l.word, l.pos, r.pos AS next, r.size, m.rank, l.pos // {stretch} AS place
         FROM live l JOIN live r ON r.word = l.word AND r.pos = l.pos + l.size JOIN merges m ON m.a = l.id AND m.b = r.id),
-    near AS (
-        SELECT *, rank = min(rank) OVER (PARTITION BY word ORDER BY pos RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS least,
-            lag(rank) OVER w IS NOT DISTINCT FROM rank AND lag(next) OVER w = pos AS goes_on
-        FROM pairs WINDOW w AS (PARTITION BY word ORDER BY pos)),
-    runs AS (SELECT *, count_if(NOT goes_on) OVER (PARTITION BY word ORDER BY pos) AS run FROM near),
-    turns AS (SELECT *, row_number() OVER w % 2 = 1 AND count_if(NOT least) OVER w = 0 AS chosen FROM runs WINDOW w AS (PARTITION BY word, run ORDER BY pos)),
+    lowest AS (SELECT word, place, min(rank) AS rank FROM pairs GROUP BY word, place),
+    around AS (SELECT word, place + d AS place, min(rank) AS rank FROM lowest, (VALUES (-1), (0), (1)) t(d) GROUP BY word, place + d),
+    least AS (SELECT pairs.* FROM pairs JOIN around USING (word, place, rank)),
+    linked AS (
+        SELECT l.*, p.pos AS before, lag(l.pos) OVER w AS last
+        FROM least l LEFT JOIN pairs p ON p.word = l.word AND p.next = l.pos AND p.rank = l.rank WINDOW w AS (PARTITION BY l.word ORDER BY l.pos)),
+    runs AS (SELECT *, before IS NOT NULL AND before IS DISTINCT FROM last AS waits, count_if(before IS NULL) OVER (PARTITION BY word ORDER BY pos) AS run FROM linked),
+    turns AS (SELECT *, row_number() OVER w % 2 = 1 AND count_if(waits) OVER w = 0 AS chosen FROM runs WINDOW w AS (PARTITION BY word, run ORDER BY pos)),
     chosen AS (SELECT word, pos, next, size, rank FROM turns WHERE chosen)
     SELECT l.word, l.pos, coalesce(c.rank, l.id), l.size + coalesce(c.size, 0), l.n + 1
     FROM live l LEFT JOIN chosen c ON c.word = l.word AND c.pos = l.pos
     WHERE l.word IN (SELECT word FROM chosen) AND NOT EXISTS (SELECT 1 FROM chosen d WHERE d.word = l.word AND d.next = l.pos)))
-SELECT word, pos, id, size, n FROM step JOIN (SELECT word, max(n) AS n FROM step GROUP BY word) USING (word, n) ORDER BY word, pos
+SELECT word, pos, id, size, n FROM step JOIN (SELECT word, max(n) AS n FROM step GROUP BY word) USING (word, n)
 """
 DECODE = """
 SELECT n, list(data ORDER BY pos) AS parts
@@ -93,10 +80,8 @@ def tables(path: str):
 class MergedWords:
     """Ids of the distinct words of a task, each merged once."""
 
-    #: Rows that one recursion may make: a word of n bytes makes about n * n / 2 if it loses a pair a step.
-    ROWS, KEPT = 8_000_000, 600_000
-    #: From this size on a word loses pairs all along it in each step.
-    LONG = 600
+    #: Rows that one recursion may make, and those that it begins with (more only for a longer word).
+    ROWS, BEGUN, KEPT = 8_000_000, 400_000, 600_000
 
     def __init__(self, path: str):
         self.ranks, self.con = read_ranks(path), tables(path)
@@ -113,34 +98,33 @@ class MergedWords:
         if len(self.index) > self.KEPT:
             self.clear()
         new = [w for w in words if w not in self.index]
-        short, long = [w for w in new if len(w) < self.LONG], [w for w in new if len(w) >= self.LONG]
-        rows = np.cumsum([len(w) ** 2 // 2 + 1 for w in short])
-        cuts = np.flatnonzero(np.diff(rows // self.ROWS)) + 1 if short else []
-        for i, j in zip([0, *cuts], [*cuts, len(short)], strict=True):
+        cuts = np.flatnonzero(np.diff(np.cumsum([len(w) for w in new]) // self.BEGUN)) + 1 if new else []
+        for i, j in zip([0, *cuts], [*cuts, len(new)], strict=True):
             if i < j:
-                self.add(short[i:j], self.merge(short[i:j]))
-        for w in long:
-            self.add([w], self.merge_long(w))
+                self.add(new[i:j], self.merge(new[i:j]))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def merge(self, words: list[bytes]) -> pa.Array:
+        """A recursion keeps the rows of all its steps, so it stops after as many as ROWS allows, and another goes on with the
+        words that aren't done."""
         whole = [self.ranks.get(w) for w in words]  # a word that is a token is that token
         pieces = [w if k is None else b"\0" for w, k in zip(words, whole, strict=True)]
         buf, size = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ids, known = self.byte[buf], np.array([k is not None for k in whole], bool)
-        ids[(np.cumsum(size) - size)[known]] = [k for k in whole if k is not None]
-        start = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": ragged(np.zeros(len(words), np.int64), size).astype(np.int32), "id": ids, "whole": np.repeat(known, size)})
-        return self.run(MERGE, start)["ids"].combine_chunks()
-
-    def merge_long(self, word: bytes) -> pa.Array:
-        """A recursion keeps the rows of all its steps, so it stops after as many as ROWS allows and another goes on."""
-        n = len(word)
-        found = pa.table({"word": np.zeros(n, np.int32), "pos": np.arange(n, dtype=np.int32), "id": self.byte[np.frombuffer(word, np.uint8)], "size": np.ones(n, np.int32)})
-        while True:
-            found = self.run(MERGE_LONG.format(reach=self.reach, steps=max(1, self.ROWS // found.num_rows)), found)
-            if not found["n"][0].as_py():
-                return pa.ListArray.from_arrays(pa.array([0, found.num_rows], pa.int32()), found["id"].combine_chunks())
-            found = found.drop_columns(["n"])
+        ids = self.byte[buf]
+        ids[(np.cumsum(size) - size)[[k is not None for k in whole]]] = [k for k in whole if k is not None]
+        left = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": ragged(np.zeros(len(words), np.int64), size).astype(np.int32), "id": ids, "size": np.ones(len(buf), np.int32)})
+        done = []
+        while left.num_rows:
+            steps = max(1, self.ROWS // left.num_rows)
+            found = self.run(MERGE.format(stretch=2 * self.reach, steps=steps), left)
+            ended = pc.less(found["n"], steps)
+            done.append(found.filter(ended).drop_columns(["n"]))
+            left = found.filter(pc.invert(ended)).drop_columns(["n"])
+        made = pa.concat_tables(done)
+        word, id_ = (made[c].to_numpy() for c in ("word", "id"))
+        order = np.lexsort((made["pos"].to_numpy(), word))
+        ends = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(words)))))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(id_[order]))
 
     def run(self, sql: str, start: pa.Table) -> pa.Table:
         self.con.register("start", start)
