@@ -4,7 +4,7 @@ Each task cuts its texts into words, and its own DuckDB merges the distinct ones
 table of merges, each word's leftmost pair of minimum rank is contracted, and the recursion goes on with the words that
 still changed. Aggregation ordered by position gives the bytes that a text's ids stand for.
 
-A word is a row of stretches, each of twice the longest token's bytes; a usual one has a single stretch. Whatever keeps a
+A word is a row of stretches, each of twice the longest token's bytes or more; a usual one has a single stretch. Whatever keeps a
 pair from merging lies in one token with one of its halves in the end, and begins with a pair of lower rank in the same
 stretch or one beside it. So the pairs that have the least rank of their three stretches are contracted in the same step, of
 overlapping equal ones every other from the left, and a word of any length takes about as many steps as a usual one.
@@ -25,29 +25,31 @@ from pyspark.sql import types as T
 from tideline.llm.common import binary_array, chunks, flat, ragged
 from tideline.llm.pretokens import word_starts
 
-#: A position is that of a token's first byte. `before` is the overlapping pair of equal rank on a pair's left, and `run` numbers
-#: rows of such pairs; a pair whose left one isn't among the least waits.
+#: A token's `spot` is its word's number and its first byte's place there, in the upper and lower half of one number.
+#: `before` is the overlapping pair of equal rank on a pair's left; a pair that has one belongs to a row of such pairs, and
+#: waits if that one isn't among the least.
 MERGE = """
 WITH RECURSIVE step AS (
-    SELECT word, pos, id, size, 0 AS n FROM start
+    SELECT spot, id, size, 0 AS n FROM start
     UNION ALL
     (WITH live AS (SELECT * FROM step WHERE n < {steps}),
     pairs AS (
-        SELECT l.word, l.pos, r.pos AS next, r.size, m.rank, l.pos // {stretch} AS place
-        FROM live l JOIN live r ON r.word = l.word AND r.pos = l.pos + l.size JOIN merges m ON m.a = l.id AND m.b = r.id),
-    lowest AS (SELECT word, place, min(rank) AS rank FROM pairs GROUP BY word, place),
-    around AS (SELECT word, place + d AS place, min(rank) AS rank FROM lowest, (VALUES (-1), (0), (1)) t(d) GROUP BY word, place + d),
-    least AS (SELECT pairs.* FROM pairs JOIN around USING (word, place, rank)),
-    linked AS (
-        SELECT l.*, p.pos AS before, lag(l.pos) OVER w AS last
-        FROM least l LEFT JOIN pairs p ON p.word = l.word AND p.next = l.pos AND p.rank = l.rank WINDOW w AS (PARTITION BY l.word ORDER BY l.pos)),
-    runs AS (SELECT *, before IS NOT NULL AND before IS DISTINCT FROM last AS waits, count_if(before IS NULL) OVER (PARTITION BY word ORDER BY pos) AS run FROM linked),
-    turns AS (SELECT *, row_number() OVER w % 2 = 1 AND count_if(waits) OVER w = 0 AS chosen FROM runs WINDOW w AS (PARTITION BY word, run ORDER BY pos)),
-    chosen AS (SELECT word, pos, next, size, rank FROM turns WHERE chosen)
-    SELECT l.word, l.pos, coalesce(c.rank, l.id), l.size + coalesce(c.size, 0), l.n + 1
-    FROM live l LEFT JOIN chosen c ON c.word = l.word AND c.pos = l.pos
-    WHERE l.word IN (SELECT word FROM chosen) AND NOT EXISTS (SELECT 1 FROM chosen d WHERE d.word = l.word AND d.next = l.pos)))
-SELECT word, pos, id, size, n FROM step JOIN (SELECT word, max(n) AS n FROM step GROUP BY word) USING (word, n)
+        SELECT l.spot, r.spot AS next, r.size, m.rank, l.spot >> {bits} AS stretch
+        FROM live l JOIN live r ON r.spot = l.spot + l.size JOIN merges m ON m.pair = (l.id::BIGINT << 32 | r.id)),
+    lowest AS (SELECT stretch, min(rank) AS rank FROM pairs GROUP BY stretch),
+    around AS (SELECT stretch + d AS stretch, min(rank) AS rank FROM lowest, (VALUES (-1), (0), (1)) t(d) GROUP BY stretch + d),
+    least AS (SELECT pairs.* FROM pairs JOIN around USING (stretch, rank)),
+    linked AS (SELECT l.*, p.spot AS before FROM least l LEFT JOIN pairs p ON p.next = l.spot AND p.rank = l.rank),
+    runs AS (
+        SELECT *, before IS NOT NULL AND before IS DISTINCT FROM lag(spot) OVER w AS waits, count_if(before IS NULL) OVER w AS run
+        FROM linked WHERE before IS NOT NULL OR next IN (SELECT spot FROM linked WHERE before IS NOT NULL) WINDOW w AS (ORDER BY spot)),
+    turns AS (SELECT *, row_number() OVER w % 2 = 1 AND count_if(waits) OVER w = 0 AS chosen FROM runs WINDOW w AS (PARTITION BY run ORDER BY spot)),
+    chosen AS (SELECT spot, next, size, rank FROM linked WHERE before IS NULL UNION ALL SELECT spot, next, size, rank FROM turns WHERE chosen AND before IS NOT NULL),
+    marks AS (SELECT spot, rank, size FROM chosen UNION ALL SELECT next, NULL, -1 FROM chosen)
+    SELECT l.spot, coalesce(m.rank, l.id), l.size + coalesce(m.size, 0), l.n + 1
+    FROM live l JOIN (SELECT DISTINCT spot >> 32 AS word FROM chosen) c ON c.word = l.spot >> 32 LEFT JOIN marks m ON m.spot = l.spot
+    WHERE m.size IS DISTINCT FROM -1))
+SELECT spot, id, size, step.n AS n FROM step JOIN (SELECT spot >> 32 AS word, max(n) AS n FROM step GROUP BY spot >> 32) w ON w.word = step.spot >> 32 AND w.n = step.n
 """
 DECODE = """
 SELECT n, list(data ORDER BY pos) AS parts
@@ -71,7 +73,7 @@ def tables(path: str):
     con = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})  # nothing is spilled to a machine's own folder
     a, b, rank = np.array(pairs, np.int64).T
     con.register("pairs", pa.table({"a": a.astype(np.int32), "b": b.astype(np.int32), "rank": rank}))
-    con.execute("CREATE TABLE merges AS SELECT * FROM pairs")
+    con.execute("CREATE TABLE merges AS SELECT a::BIGINT << 32 | b AS pair, rank FROM pairs")
     con.register("tokens", pa.table({"id": pa.array(ranks.values(), pa.int32()), "data": pa.array(ranks, pa.binary())}))
     con.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens")
     return con
@@ -112,19 +114,17 @@ class MergedWords:
         buf, size = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
         ids = self.byte[buf]
         ids[(np.cumsum(size) - size)[[k is not None for k in whole]]] = [k for k in whole if k is not None]
-        left = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": ragged(np.zeros(len(words), np.int64), size).astype(np.int32), "id": ids, "size": np.ones(len(buf), np.int32)})
+        left = pa.table({"spot": ragged(np.arange(len(words), dtype=np.int64) << 32, size), "id": ids, "size": np.ones(len(buf), np.int32)})
         done = []
         while left.num_rows:
             steps = max(1, self.ROWS // left.num_rows)
-            found = self.run(MERGE.format(stretch=2 * self.reach, steps=steps), left)
+            found = self.run(MERGE.format(bits=(2 * self.reach).bit_length(), steps=steps), left)
             ended = pc.less(found["n"], steps)
             done.append(found.filter(ended).drop_columns(["n"]))
             left = found.filter(pc.invert(ended)).drop_columns(["n"])
-        made = pa.concat_tables(done)
-        word, id_ = (made[c].to_numpy() for c in ("word", "id"))
-        order = np.lexsort((made["pos"].to_numpy(), word))
-        ends = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(words)))))
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(id_[order]))
+        made = pa.concat_tables(done).sort_by("spot")
+        ends = np.searchsorted(made["spot"].to_numpy(), np.arange(len(words) + 1, dtype=np.int64) << 32)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), made["id"].combine_chunks())
 
     def run(self, sql: str, start: pa.Table) -> pa.Table:
         self.con.register("start", start)
