@@ -234,9 +234,7 @@ def flatten_fields(df: DataFrame, column: str = "config") -> DataFrame:
     spark, level = df.sparkSession, df.select("run_id", F.lit(None).cast("string").alias("key"), F.col(column).alias("v"))
     done = []
     while not done or level.count():
-        name = f"_flat_{len(done)}"
-        level.createOrReplaceTempView(name)
-        level = spark.sql(f"SELECT run_id, concat_ws('.', {name}.key, e.key) AS key, e.value AS v FROM {name}, LATERAL variant_explode({name}.v) AS e")
+        level = spark.sql("SELECT run_id, concat_ws('.', l.key, e.key) AS key, e.value AS v FROM {level} AS l, LATERAL variant_explode(l.v) AS e", level=level)
         inner = F.schema_of_variant("v").startswith("OBJECT")
         done.append(level.where(~F.coalesce(inner, F.lit(False))))
         level = written(level.where(inner), "flat-level")
