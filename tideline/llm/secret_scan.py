@@ -106,11 +106,11 @@ def found(text: Column, pattern: str, group: int) -> Column:
 
 
 def surprising(s: Column, c: CharClass) -> Column:
-    """Joined windows of s whose entropy is at least c.bits: array of (begin, end).
+    """Joined windows of s, of c.window characters or more, whose entropy is at least c.bits: array of (begin, end).
 
     f is the sum of n * log2(n) over the characters' counts n in the window; the entropy is log2(w) - f / w. The counts
     are fields of a few bits in longs: a character that enters or leaves adds or takes one unit of its field, and f
-    changes by one entry of a table."""
+    changes by one entry of a table. Each segment of a long candidate starts its counts anew."""
     w, bits = c.window, c.window.bit_length()
     fields = 62 // bits
     terms = [round(UNIT * n * math.log2(n)) if n else 0 for n in range(w + 1)]
@@ -156,11 +156,11 @@ def surprising(s: Column, c: CharClass) -> Column:
 
     def segment(known: Column, first: Column) -> Column:
         """The windows that begin at first or up to SEGMENT - 1 later."""
-        to = F.least(first + SEGMENT + w - 1, F.length(s))
+        to = F.least(first + SEGMENT + w - 1, F.size(known))
         return F.aggregate(F.sequence(first + 1, to), zero, lambda acc, i: step(known, first, acc, i), last)
 
-    firsts = F.sequence(F.lit(0), F.length(s) - w, F.lit(SEGMENT))
-    return touching(let(codes, lambda known: F.flatten(F.transform(firsts, lambda first: segment(known, first)))))
+    firsts = lambda known: F.sequence(F.lit(0), F.size(known) - w, F.lit(SEGMENT))
+    return touching(let(codes, lambda known: F.flatten(F.transform(firsts(known), lambda first: segment(known, first)))))
 
 
 def touching(spans: Column) -> Column:
