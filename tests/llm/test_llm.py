@@ -501,6 +501,18 @@ def test_very_many_secrets(spark):
     assert secret_scan.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"] == re.sub(r"token=\d+", "[secret]", text)
 
 
+def test_candidates_of_several_segments(spark):
+    """Candidates of several segments, with windows of high entropy on both sides of a segment's end."""
+    random.seed(29)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    texts = ["é " + "".join("".join(random.choices(letters, k=random.randint(5, 60))) + "ab" * random.randint(0, 30) for _ in range(25)) for _ in range(6)]
+    got = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        base = [(b["start"], b["end"]) for b in r["base_spans"]]
+        want = brute_entropy(texts[r["doc_id"]], base)
+        assert len(want) > 3 and [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["rank"] > 2] == want
+
+
 @pytest.mark.parametrize("hot", [0, 3])
 def test_equal_texts_share_a_shard(spark, hot):
     """The law `bytes`, and groups: only a text that holds over a tenth of a shard is cut, whatever lies beside it."""
