@@ -237,3 +237,36 @@ def test_liveness(spark, tmp_path):
 def test_subscribe(spark, prefix, n):
     feed = spark.createDataFrame([("x/a",), ("x/b",), ("xy",)], "run_id string")
     assert live.subscribe(feed, prefix).count() == n
+
+
+def test_claims_over_batches(spark, tmp_path):
+    """Claims of a batch are taken up by the next; a path that is given up goes to the one that came next. Batches may
+    come in several files."""
+    from tideline import queries as Q
+
+    schema = "run_id string, at long, gone boolean, data string"
+    a = [[("x", 1, False, "1"), ("y", 1, None, None)], [("x", 2, True, None)], [("x", 3, False, None)]]
+    b = [[("x", 0, False, None)], [("y", 2, False, None), (None, 2, False, None)], [("x", 3, False, None), ("z", 3, True, None)]]
+    store = live.ClaimStore(spark, f"{tmp_path}/claims", ["a", "b"], slots=4)
+    tables = [[spark.createDataFrame(rows, schema).repartition(3) for rows in member] for member in (a, b)]
+    batches = []
+    take = store.take
+    store.take = lambda batch, version: batches.append(len(batch.inputFiles())) or take(batch, version)
+    Q.in_batches(spark, lambda *s: live.claim_streams(list(zip("ab", s, strict=True)), store, f"{tmp_path}/c"), *tables)
+    assert len(batches) == 3
+    got = sorted(((r["at"], r["dir"], r["path"], r["run_id"], r["gone"]) for r in store.told().collect()), key=str)
+    assert got == sorted([(0, "b", "x", "x", False), (1, "a", "x", "x<a>", False), (1, "a", "y", "y", False), (2, "a", "x", "x<a>", True), (2, "b", "y", "y<b>", False), (2, "b", None, None, False), (3, "a", "x", "x<a>", False), (3, "b", "x", "x", False), (3, "b", "z", "z", True)], key=str)
+
+
+def test_follow_batches_of_several_files(spark, tmp_path):
+    """Runs of one slot keep their own tails and ends."""
+    from tideline import queries as Q
+
+    schema = "run_id string, seq long, values string, done long"
+    rows = lambda lo, hi: [(r, i, str(i), None) for r in ("a", "b", None) for i in range(lo, hi)]
+    seen = spark.createDataFrame([("a", 2), ("b", 0)], "run_id string, seq long")
+    parts = [rows(0, 6), rows(4, 9) + [("b", None, None, 7)], rows(9, 12)]
+    tables = [spark.createDataFrame(p, schema).repartition(3) for p in parts]
+    Q.in_batches(spark, lambda stream: Q.appended(live.follow(stream, seen, slots=1), str(tmp_path)), tables)
+    got = sorted(((r["run_id"], r["seq"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=str)
+    assert got == sorted([("a", i) for i in range(3, 12)] + [("b", i) for i in range(1, 7)] + [(None, i) for i in range(12)], key=str)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tideline.functions import predicates as Q
 from tideline.functions import values as V
@@ -15,6 +16,7 @@ from tideline.operators import runs as R
 from tideline.operators import series as S
 from tideline.operators import stats as A
 from tideline.plans import model as M
+from tideline.plans.shared import written
 from tideline.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -780,8 +782,8 @@ def S12_journal_stream(spark, d):
 
     ops, at = journals(spark, d), new_place(spark, "journals")
     store = live.JournalStore(spark, f"{at}/state", slots=4)
-    stream = in_batches(spark, [ops.where(F.col("offset") % 3 == k) for k in range(3)])
-    stream.writeStream.foreachBatch(store.take).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    start = lambda stream: stream.writeStream.foreachBatch(store.take).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    in_batches(spark, start, [ops.where(F.col("offset") % 3 == k) for k in range(3)])
     return store.at(store.version).select("log", "journal", "pk", "value")
 
 
@@ -993,23 +995,25 @@ def S11_merge_folder_notes(spark, d):
 # ---- streaming ----
 
 
-def staged(spark: SparkSession, df: DataFrame, parts: int = 3) -> tuple[str, DataFrame]:
-    """df written as several files in the shared folder, for a file stream to take up."""
+def staged(spark: SparkSession, df: DataFrame) -> tuple[str, DataFrame]:
+    """df written in the shared folder, a file a task, for a file stream to take up."""
     import uuid
 
     from tideline.plans.shared import shared_dir
 
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.repartition(parts).write.parquet(path)
+    df.write.parquet(path)
     return path, df
 
 
-def in_batches(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
-    """A stream that takes these tables one after the other, a batch each."""
-    at = new_place(spark, "batches")
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(at)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(at)
+def in_batches(spark: SparkSession, start: Callable[..., StreamingQuery], *members: list[DataFrame]) -> None:
+    """Streams that take tables one after the other, a batch each: every member's next table is written, a file a task, and
+    `start` runs the query of all streams on what is there. Its checkpoint is the same each time."""
+    places = [new_place(spark, "batches") for _ in members]
+    for tables in zip(*members, strict=True):
+        for at, table in zip(places, tables, strict=True):
+            table.write.mode("append").parquet(at)
+        start(*(spark.readStream.schema(table.schema).parquet(at) for at, table in zip(places, tables, strict=True))).awaitTermination()
 
 
 def new_place(spark: SparkSession, name: str) -> str:
@@ -1020,17 +1024,18 @@ def new_place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives for all that is there now, from a table in the shared folder."""
-    import uuid
+def appended(stream: DataFrame, at: str) -> StreamingQuery:
+    """Starts a stream that adds what it gives for all that is there now to the table `at`/out."""
+    return stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{at}/out").start()
 
-    from tideline.plans.shared import shared_dir
 
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    out = stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that is there now, from a table in the shared folder."""
+    at = new_place(spark, "stream")
     if mode == "append":
-        out.format("parquet").option("path", f"{at}/out").start().awaitTermination()
+        appended(stream, at).awaitTermination()
     else:
+        out = stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
         out.outputMode(mode).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{at}/out")).start().awaitTermination()
     return spark.read.parquet(f"{at}/out")
 
@@ -1104,7 +1109,7 @@ def T3_rebuild_rule(spark, d):
     width = p.agg(F.max("seq") + 1).first()[0]
     batch = F.least(F.lit(3), F.floor(F.col("seq") * 4 / width))
     store = live.PyramidStore(spark, f"{at}/store", least=60, slots=8)
-    live.stream_pyramid(in_batches(spark, [p.where(batch == k) for k in range(4)]), store, f"{at}/checkpoint").awaitTermination()
+    in_batches(spark, lambda stream: live.stream_pyramid(stream, store, f"{at}/checkpoint"), [p.where(batch == k) for k in range(4)])
     return buckets_out(store.at(store.version)[0])
 
 
@@ -1138,8 +1143,8 @@ def T6_feed_updates(spark, d):
     gone = held.join(listed.select("run_id"), "run_id", "left_anti").withColumn("gone", F.lit(True))
     first = held.unionByName(note(5, 3), allowMissingColumns=True).withColumn("gone", F.lit(None).cast("boolean"))
     then = listed.unionByName(gone, allowMissingColumns=True).unionByName(note(4, 2), allowMissingColumns=True)
-    updates = in_batches(spark, [x.withColumn("order", F.lit(k)).select("run_id", "uid", "rows", "media", "gone", "folder", "info", "order") for k, x in enumerate((first, then))])
-    live.change_feed(updates, f"{at}/feed", f"{at}/checkpoint").awaitTermination()
+    updates = [x.withColumn("order", F.lit(k)).select("run_id", "uid", "rows", "media", "gone", "folder", "info", "order") for k, x in enumerate((first, then))]
+    in_batches(spark, lambda stream: live.change_feed(stream, f"{at}/feed", f"{at}/checkpoint"), updates)
     return spark.read.parquet(f"{at}/feed/events/v=1").select("run_id", "event", "info")
 
 
@@ -1182,7 +1187,7 @@ def T4_live_view(spark, d):
     half = p.groupBy("run_id", "key").agg(((F.min("seq") + F.max("seq")) / 2).cast("long").alias("held_seq"), F.lit(14).alias("level"))
     compiled = B.bucketize(p.join(half.drop("level"), ["run_id", "key"]).where("seq < held_seq"), 14)
     view = live.LiveView(spark, f"{at}/view", lambda: compiled, lambda: half, slots=16)
-    live.live_view(view, in_batches(spark, [p.where(F.col("seq") % 3 == k) for k in range(3)]), f"{at}/checkpoint").awaitTermination()
+    in_batches(spark, lambda stream: live.live_view(view, stream, f"{at}/checkpoint"), [p.where(F.col("seq") % 3 == k) for k in range(3)])
     return buckets_out(view.buckets(view.version))
 
 
@@ -1227,10 +1232,12 @@ def T1_follow(spark, d):
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKS)
     e = M.table(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long").alias("seq"), F.col("props").alias("values"), F.lit(None).cast("long").alias("done"))
-    shown_now = live.tail(e.where("seq < 20"), 3)
+    e = written(e, "events")
+    shown_now = written(live.tail(e.where("seq < 20"), 3), "shown")
     ended = e.select("run_id").distinct().where("CAST(run_id AS INT) % 2 = 0").select("run_id", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("values"), F.lit(30).cast("long").alias("done"))
-    stream = in_batches(spark, [e.where("seq < 25"), e.where("seq BETWEEN 25 AND 35").unionByName(ended), e.where("seq > 35")])
-    return shown_now.select("run_id", "seq").unionByName(drained(spark, live.follow(stream, shown_now.select("run_id", "seq"))).select("run_id", "seq"))
+    at = new_place(spark, "stream")
+    in_batches(spark, lambda stream: appended(live.follow(stream, shown_now.select("run_id", "seq")), at), [e.where("seq < 25"), e.where("seq BETWEEN 25 AND 35").unionByName(ended), e.where("seq > 35")])
+    return shown_now.select("run_id", "seq").unionByName(spark.read.parquet(f"{at}/out").select("run_id", "seq"))
 
 
 @query("WITH s AS (SELECT 'supplier ' || s_suppkey AS run_id, s_suppkey % 7 AS rows, s_suppkey % 3 AS media, s_suppkey % 5 AS a, s_suppkey % 2 AS b FROM supplier) SELECT run_id, rows, media, least(rows, a) AS held_rows, least(media, b) AS held_media FROM s WHERE a < rows OR b < media")
@@ -1244,7 +1251,8 @@ def T8_losses(spark, d):
     at, k = new_place(spark, "losses"), F.col("s_suppkey")
     said = M.table(spark, d, "supplier").select(F.concat(F.lit("supplier "), k).alias("run_id"), (k % 7).alias("rows"), (k % 3).alias("media"), (k % 5).alias("a"), (k % 2).alias("b"))
     beats, held = said.select("run_id", "rows", "media"), said.select("run_id", F.least("rows", "a").alias("rows"), F.least("media", "b").alias("media"))
-    out = live.find_losses(in_batches(spark, [beats]), in_batches(spark, [held]), patience=2.0).writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint")
+    said, has = (spark.readStream.schema(df.schema).parquet(staged(spark, df)[0]) for df in (beats, held))
+    out = live.find_losses(said, has, patience=2.0).writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint")
     running = out.foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{at}/out")).trigger(processingTime="1 second").start()
     found = lambda: spark.read.schema("run_id string, rows long, media long, held_rows long, held_media long").parquet(f"{at}/out")
     until = time.time() + 300
@@ -1271,7 +1279,10 @@ def T10_claims(spark, d):
     told = lambda df, at, gone=False: df.select("run_id", F.lit(at).cast("long").alias("at"), F.lit(gone).alias("gone"), F.lit(None).cast("string").alias("data"))
     late = {"a": [told(has["a"].limit(0), 0), told(has["a"], 1), told(has["a"].limit(0), 2), told(has["a"], 3)], "c": [told(has["c"], 0), *(told(has["c"].limit(0), k) for k in (1, 2)), told(has["c"], 3)]}
     late["b"] = [told(has["b"], 0), told(has["b"].limit(0), 1), told(has["b"].where("id % 4 <> 1"), 2, True), told(has["b"].where("id % 4 = 1"), 3)]
-    return drained(spark, live.claim_streams([(name, in_batches(spark, late[name])) for name in "abc"])).select("run_id", "dir", "path", F.col("at").cast("int").alias("at"), "gone")
+    at = new_place(spark, "claims")
+    store = live.ClaimStore(spark, f"{at}/store", list("abc"))
+    in_batches(spark, lambda *streams: live.claim_streams(list(zip("abc", streams, strict=True)), store, f"{at}/checkpoint"), *(late[name] for name in "abc"))
+    return store.told().select("run_id", "dir", "path", F.col("at").cast("int").alias("at"), "gone")
 
 
 @query(f"WITH {M.POINTS} SELECT run_id, key, max(seq) AS seq, {mark('value', 'arg_max(value, seq)')} FROM p GROUP BY run_id, key")

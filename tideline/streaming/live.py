@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from tideline.functions.values import in_scope
 from tideline.operators import pyramid as B
 from tideline.operators.runs import diff_snapshots
-from tideline.plans.shared import written
+from tideline.plans.shared import join_groups, written
 from tideline.streaming.stores import Slots, Tiers
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -27,28 +27,47 @@ def tail_stream(spark: SparkSession, path: str, schema: StructType, after: int =
     return spark.readStream.schema(schema).parquet(path).where(F.col("seq") > after)
 
 
+def dealt(stream: DataFrame, by: str, slots: int) -> DataFrame:
+    """The stream in groups of keys, `slots` of them: a call of Python works on all keys of a group that a batch brings. A
+    checkpoint holds for one number of slots; a call holds a slot's part of a batch."""
+    return stream.withColumn("_slot", F.pmod(F.xxhash64(by), F.lit(slots)).cast("int")).groupBy("_slot")
+
+
+def state_key(name: str | None) -> tuple[str]:
+    """A key of a slot's map; a null one has its own."""
+    return ("",) if name is None else ("=" + name,)
+
+
 class Following(StatefulProcessor):
-    """Passes on each run's rows past its tail until the run has ended: `done` is how many rows it has then, and none at or
-    beyond that number come through, whichever of both is read first."""
+    """Passes on the rows past their tails of a slot's runs until these have ended: `done` is how many rows a run has then,
+    and none at or beyond that number come through, whichever of both is read first."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.done = handle.getValueState("done", "rows long")
-        self.next = handle.getValueState("next", "seq long")
+        self.runs = handle.getMapState("runs", "run string", "done long, next long")  # done: -1 while a run goes on
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows))
-        end = f["done"].min()
-        if self.done.exists():
-            end = min(self.done.get()[0], end) if pd.notna(end) else self.done.get()[0]
-        if pd.notna(end):
-            self.done.update((int(end),))
-        start = int(f["after"].max()) + 1 if f["after"].notna().any() else 0
-        start = max(start, self.next.get()[0] if self.next.exists() else 0)
-        got = f[f["seq"].notna() & (f["seq"] >= start)].drop_duplicates("seq").sort_values("seq")
-        got = got[got["seq"] < end] if pd.notna(end) else got
-        if len(got):
-            self.next.update((int(got["seq"].max()) + 1,))
-        yield got[["seq", "values"]].assign(run_id=key[0])
+        f = pd.concat(list(rows), ignore_index=True)
+        code, runs = pd.factorize(f["run_id"], use_na_sentinel=False)
+        keys = [state_key(None if pd.isna(r) else r) for r in runs]
+        known = [self.runs.getValue(k) or (-1, 0) for k in keys]
+        done, start = np.array([k[0] for k in known], np.int64), np.array([k[1] for k in known], np.int64)
+        most = np.iinfo(np.int64).max
+        end, after = np.where(done < 0, most, done), np.full(len(keys), -1, np.int64)
+        said, tails = f["done"].notna().to_numpy(), f["after"].notna().to_numpy()
+        np.minimum.at(end, code[said], f["done"][said].astype("int64").to_numpy())
+        np.maximum.at(after, code[tails], f["after"][tails].astype("int64").to_numpy())
+        start = np.maximum(start, after + 1)
+        at = np.flatnonzero(f["seq"].notna().to_numpy())
+        seq = f["seq"].iloc[at].astype("int64").to_numpy()
+        kept = (seq >= start[code[at]]) & (seq < end[code[at]])
+        got = f.iloc[at[kept]].assign(seq=seq[kept], _code=code[at[kept]]).drop_duplicates(["_code", "seq"]).sort_values(["_code", "seq"])
+        now = np.array([k[1] for k in known], np.int64)
+        np.maximum.at(now, got["_code"].to_numpy(), got["seq"].to_numpy() + 1)
+        for i, k in enumerate(keys):
+            new = (-1 if end[i] == most else int(end[i]), int(now[i]))
+            if new != tuple(known[i]):
+                self.runs.updateValue(k, new)
+        yield got[["run_id", "seq", "values"]]
 
     def close(self) -> None:
         pass
@@ -60,13 +79,13 @@ def tail(rows: DataFrame, lines: int) -> DataFrame:
     return rows.join(last, "run_id").where(F.col("seq") > F.col("_last") - lines).drop("_last")
 
 
-def follow(stream: DataFrame, seen: DataFrame) -> DataFrame:
+def follow(stream: DataFrame, seen: DataFrame, slots: int = 1024) -> DataFrame:
     """(run_id, seq, values) of rows that come after those of `seen` (run_id, seq: what is shown already), each once, until
     its run ends. stream: run_id, seq, values (JSON), and `done`, the number of rows of a run that has ended, in a row
     that has no seq. Rows of a run come in order of seq from one batch to the next. Needs the RocksDB state store."""
     after = seen.groupBy("run_id").agg(F.max("seq").alias("after"))
     known = stream.select("run_id", "seq", "values", "done").join(after, "run_id", "left")
-    return known.groupBy("run_id").transformWithStateInPandas(statefulProcessor=Following(), outputStructType="run_id string, seq long, values string", outputMode="append", timeMode="none")
+    return dealt(known, "run_id", slots).transformWithStateInPandas(statefulProcessor=Following(), outputStructType="run_id string, seq long, values string", outputMode="append", timeMode="none")
 
 
 class Contiguity(StatefulProcessor):
@@ -419,41 +438,48 @@ def merge_streams(members: list[tuple[str, DataFrame]]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, (df.withColumns({"dir": F.lit(name), "run_id": F.concat(F.lit(name + "/"), F.col("run_id"))}) for name, df in members))
 
 
-class Claims(StatefulProcessor):
+class ClaimStore:
     """Which member of a workspace holds a path: members in the order in which they came. The first has the bare id, a
-    later one `path<member>`; one that no longer has the run gives its claim up."""
+    later one `path<member>`; one that no longer has the run gives its claim up. The claims lie in partitions of their
+    paths, of which a batch reads and writes those it touches; what it tells is the table `path`/told/v=<batch>. A path's
+    rows in one batch are folded as one list."""
 
-    def __init__(self, order: list[str]):
-        self.order = order
+    def __init__(self, spark: SparkSession, path: str, order: list[str], slots: int = 64):
+        self.spark, self.path, self.order = spark, path.rstrip("/"), order
+        self.owners = Slots(spark, f"{self.path}/owners", "path string, owners array<string>", ["path"], slots)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.owners = handle.getListState("owners", "dir string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows))
-        f = f.assign(_member=f["dir"].map(self.order.index)).sort_values(["at", "_member"], kind="stable")
-        owners, out = [r[0] for r in self.owners.get()], []
-        for r in f.itertuples(index=False):
-            if r.dir not in owners and not r.gone:
-                owners.append(r.dir)
-            bare = r.dir not in owners or owners[0] == r.dir
-            out.append((key[0] if bare else f"{key[0]}<{r.dir}>", r.dir, key[0], r.at, bool(r.gone), r.data))
-            if r.gone and r.dir in owners:
-                owners.remove(r.dir)
-        self.owners.put([(o,) for o in owners]) if owners else self.owners.clear()
-        yield pd.DataFrame(out, columns=["run_id", "dir", "path", "at", "gone", "data"])
+    def take(self, batch: DataFrame, version: int) -> None:
+        """batch: path, dir, at, gone and data."""
+        member = F.array_position(F.array(*map(F.lit, self.order)), F.col("dir"))
+        told = written(batch.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", member.alias("member"), "gone", "dir", "data"))).alias("rows")), "claims")
+        touched = self.owners.touched(told)
+        held = self.owners.read(version - 1, touched)
+        start = F.struct(F.coalesce("owners", F.array().cast("array<string>")).alias("owners"), F.array().cast("array<struct<run_id:string,dir:string,at:bigint,gone:boolean,data:string>>").alias("told"))
+
+        def step(acc, r):
+            now = F.when(~r["gone"] & ~F.array_contains(acc["owners"], r["dir"]), F.array_append(acc["owners"], r["dir"])).otherwise(acc["owners"])
+            bare = ~F.array_contains(now, r["dir"]) | (F.get(now, F.lit(0)) == r["dir"])
+            run = F.when(bare, F.col("path")).otherwise(F.concat("path", F.lit("<"), r["dir"], F.lit(">")))
+            one = F.struct(run.alias("run_id"), r["dir"].alias("dir"), r["at"].alias("at"), r["gone"].alias("gone"), r["data"].alias("data"))
+            return F.struct(F.when(r["gone"], F.array_remove(now, r["dir"])).otherwise(now).alias("owners"), F.array_append(acc["told"], one).alias("told"))
+
+        folded = written(join_groups(told, held, ["path"], "left").select("path", F.aggregate("rows", start, step).alias("f")), "claims-folded")
+        folded.select("path", F.explode("f.told").alias("t")).select("t.run_id", "t.dir", "path", "t.at", "t.gone", "t.data").write.mode("overwrite").parquet(f"{self.path}/told/v={version}")
+        left = join_groups(held, told.select("path"), ["path"], "left_anti").unionByName(folded.select("path", F.col("f.owners").alias("owners")).where("size(owners) > 0"))
+        self.owners.put(left, version, touched)
+        self.version = version
 
-    def close(self) -> None:
-        pass
+    def told(self) -> DataFrame:
+        """(run_id, dir, path, at, gone, data) of all batches."""
+        return self.spark.read.schema("run_id string, dir string, path string, at long, gone boolean, data string").parquet(*(f"{self.path}/told/v={v}" for v in range(self.version + 1)))
 
 
-def claim_streams(members: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Member streams as one tree: (run_id, dir, path, at, gone, data), where a path that several members hold is the bare
-    id for the first that came (in the members' order within a batch's moment) and `path<member>` for the others.
-    members: name and stream of run_id, at (order in time), gone (the member has the run no more) and data. Needs the
-    RocksDB state store."""
+def claim_streams(members: list[tuple[str, DataFrame]], store: ClaimStore, checkpoint: str) -> StreamingQuery:
+    """Member streams as one tree in the store, where a path that several members hold is the bare id for the first that
+    came (in the store's order of members within a batch's moment) and `path<member>` for the others. members: name and
+    stream of run_id, at (order in time), gone (the member has the run no more) and data."""
     every = functools.reduce(DataFrame.unionByName, (df.select(F.col("run_id").alias("path"), F.lit(name).alias("dir"), F.col("at").cast("long").alias("at"), F.coalesce("gone", F.lit(False)).alias("gone"), "data") for name, df in members))
-    return every.groupBy("path").transformWithStateInPandas(statefulProcessor=Claims([name for name, _ in members]), outputStructType="run_id string, dir string, path string, at long, gone boolean, data string", outputMode="append", timeMode="none")
+    return every.writeStream.foreachBatch(store.take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class JournalStore:
