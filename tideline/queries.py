@@ -549,7 +549,7 @@ def P14_sections(spark, d):
 
 @query(f"WITH {M.RUNS} SELECT id, row_number() OVER (ORDER BY isnan(acctbal), acctbal DESC, run_id) AS place FROM r QUALIFY place <= 50")
 def O1_sort_runs(spark, d):
-    top = R.list_runs(M.runs(spark, d), sort="-acctbal", limit=50).select("id", "run_id", "summary")
+    top = R.list_runs(M.runs(spark, d), sort="-acctbal", limit=50, columns=["id", "run_id", "summary"])
     from pyspark.sql import Window
 
     order = R.sort_columns("acctbal:desc", lambda f: V.value(F.col("summary")[f]))
@@ -564,8 +564,8 @@ def O2_sort_ui(spark, d):
 @query(f"WITH {M.RUNS} SELECT id, row_number() OVER (ORDER BY isnan(acctbal), acctbal DESC, run_id) AS place FROM r")
 def O1_sort_all_runs(spark, d):
     """O1 over every run: infinities, numbers, NaN last."""
-    order = R.sort_columns("acctbal:desc", lambda f: V.value(F.col("summary")[f]))
-    return R.placed_runs(M.runs(spark, d).select("id", "run_id", "summary"), *order, F.col("run_id").asc()).select("id", "place")
+    named, order = R.with_sort_columns(M.runs(spark, d).select("id", "run_id", "summary"), "acctbal:desc", lambda f: V.value(F.col("summary")[f]))
+    return R.placed_runs(named.drop("summary"), *order, F.col("run_id").asc()).select("id", "place")
 
 
 @query(f"WITH {M.RUNS} SELECT id, row_number() OVER (ORDER BY name, created DESC, run_id) AS place FROM r")
