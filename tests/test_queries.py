@@ -56,6 +56,19 @@ def test_replay_gets_the_whole_log(spark, monkeypatch):
     assert seen == [spark.read.parquet(f"{DATA}/events.parquet").count()]
 
 
+def test_rounds_as_the_sql_does(spark):
+    import duckdb
+
+    from tideline import queries
+
+    ties = [(37 * i + 10**7 + 0.5) / 1e6 for i in range(2000)]
+    values = [math.nextafter(t, to) for t in ties for to in (0.0, t, math.inf)] + [-130.6593385, 1e305, 0.0]
+    df = spark.createDataFrame([(x,) for x in values], "mean double").withColumn("median", queries.rounded("mean", 6))
+    got = queries.shown(df, "median", mean="mean").collect()
+    want = [r[0] for r in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 6)", [values]).fetchall()]
+    assert sorted(r["mean"] for r in got) == sorted(r["median"] for r in got) == sorted(want)
+
+
 def test_registry():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 100

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,11 +36,19 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+def rounded(c: Column | str, places: int) -> Column:
+    """A double to so many places as the SQL's round() does it: times a power of ten, to the nearest whole number, halves
+    away from zero, and back. Spark's own round() takes the shortest decimal text instead, and beside a tie the two differ."""
+    x = F.col(c) if isinstance(c, str) else c
+    tens = x * 10.0**places
+    return F.when(F.abs(tens) < math.inf, F.round(tens) / 10.0**places).otherwise(x)
+
+
 def shown(df: DataFrame, *plain: str, **doubles: str) -> DataFrame:
     """Columns, and doubles to six places with their markers where they aren't finite."""
     out = [F.col(c) for c in plain]
     for name, c in doubles.items():
-        out += [F.when(V.finite(c), F.round(c, 6)).alias(name), V.to_marker(c).alias(f"{name}_mark")]
+        out += [F.when(V.finite(c), rounded(c, 6)).alias(name), V.to_marker(c).alias(f"{name}_mark")]
     return df.select(*out)
 
 
@@ -56,7 +65,7 @@ def marks(*names: str) -> str:
 
 for how, expr in {"last": "arg_max(value, seq)", "first": "arg_min(value, seq)", "max": "max(value)", "min": "min(value)", "mean": "avg(value)"}.items():
     query(f"WITH {M.POINTS} SELECT run_id, key, round({expr} FILTER (WHERE isfinite(value)), 6) AS value FROM p GROUP BY run_id, key", f"A4_reduce_{how}")(
-        lambda spark, d, how=how: S.reduce_series(M.points(spark, d), how).withColumn("value", F.round("value", 6))
+        lambda spark, d, how=how: S.reduce_series(M.points(spark, d), how).withColumn("value", rounded("value", 6))
     )
 
 
@@ -74,7 +83,7 @@ def A2_summaries(spark, d):
 
 @query(f"WITH {M.POINTS} SELECT run_id, key, count(*) AS points, round(arg_min(step, seq), 6) AS first_step, round(arg_max(step, seq), 6) AS last_step, {mark('last', 'arg_max(value, seq)')} FROM p GROUP BY run_id, key")
 def A3_key_stats(spark, d):
-    k = S.key_stats(M.points(spark, d)).withColumns({"first_step": F.round("first_step", 6), "last_step": F.round("last_step", 6)})
+    k = S.key_stats(M.points(spark, d)).withColumns({"first_step": rounded("first_step", 6), "last_step": rounded("last_step", 6)})
     return shown(k, "run_id", "key", "points", "first_step", "last_step", last="last")
 
 
@@ -99,7 +108,7 @@ def prices(spark, d):
 @query(f"WITH {PRICES} SELECT p, s, n, round(mean, 4) AS mean, round(std, 4) AS std, round(median, 4) AS median, round(iqm, 4) AS iqm, min, max, round(q25, 4) AS q25, round(q75, 4) AS q75 FROM i")
 def A6_robust_stats(spark, d):
     r = A.robust_stats(prices(spark, d), ["p", "s"], tie=("o_orderkey",))
-    return r.select("p", "s", "n", *(F.round(c, 4).alias(c) for c in ("mean", "std", "median", "iqm")), "min", "max", F.round("q25", 4).alias("q25"), F.round("q75", 4).alias("q75"))
+    return r.select("p", "s", "n", *(rounded(c, 4).alias(c) for c in ("mean", "std", "median", "iqm")), "min", "max", rounded("q25", 4).alias("q25"), rounded("q75", 4).alias("q75"))
 
 
 @query(f"WITH {PRICES} SELECT p, s, n, medlo AS ci_lo, medhi AS ci_hi FROM i")
@@ -110,17 +119,17 @@ def A7_median_ci(spark, d):
 @query(f"WITH x AS (SELECT o_custkey AS p, o_totalprice AS v FROM orders), g AS (SELECT p, count(*) AS n FROM x GROUP BY p), {RANKS} SELECT n, k, round(1 - 2 * list_sum(list_transform(range(k), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) - n * ln(2)))), 9) AS coverage FROM ks")
 def A8_coverage(spark, d):
     sizes = M.table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return A.median_ranks(sizes).withColumn("coverage", F.round("coverage", 9))
+    return A.median_ranks(sizes).withColumn("coverage", rounded("coverage", 9))
 
 
 @query(f"WITH {PRICES} SELECT p, s, round(mean - {T_VALUE.format(df='(n - 1)')} * std / sqrt(n), 4) AS ci_lo, round(mean + {T_VALUE.format(df='(n - 1)')} * std / sqrt(n), 4) AS ci_hi FROM i")
 def A9_mean_ci(spark, d):
-    return A.robust_stats(prices(spark, d), ["p", "s"], center="mean", tie=("o_orderkey",)).select("p", "s", F.round("ci_lo", 4).alias("ci_lo"), F.round("ci_hi", 4).alias("ci_hi"))
+    return A.robust_stats(prices(spark, d), ["p", "s"], center="mean", tie=("o_orderkey",)).select("p", "s", rounded("ci_lo", 4).alias("ci_lo"), rounded("ci_hi", 4).alias("ci_hi"))
 
 
 @query(f"WITH {PRICES} SELECT p, s, kept AS iqmh, round(iqm, 4) AS iqm, round(iqm - {T_VALUE.format(df='(kept - 1)')} * sqrt(w2 / (kept * (kept - 1))), 4) AS ci_lo, round(iqm + {T_VALUE.format(df='(kept - 1)')} * sqrt(w2 / (kept * (kept - 1))), 4) AS ci_hi FROM i")
 def A10_iqm_ci(spark, d):
-    return A.robust_stats(prices(spark, d), ["p", "s"], center="iqm", tie=("o_orderkey",)).select("p", "s", "iqmh", *(F.round(c, 4).alias(c) for c in ("iqm", "ci_lo", "ci_hi")))
+    return A.robust_stats(prices(spark, d), ["p", "s"], center="iqm", tie=("o_orderkey",)).select("p", "s", "iqmh", *(rounded(c, 4).alias(c) for c in ("iqm", "ci_lo", "ci_hi")))
 
 
 GROUPS_SQL = f"WITH {M.POINTS}, u AS (SELECT run_id, arg_max(value, seq) FILTER (WHERE isfinite(value) {{at}}) AS v FROM p WHERE key = 'purchase' GROUP BY run_id), q AS (SELECT DISTINCT run_id, CAST(run_id AS INT) % 7 AS team FROM p), x AS (SELECT team, v FROM q JOIN u USING (run_id) WHERE v IS NOT NULL), t AS (SELECT team, count(*) AS runs FROM q GROUP BY team)" + STATS.format(by="team", ranks=RANKS) + " SELECT CAST(team AS VARCHAR) AS team, runs, coalesce(n, 0) AS n, median, medlo AS ci_lo, medhi AS ci_hi, min, max FROM t LEFT JOIN i USING (team)"
@@ -144,7 +153,7 @@ query(GROUPS_SQL.format(at="AND step <= 1000000"), "A11_groups_at")(lambda spark
 @query(f"WITH {M.POINTS}, v AS (SELECT key, run_id, arg_max(value, seq) AS value FROM p GROUP BY ALL), {M.MEDIA} SELECT key, 'metric' AS kind, count(DISTINCT run_id) AS runs, NULL AS items, min(value) FILTER (WHERE isfinite(value)) AS min, round(median(value) FILTER (WHERE isfinite(value)), 6) AS median, max(value) FILTER (WHERE isfinite(value)) AS max FROM v GROUP BY key UNION ALL SELECT key, 'media', count(DISTINCT run_id), count(*), NULL, NULL, NULL FROM m WHERE run_id IN (SELECT run_id FROM p) GROUP BY key")
 def A12_keys_report(spark, d):
     p = M.points(spark, d)
-    return R.keys_report(event_runs(p), S.last_values(p), M.media(spark, d)).withColumn("median", F.round("median", 6))
+    return R.keys_report(event_runs(p), S.last_values(p), M.media(spark, d)).withColumn("median", rounded("median", 6))
 
 
 @query(f"WITH {M.RUNS}, e AS (SELECT unnest(['', r_name, r_name || '/' || n_name]) AS path, state FROM r) SELECT path, count(*) AS runs, count(*) FILTER (WHERE state = 'running') AS running, count(*) FILTER (WHERE state = 'crashed') AS crashed, count(*) FILTER (WHERE state = 'failed') AS failed, count(*) FILTER (WHERE state = 'finished') AS finished FROM e GROUP BY path")
@@ -190,7 +199,7 @@ def A19_group_candidates(spark, d):
 
 @query(f"WITH {M.POINTS}, o AS (SELECT *, lag(step) OVER (PARTITION BY run_id, key ORDER BY seq) AS b FROM p) SELECT run_id, key, round(min(step), 6) AS x_min, round(max(step), 6) AS x_max, round(min(step) FILTER (WHERE step > 0), 6) AS x_positive, bool_and(b IS NULL OR step >= b) AS rises FROM o GROUP BY run_id, key")
 def A20_extents(spark, d):
-    return S.extents(M.points(spark, d)).select("run_id", "key", *(F.round(c, 6).alias(c) for c in ("x_min", "x_max", "x_positive")), "rises")
+    return S.extents(M.points(spark, d)).select("run_id", "key", *(rounded(c, 6).alias(c) for c in ("x_min", "x_max", "x_positive")), "rises")
 
 
 @query(f"WITH {M.POINTS}, f AS (SELECT list(value ORDER BY value) AS xs, count(*) AS n FROM p WHERE isfinite(value) AND step BETWEEN 100000 AND 2000000) SELECT xs[CAST(floor(0.05 * (n - 1) + 0.5) AS INT) + 1] AS lo, xs[CAST(floor(0.95 * (n - 1) + 0.5) AS INT) + 1] AS hi FROM f")
@@ -223,7 +232,7 @@ def A23_agg_bins(spark, d):
 
 @query(f"WITH {PRICES} SELECT p, s, round(q25, 4) AS lo, round(q75, 4) AS hi FROM i")
 def A24_bands(spark, d):
-    return A.bands(A.robust_stats(prices(spark, d), ["p", "s"], tie=("o_orderkey",)), "median", "iqr").select("p", "s", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    return A.bands(A.robust_stats(prices(spark, d), ["p", "s"], tie=("o_orderkey",)), "median", "iqr").select("p", "s", rounded("lo", 4).alias("lo"), rounded("hi", 4).alias("hi"))
 
 
 @query(f"WITH {M.POINTS} SELECT key, count(*) AS n, {mark('mean', 'avg(value)')}, {mark('min', 'min(value)')}, {mark('max', 'max(value)')} FROM p WHERE NOT isnan(value) GROUP BY key")
@@ -234,7 +243,7 @@ def A25_infinities(spark, d):
 
 @query(f"WITH {BINNED}, q AS (SELECT CAST(bin AS INT) AS bin, CAST(least(19, floor(v * 0.2)) AS INT) AS cell, count(*) AS d FROM y WHERE isfinite(v) AND v BETWEEN 0 AND 100 GROUP BY ALL) SELECT bin, cell, d, round(ln(1 + d) / ln(1 + max(d) OVER ()), 6) AS shade FROM q")
 def A26_density(spark, d):
-    return B.density(binned(spark, d), 0.0, 100.0, 20).withColumn("shade", F.round("shade", 6))
+    return B.density(binned(spark, d), 0.0, 100.0, 20).withColumn("shade", rounded("shade", 6))
 
 
 #: A line's cells in a bin, from its value to half way to its neighbours, counted cell by cell.
@@ -245,7 +254,7 @@ cross_ AS (SELECT bin, least(v, x, z) AS lo, greatest(v, x, z) AS hi FROM line_)
 
 @query(f"{LINES_CROSS} SELECT bin, cell, count(*) AS d, round(ln(1 + count(*)) / ln(1 + max(count(*)) OVER ()), 6) AS shade FROM cell_ GROUP BY bin, cell")
 def A26_line_density(spark, d):
-    return B.line_density(binned(spark, d), 0.0, 100.0, 20).withColumn("shade", F.round("shade", 6))
+    return B.line_density(binned(spark, d), 0.0, 100.0, 20).withColumn("shade", rounded("shade", 6))
 
 
 @query("SELECT DISTINCT event_type AS key FROM events")
@@ -279,7 +288,7 @@ query(f"{NUMBERED} SELECT run_id, key, seq FROM o WHERE n <= 4 OR i IN (SELECT u
 @query(f"WITH {M.POINTS} SELECT run_id, key, seq, round(step, 6) AS step, value FROM p WHERE key IN ('click', 'view') AND step BETWEEN 500000 AND 1500000 AND isfinite(value)")
 def R5_series(spark, d):
     p = M.points(spark, d)
-    return S.series_report(p.where(V.finite("value")), Q.keys_matching(F.col("key"), ["click", "view"]), since=5e5, until=1.5e6).select("run_id", "key", "seq", F.round("step", 6).alias("step"), "value")
+    return S.series_report(p.where(V.finite("value")), Q.keys_matching(F.col("key"), ["click", "view"]), since=5e5, until=1.5e6).select("run_id", "key", "seq", rounded("step", 6).alias("step"), "value")
 
 
 @query(f"WITH {M.POINTS}, q AS (SELECT run_id, seq, step AS x, value, CAST(floor(step * (20 / 2592000.0)) AS INT) AS px, isfinite(value) AS ok FROM p WHERE key = 'click'), a AS (SELECT *, CASE WHEN ok IS DISTINCT FROM lag(ok) OVER w OR (ok AND px IS DISTINCT FROM lag(px) OVER w) THEN 1 ELSE 0 END AS c FROM q WINDOW w AS (PARTITION BY run_id ORDER BY seq)), b AS (SELECT *, sum(c) OVER (PARTITION BY run_id ORDER BY seq) AS piece FROM a), g AS (SELECT run_id, piece, ok, min(seq) AS f, max(seq) AS e, arg_min(seq, (value, seq)) AS lo, arg_min(seq, (-value, seq)) AS hi FROM b GROUP BY ALL) SELECT DISTINCT run_id, u AS seq, ok FROM (SELECT run_id, ok, piece, unnest(CASE WHEN ok THEN [f, e, lo, hi] ELSE [f] END) AS u FROM g) WHERE ok OR piece > 1")
@@ -318,14 +327,14 @@ def A23_smoothed_bins(spark, d):
     p = M.points(spark, d).withColumn("weight", F.col("seq") % 3 + 1)
     b = B.smoothed_bins(p, 0.0, 2592000.0, BINS, 0.6, weight="weight").where(V.finite("value")).withColumn("run_id", F.concat_ws("/", "key", "run_id"))
     stats = B.agg_bins(b, b.select("run_id", F.col("key").alias("group")).distinct())
-    return stats.select("group", "bin", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
+    return stats.select("group", "bin", "n", rounded("mean", 6).alias("mean"), rounded("median", 6).alias("median"))
 
 
 @query(f"WITH {M.POINTS}, f AS (SELECT * FROM p WHERE key = 'purchase' AND isfinite(value)), q AS (SELECT CAST(user_id AS VARCHAR) AS run_id, epoch_us(ts - INTERVAL 19723 DAY) / 1e6 AS x FROM events WHERE event_type = 'error') SELECT q.run_id, round(q.x, 6) AS x, f.value FROM q ASOF LEFT JOIN f ON q.run_id = f.run_id AND q.x >= f.step")
 def J9_asof_join(spark, d):
     p = M.points(spark, d)
     probes = p.where("key = 'error'").select("run_id", F.col("step").alias("x"))
-    return S.asof_join(probes, p.where("key = 'purchase'")).select("run_id", F.round("x", 6).alias("x"), "value")
+    return S.asof_join(probes, p.where("key = 'purchase'")).select("run_id", rounded("x", 6).alias("x"), "value")
 
 
 @query(f"WITH {M.POINTS} SELECT run_id, key, arg_min(seq, (abs(step - 800000), step >= 800000, CASE WHEN step < 800000 THEN -seq ELSE seq END)) AS seq FROM p GROUP BY run_id, key")
@@ -344,7 +353,7 @@ BUCKET_OUT = "run_id, key, CAST(level AS INT) AS level, bucket, CASE WHEN f > 0
 
 
 def buckets_out(b: DataFrame) -> DataFrame:
-    return shown(B.finished(b).withColumn("step", F.round("step", 3)), "run_id", "key", "level", "bucket", "n", "step", mean="mean")
+    return shown(B.finished(b).withColumn("step", rounded("step", 3)), "run_id", "key", "level", "bucket", "n", "step", mean="mean")
 
 
 @query(f"WITH {M.POINTS}, b AS ({bucket_sql('14')}) SELECT {BUCKET_OUT} FROM b")
@@ -376,7 +385,7 @@ s AS (SELECT run_id, key, least(coalesce(fine, top), top) AS fine, top, lo, hi F
 
 @query(f"WITH {M.POINTS}, {SPANS} SELECT run_id, key, fine, top, round(lo, 6) AS lo, round(hi, 6) AS hi FROM s")
 def B6_spans(spark, d):
-    return B.spans(M.points(spark, d)).withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)})
+    return B.spans(M.points(spark, d)).withColumns({"lo": rounded("lo", 6), "hi": rounded("hi", 6)})
 
 
 PYRAMID = f"{M.POINTS}, {SPANS}, q AS (SELECT p.*, unnest(range(fine, top + 1)) AS lv FROM p JOIN s USING (run_id, key)), b AS ({bucket_sql('lv', 'q')})"
@@ -487,7 +496,7 @@ def F3_variant(spark, d):
 
 @query("SELECT event_id, round(value, 6) AS value FROM events WHERE event_type IN ('click') OR regexp_matches(event_type, '^p')")
 def F12_keys_matching(spark, d):
-    return M.table(spark, d, "events").where(Q.keys_matching(F.col("event_type"), ["click"], "^p")).select("event_id", F.round("value", 6).alias("value"))
+    return M.table(spark, d, "events").where(Q.keys_matching(F.col("event_type"), ["click"], "^p")).select("event_id", rounded("value", 6).alias("value"))
 
 
 @query(f"WITH {M.POINTS} SELECT run_id, seq FROM p WHERE step BETWEEN 1000 AND 300000")
@@ -536,7 +545,7 @@ def P10_natural_order(spark, d):
 
 @query(f"WITH {M.POINTS} SELECT seq, CASE WHEN value > 0 AND isfinite(value) THEN round(log10(value), 6) END AS x FROM p")
 def P11_log_x(spark, d):
-    return M.points(spark, d).select("seq", F.when(V.finite("value"), F.round(V.log_x("value"), 6)).alias("x"))
+    return M.points(spark, d).select("seq", F.when(V.finite("value"), rounded(V.log_x("value"), 6)).alias("x"))
 
 
 @query(f"WITH {M.MEDIA} SELECT DISTINCT key, 'page' AS section FROM m")
@@ -973,7 +982,7 @@ def R3_run_report(spark, d):
     records = event_runs(p).withColumns({"name": F.concat(F.lit("run "), "run_id"), "state": F.when(team % 2 == 0, "finished").otherwise("running")})
     folders_ = spark.range(4).select(F.col("id").cast("string").alias("path"), F.parse_json(F.concat(F.lit('{"team": '), F.col("id").cast("string"), F.lit("}"))).alias("info"))
     out = R.run_report(records, p, p, M.media(spark, d).withColumnRenamed("order", "seq"), folders_)
-    return shown(out.withColumns({c: F.round(c, 6) for c in ("first_step", "last_step")}), "run_id", "section", "name", "n", "first_step", "last_step", "text", value="value")
+    return shown(out.withColumns({c: rounded(c, 6) for c in ("first_step", "last_step")}), "run_id", "section", "name", "n", "first_step", "last_step", "text", value="value")
 
 
 @query(f"WITH {M.RUNS} SELECT CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS dir, count(*) AS runs, count(*) FILTER (WHERE state = 'running') AS running, count(*) FILTER (WHERE state = 'crashed') AS crashed, count(*) FILTER (WHERE state = 'failed') AS failed, count(*) FILTER (WHERE state = 'finished') AS finished FROM r GROUP BY dir")
