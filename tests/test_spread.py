@@ -166,3 +166,14 @@ def test_finest_over_batches(tasks, rows):
         tasks.conf.set(name, old)
     gaps = {k: [b - a for a, b in zip(u, u[1:])] for k, v in steps.items() if len(u := sorted(set(v))) > 1}
     assert got == {k: max(-20, math.floor(math.log2(statistics.median(g)))) for k, g in gaps.items()}
+
+
+def test_rows_and_summaries_use_tasks_as_their_rows_ask(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 20)
+    points = spark.range(400).selectExpr("CAST(id % 25 AS STRING) AS run_id", "id DIV 50 AS seq", "CAST(id DIV 50 AS DOUBLE) AS step", "IF(id % 50 < 25, 'a', 'b') AS key", "CAST(id AS DOUBLE) AS value").withColumn("t", F.col("step") / 2)
+    rows = T.points_to_rows(points)
+    assert rows.rdd.getNumPartitions() == 20  # of 2 shuffle partitions
+    assert sorted((r["run_id"], r["seq"], r["values"]["a"], r["values"]["b"]) for r in rows.collect()) == sorted((str(i), q, 50.0 * q + i, 50.0 * q + 25 + i) for i in range(25) for q in range(8))
+    out = S.summaries(rows, T.rows_to_points(rows))
+    assert out.rdd.getNumPartitions() == 10
+    assert sorted((r["run_id"], r["rows"], r["_step"], r["_runtime"], r["summary"]["a"], r["summary"]["b"]) for r in out.collect()) == sorted((str(i), 8, 7.0, 3.5, 350.0 + i, 375.0 + i) for i in range(25))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from tideline.functions.values import finite, log_x, smooth_scale
-from tideline.plans.shared import in_order, join_groups, latest, previous, ranks, running, written
+from tideline.plans.shared import dealt, in_order, join_groups, latest, previous, ranks, running, written
 
 SERIES = ["run_id", "key"]
 
@@ -28,11 +28,14 @@ def key_stats(points: DataFrame) -> DataFrame:
     return points.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("points"), F.min_by("step", "seq").alias("first_step"), F.max_by("step", "seq").alias("last_step"), F.max_by("value", "seq").alias("last"))
 
 
-def summaries(rows: DataFrame, points: DataFrame, user: DataFrame | None = None) -> DataFrame:
+def summaries(rows: DataFrame, points: DataFrame, user: DataFrame | None = None, count: int | None = None) -> DataFrame:
     """Per run: the last values as a map, the last row's step and runtime, and the user's own summary entries, which a
-    logged metric of the same name covers."""
-    last = last_values(points).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("summary"))
-    out = rows.groupBy("run_id").agg(F.max_by(F.struct("step", "t"), "seq").alias("_l"), (F.max("seq") + 1).alias("rows")).select("run_id", F.col("_l.step").alias("_step"), F.col("_l.t").alias("_runtime"), "rows").join(last, "run_id", "left")
+    logged metric of the same name covers. count: the number of rows, which are counted if it isn't told; runs are dealt to
+    as many tasks as it asks for."""
+    count = rows.count() if count is None else count
+    last = dealt(last_values(points), count, "run_id").groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("summary"))
+    ends = rows.groupBy("run_id").agg(F.max_by(F.struct("step", "t"), "seq").alias("_l"), (F.max("seq") + 1).alias("rows"))
+    out = dealt(ends, count, "run_id").select("run_id", F.col("_l.step").alias("_step"), F.col("_l.t").alias("_runtime"), "rows").join(last, "run_id", "left")
     if user is not None:
         out = out.join(user.select("run_id", F.col("summary").alias("_user")), "run_id", "left").withColumn("summary", F.map_concat(F.map_filter(F.coalesce("_user", F.create_map().cast("map<string,double>")), lambda k, v: ~F.coalesce(F.map_contains_key("summary", k), F.lit(False))), F.coalesce("summary", F.create_map().cast("map<string,double>")))).drop("_user")
     return out

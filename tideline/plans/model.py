@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.plans.shared import dealt
+from tideline.sources.tables import points_to_rows
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,11 +27,17 @@ CASE WHEN event_id % 17 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 29 = 5 TH
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points from lineitem: an order is a run, its measures are metrics, its lines are rows."""
-    n = F.col("l_linenumber")
-    wide = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("run_id"), n.cast("long").alias("seq")).agg(F.max("l_quantity").alias("quantity"), F.max("l_discount").alias("discount"))
+    items = table(spark, sf_dir, "lineitem")
+    keyed = items.select(F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_linenumber").cast("long").alias("seq"), "l_quantity", "l_discount")
+    wide = dealt(keyed, items.count(), "run_id", "seq").groupBy("run_id", "seq").agg(F.max("l_quantity").alias("quantity"), F.max("l_discount").alias("discount"))
     return wide.unpivot(["run_id", "seq"], ["quantity", "discount"], "key", "value").withColumns({"step": F.col("seq").cast("double"), "t": F.col("seq") / 2})
 
 
+def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as rows, two points in each at most."""
+    return points_to_rows(lines(spark, sf_dir), 2 * table(spark, sf_dir, "lineitem").count())
+
+
 LINES = """w AS (SELECT CAST(l_orderkey AS VARCHAR) AS run_id, CAST(l_linenumber AS BIGINT) AS seq, max(l_quantity) AS quantity, max(l_discount) AS discount FROM lineitem GROUP BY ALL),
 l AS (SELECT run_id, seq, 'quantity' AS key, quantity AS value, CAST(seq AS DOUBLE) AS step, seq / 2 AS t FROM w UNION ALL SELECT run_id, seq, 'discount', discount, CAST(seq AS DOUBLE), seq / 2 FROM w)"""
 

@@ -33,6 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task groups at once: some hundred bytes each in a table of its own for every aggregate of a stage.
+TASK_ROWS = 1 << 18
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as its number of rows asks for, so what a task holds doesn't grow with the input.
+    An aggregate on these keys and others needs no further shuffle."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """Joins on group columns of the same names, null to null; the left's stay."""
     named = right.withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(by)})

@@ -76,9 +76,8 @@ def A1_last_values(spark, d):
 
 @query(f"WITH {M.LINES}, s AS (SELECT run_id, max(seq) + 1 AS rows, arg_max(step, seq) AS _step, arg_max(t, seq) AS _runtime FROM l GROUP BY run_id), v AS (SELECT run_id, arg_max(quantity, seq) AS quantity, arg_max(discount, seq) AS discount FROM w GROUP BY run_id) SELECT s.run_id, rows, _step, _runtime, quantity, discount FROM s JOIN v USING (run_id)")
 def A2_summaries(spark, d):
-    p = M.lines(spark, d)
-    rows = T.points_to_rows(p)
-    return S.summaries(rows, T.rows_to_points(rows)).select("run_id", "rows", "_step", "_runtime", F.col("summary.quantity").alias("quantity"), F.col("summary.discount").alias("discount"))
+    rows = M.line_rows(spark, d)
+    return S.summaries(rows, T.rows_to_points(rows), count=M.table(spark, d, "lineitem").count()).select("run_id", "rows", "_step", "_runtime", F.col("summary.quantity").alias("quantity"), F.col("summary.discount").alias("discount"))
 
 
 @query(f"WITH {M.POINTS} SELECT run_id, key, count(*) AS points, round(arg_min(step, seq), 6) AS first_step, round(arg_max(step, seq), 6) AS last_step, {mark('last', 'arg_max(value, seq)')} FROM p GROUP BY run_id, key")
@@ -719,13 +718,13 @@ def U7_difference(spark, d):
 
 @query(f"WITH {M.LINES} SELECT run_id, seq, quantity FROM w WHERE seq >= 2 AND seq < 5")
 def S1_read_rows(spark, d):
-    rows = T.read_rows(T.points_to_rows(M.lines(spark, d)), ["quantity"], 2, 5)
+    rows = T.read_rows(M.line_rows(spark, d), ["quantity"], 2, 5)
     return rows.select("run_id", "seq", F.col("values.quantity").alias("quantity"))
 
 
 @query(f"WITH {M.LINES} SELECT run_id, seq, step, value FROM l WHERE key = 'discount' AND seq >= 2 AND step <= 4")
 def S2_points(spark, d):
-    return T.points(T.points_to_rows(M.lines(spark, d)), ["discount"], start=2, step_hi=4.0).select("run_id", "seq", "step", "value")
+    return T.points(M.line_rows(spark, d), ["discount"], start=2, step_hi=4.0).select("run_id", "seq", "step", "value")
 
 
 @query(f"WITH {M.LINES}, g AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn FROM w), b AS (SELECT run_id, min(seq) FILTER (WHERE rn <> seq) AS bad FROM g GROUP BY run_id) SELECT run_id, seq FROM w JOIN b USING (run_id) WHERE bad IS NULL OR seq < bad")
@@ -907,7 +906,7 @@ def B12_view_buckets(spark, d):
 
 @query(f"WITH {M.LINES} SELECT run_id, seq, key, value FROM l")
 def S3_reshape(spark, d):
-    return T.rows_to_points(T.points_to_rows(M.lines(spark, d))).select("run_id", "seq", "key", "value")
+    return T.rows_to_points(M.line_rows(spark, d)).select("run_id", "seq", "key", "value")
 
 
 @query(f"WITH {M.RUNS} SELECT run_id, created, CASE WHEN id % 2 = 0 THEN 'again' ELSE name END AS name, CASE WHEN id % 2 = 0 AND id % 4 = 0 THEN 'new' WHEN id % 5 = 1 THEN CASE WHEN id % 2 = 0 THEN '' END WHEN id % 5 = 0 THEN '' ELSE 'v' || id % 5 || ',' || segment END AS tags, n_name AS a, CASE WHEN id % 2 = 0 THEN 'x' END AS b FROM r")
@@ -925,7 +924,7 @@ def S18_compact(spark, d):
 
     import uuid
 
-    rows = T.points_to_rows(M.lines(spark, d)).withColumn("seq", F.col("seq") - 1)
+    rows = M.line_rows(spark, d).withColumn("seq", F.col("seq") - 1)
     whole = rows.groupBy("run_id").agg(F.max("seq").alias("_n"), F.count(F.lit(1)).alias("_c")).where("_n = _c - 1")
     fine = rows.join(whole.select("run_id"), "run_id", "left_semi")
     out = T.compact(fine, f"{shared_dir(spark)}/compact-{uuid.uuid4().hex}")

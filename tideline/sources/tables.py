@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tideline.functions.values import to_marker
-from tideline.plans.shared import in_order, latest, ranks, running, written
+from tideline.plans.shared import dealt, in_order, latest, ranks, running, written
 
 
 def read_rows(rows: DataFrame, keys: list[str] | None = None, start: int = 0, stop: int | None = None) -> DataFrame:
@@ -22,10 +22,12 @@ def rows_to_points(rows: DataFrame) -> DataFrame:
     return rows.select("run_id", "seq", "step", "t", F.explode("values").alias("key", "value"))
 
 
-def points_to_rows(points: DataFrame) -> DataFrame:
+def points_to_rows(points: DataFrame, count: int | None = None) -> DataFrame:
     """One row per (run, seq) with the map of its values; a metric that a row lacks isn't in its map. Of several points of
-    one metric in a row the largest stays."""
-    once = points.groupBy("run_id", "seq", "step", "t", "key").agg(F.max("value").alias("value"))
+    one metric in a row the largest stays. count: a bound of the number of points, where one is known; they are counted
+    otherwise, as the number of tasks follows it."""
+    spread = dealt(points, points.count() if count is None else count, "run_id", "seq")
+    once = spread.groupBy("run_id", "seq", "step", "t", "key").agg(F.max("value").alias("value"))
     return once.groupBy("run_id", "seq", "step", "t").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("values"))
 
 
